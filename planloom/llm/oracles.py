@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import licences, mixing
 
 _WARC = """
 WITH p AS (
@@ -40,4 +40,39 @@ def _mix_sql(rounds: int = mixing.ROUNDS, seed: int = mixing.SEED) -> str:
     return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN taken THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM s{rounds}"
 
 
-ORACLES = {"op3_warc": _WARC, "op9_water_filling": _mix_sql()}
+_KNN = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+def _licence_sql() -> str:
+    """The same normal form by DuckDB's functions."""
+
+    def normal(text: str) -> str:
+        out = f"translate({text}, '{licences.UPPER}', '{licences.LOWER}')"
+        for pattern, to in licences.RULES:
+            out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+        return f"trim({out}, ' ')"
+
+    known = ", ".join(f"('{name}', '{unit}', '{digest}')" for name, unit, digest in licences.known())
+    return f"""
+WITH known(licence, unit, digest) AS (VALUES {known}),
+u AS (
+  SELECT doc_id, 'text' AS unit, CAST(0 AS INTEGER) AS line, text AS part FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, 'line', CAST(i AS INTEGER), string_split(text, chr(10))[i] FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+)
+SELECT doc_id, u.unit, line, licence FROM u JOIN known ON known.unit = u.unit AND known.digest = sha256({normal("part")})
+"""
+
+
+ORACLES = {"op5_voronoi_knn": _KNN, "op8_licence_digests": _licence_sql(), "op3_warc": _WARC, "op9_water_filling": _mix_sql()}

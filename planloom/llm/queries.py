@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, simhash, spans, token_files, toxicity, warc
+from . import decontaminate, knn, language, licences, mixing, simhash, spans, token_files, toxicity, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -34,6 +34,10 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeated(table(spark, sf_dir, "documents"))
 
 
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,10 @@ def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
