@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch
+
 WINDOW, LITERALS, COVERAGE = 5, 2, 0.5
 MAX_FILTER, CACHE_ENTRIES = 2_000_000, 300_000
 PLAIN, NUMBER, UNIT, NAME, NOTHING = range(5)
@@ -196,7 +198,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     distinct = items.select("hash").distinct()
     hashes = distinct.limit(max_filter + 1).collect()
     known = np.array([r.hash for r in hashes], np.int64).view(np.uint64) if len(hashes) <= max_filter else None
-    found = ours.mapInArrow(_windower(known), SCHEMA).drop("windows").join(items, "hash")
+    # written once: the texts are gone through a single time
+    found = scratch(ours.mapInArrow(_windower(known), SCHEMA).drop("windows").join(items, "hash"), "windows")
     enough = found.groupBy("id", "item_id").agg(F.count_distinct("ipos").alias("n"), F.max("iwindows").alias("most")).where(F.col("n") >= coverage * F.col("most"))
     pairs = found.join(enough.select("id", "item_id"), ["id", "item_id"], "left_semi").distinct()
     schema = "doc_id long, item_id long, windows int, coverage double, kind string, first int, last int"
