@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -173,7 +172,6 @@ def read_file(uri: str) -> tuple[list, np.ndarray, np.ndarray]:
 # --- tokenising ------------------------------------------------------------------------------------------------
 
 
-_LINE = re.compile("(?<=[!-~])\\n")
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the characters from 256 on.
 _PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -187,18 +185,26 @@ class _Open(Exception):
 class _Pieces(dict):
     """Ids of pieces of text; unknown ones are encoded and kept."""
 
-    def __init__(self, encoder: Encoder, lead: str):
+    def __init__(self, encoder: Encoder, lead: str, marks: _Pieces | None = None):
         super().__init__()
-        self.encode, self.tokenize, self.lead, self.mark = encoder.piece, encoder.model.tokenize, lead, lead.translate(_BYTES)
+        self.whole, self.tokenize, self.lead, self.mark = encoder.whole, encoder.tokenizer.model.tokenize, lead, lead.translate(_BYTES)
+        #: ids of runs of marks, which never begin a piece here
+        self.marks = self if marks is None else marks
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isascii() and piece.isalpha():
-            tokens = self.tokenize(self.mark + piece)
-            ids = array("I", [t.id for t in tokens]).tobytes()
+            ids = array("I", [t.id for t in self.tokenize(self.mark + piece)]).tobytes()
         elif not piece or not ("!" <= piece[-1] <= "~" or piece[-1].isalnum()):
             raise _Open
         else:
-            ids = self.encode(piece if piece[0] == "\n" else self.lead + piece)
+            stem = piece.rstrip(_MARKS)
+            if stem != piece and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+                # Latin letters and marks are two pre-tokens
+                ids = self[stem] + self.marks[piece[len(stem) :]]
+            elif stem.isalpha() and max(stem) < "\u0250":
+                ids = array("I", [t.id for t in self.tokenize(self.mark + piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            else:
+                ids = self.whole(piece if piece[0] == "\n" else self.lead + piece)
         if len(self) < CACHE_ENTRIES:
             self[piece] = ids
         return ids
@@ -223,32 +229,19 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.model = self.tokenizer.model
-        self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
+        self.first = _Pieces(self, "")
+        self.later = _Pieces(self, " ", self.first)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def piece(self, text: str) -> bytes:
-        """A piece of at most one leading space, Latin letters and ASCII marks is at most two pre-tokens, which the
-        library's model takes directly; all else goes the whole way."""
-        word = text.lstrip(" ")
-        stem = word.rstrip(_MARKS)
-        if not (stem.isalpha() and len(text) - len(word) < 2 and (stem.isascii() or max(stem) < "\u0250")):
-            return self.whole(text)
-        tokens = self.model.tokenize(text[: len(text) - len(word) + len(stem)].encode().decode("latin-1").translate(_BYTES))
-        ids = array("I", [t.id for t in tokens])
-        if len(stem) < len(word):
-            ids.extend([t.id for t in self.model.tokenize(word[len(stem) :])])
-        return ids.tobytes()
-
     def __call__(self, text: str) -> bytes:
         """The ids of a text as little-endian uint32."""
         if not text:
             return b""
         if not self.by_piece or " \n" in text or text[0] == "\n":
             return self.whole(text)
-        head, *rest = _LINE.sub(" \n", text).split(" ")
+        head, *rest = text.replace("\n", " \n").split(" ")
         try:
             return self.first[head] + b"".join(map(self.later.__getitem__, rest))
         except _Open:
