@@ -67,6 +67,21 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Rows of two longs that may be sent to every task: some 100 MB there, 2 x 16 MB on the wire.
+BROADCAST_ROWS = 2_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not among the distinct ids of ``gone`` (one column); rows without id stay.
+
+    The ids are written and counted first.  Up to ``BROADCAST_ROWS`` go to every task, so that no text crosses the
+    network; more are joined by shuffle.
+    """
+    ids = scratch(gone.toDF("__gone").distinct(), "gone")
+    small = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if small else ids, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

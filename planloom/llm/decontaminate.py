@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, without_ids
 
 WINDOW, LITERALS, COVERAGE = 5, 2, 0.5
 MAX_FILTER, CACHE_ENTRIES = 2_000_000, 300_000
@@ -208,5 +208,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item; columns unchanged.  Rows without doc_id stay."""
-    gone = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return without_ids(docs, contaminated(docs, benchmark, **options).select("doc_id"))

@@ -63,8 +63,9 @@ def _join(left: DataFrame, sources: DataFrame) -> DataFrame:
     return left.join(sources.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
 
 
-def plan(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, source, size with source_size, target and repetitions of each row of a table doc_id, source, size."""
+def thresholds(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
+    """A row for each source of a table doc_id, source, size: source_size, target, whole repetitions, and what each
+    round takes."""
     sources = targets(sizes, weights, budget, max_epochs)
     # a target of 2 epochs to the last bit of a double is 2 whole epochs
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -92,9 +93,13 @@ def plan(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs:
         ends = ends.select(F.coalesce("source", "__w").alias("__s"), last.alias(f"last{k}"), used.alias("used"))
         sources = sources.join(ends, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
         sources = sources.withColumn(f"room{k + 1}", F.col(f"room{k}") - F.coalesce("used", F.lit(0))).drop("used")
-    sources = scratch(sources, "mix-end")
-    times = F.col("whole") + F.when((F.col("size") > 0) & _taken(rounds, seed), 1).otherwise(0)
-    return _join(sizes, sources).select("doc_id", "source", "size", "source_size", "target", times.alias("times"))
+    return scratch(sources, "mix-end")
+
+
+def times(sources: DataFrame, seed: int = SEED) -> Column:
+    """Repetitions of a row with doc_id, size and its source's thresholds."""
+    rounds = sum(c.startswith("last") for c in sources.columns)
+    return F.col("whole") + F.when((F.col("size") > 0) & _taken(rounds, seed), 1).otherwise(0)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -102,16 +107,22 @@ def sizes(docs: DataFrame) -> DataFrame:
     return scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).select("doc_id", "source", word_count().alias("size")), "sizes")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repetitions counted) for each row of ``docs``."""
-    return plan(sizes(docs), **options).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
-
-
-def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs`` as often as the plan takes them; columns unchanged."""
-    times = plan(sizes(docs), **options).groupBy("doc_id", "source", "size").agg(F.max("times").alias("__times")).where(F.col("__times") > 0)
-    times = times.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), "__times")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))
-    text = docs.withColumn("__size", word_count())
-    out = text.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*docs.columns)
+    rows = sizes(docs)
+    sources = thresholds(rows, seed=seed, **options)
+    return _join(rows, sources).select("doc_id", "size", "source_size", "target", (times(sources, seed) * F.col("size")).alias("taken"))
+
+
+def repeat(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """The mixed corpus: the rows of ``docs`` as often as the plan takes them; columns unchanged.
+
+    Each row decides by its own source's thresholds: texts meet only the small table of sources.
+    """
+    sources = thresholds(sizes(docs), seed=seed, **options)
+    held = {f"__c{i}": c for i, c in enumerate(docs.columns)}
+    at = {c: k for k, c in held.items()}
+    rows = docs.toDF(*held).withColumns({"doc_id": F.col(at["doc_id"]).cast("long"), "source": F.col(at["source"]).cast("string"), "text": F.col(at["text"]).cast("string")})
+    rows = rows.withColumn("size", word_count()).drop("text")
+    repeated = _join(rows, sources).withColumn("__n", times(sources, seed)).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    return repeated.select(*held).toDF(*docs.columns)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, narrow, scratch
+from .common import drop_scratch, narrow, scratch, without_ids
 
 SEED = 42
 LEAF, FAN = 8, 8
@@ -292,8 +292,7 @@ def keep_one(docs: DataFrame, max_bits: int = 3) -> DataFrame:
     Rows that repeat the kept doc_id all stay, as do rows without doc_id.
     """
     classes = near_duplicates(docs, max_bits)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return without_ids(docs, classes.where("doc_id <> component_id").select("doc_id"))
 
 
 def hex_code(fp: str = "fp"):
