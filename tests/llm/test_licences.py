@@ -50,5 +50,12 @@ def test_licences_differ(name):
     assert digests and not digests & {d for n, u, d in lic.known() if n != name}
 
 
+def test_every_known_text_has_a_mark():
+    texts = [t for _, t in lic.TEXTS + lic.NOTICES] + [f"SPDX-License-Identifier: {n}" for n in lic.SPDX]
+    assert all(any(m in lic.normal_form(t) for m in lic.MARKS) for t in texts)
+    # no rule makes a mark out of other letters
+    assert not any(any(m in to for m in lic.MARKS) for p, to in lic.RULES if not any(m in p for m in lic.MARKS))
+
+
 def test_empty_table(spark):
     assert lic.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
