@@ -214,7 +214,8 @@ class Capture:
         self.listener = Listener(self.take)
 
     def take(self, execution, seconds: float) -> None:
-        if not self.settings.stores or seconds < self.settings.log_min_duration or (self.settings.log_min_duration and seconds == self.settings.log_min_duration):
+        # the JVM may go on calling a listener that has been unregistered: each call brings a new proxy
+        if self.stopping.is_set() or not self.settings.stores or seconds <= self.settings.log_min_duration and self.settings.log_min_duration:
             return
         plan = execution.logical().getClass().getSimpleName()
         if "Command" in plan or plan.startswith(("Insert", "Create", "Append", "Overwrite")):  # only queries are logged, EXPLAIN and writes are not
@@ -230,7 +231,11 @@ class Capture:
         except Exception:  # noqa: BLE001  a plan that can't be read must not fail the query
             self.dropped += 1
             return
-        self.slots.put(row)  # waits for a vacant slot
+        while not self.stopping.is_set():
+            try:
+                return self.slots.put(row, timeout=0.5)  # waits for a vacant slot
+            except queue.Full:
+                continue
 
     def flush(self) -> int:
         """Append what the queue holds in one batch; the rows written."""
