@@ -112,9 +112,9 @@ def worker_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def worker_merge_live(spark: SparkSession, d: str) -> DataFrame:
     """Orders as leader trees of five nodes and of worker trees of the last three: nodes meet from the end."""
-    o = table(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey", "o_custkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     leader = o.select("o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("node_no")).withColumns({"plan_rows": F.col("node_no") * 10.0, "actual_rows": (F.col("o_orderkey") % 7).cast("double"), "merge_flag": F.col("node_no") != 5, "norm_plan": F.lit(3), "norm": F.lit(3)})
-    tails = o.crossJoin(spark.range(1, 3).select(F.col("id").cast("int").alias("worker"))).select("o_orderkey", "o_custkey", "worker", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("node_no"))
+    tails = o.withColumn("worker", F.explode(F.sequence(F.lit(1), F.lit(2)))).withColumn("node_no", F.explode(F.sequence(F.lit(1), F.lit(3))))
     tails = tails.withColumn("actual_rows", (F.col("o_custkey") % 11 + F.col("worker") + F.col("node_no")).cast("double"))
     merged = workers.extrapolate(workers.merge_live(leader, tails, ["o_orderkey"]), 2)
     return merged.select("o_orderkey", "node_no", "plan_rows", F.round("actual_rows", 4).alias("actual_rows"))
@@ -423,7 +423,7 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "latest_plan_per_query": (latest_plan_per_query, "SELECT 'db' AS database, CAST(user_id AS VARCHAR) AS queryid, arg_max(event_type, event_id) AS planid FROM events GROUP BY user_id"),
     "query_texts": (query_texts, "SELECT CAST(user_id AS VARCHAR) AS queryid, arg_min(props, event_id) AS query, arg_min(event_type, event_id) AS database, arg_max(event_type, event_id) AS planid FROM events GROUP BY user_id"),
     "worker_merge": (worker_merge, "SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 5 <> 0 THEN (event_id % 100) * (event_id % 4 + 1) ELSE event_id % 100 END::DOUBLE AS plan_rows, round(CASE WHEN event_id % 3 = 0 AND event_id % 5 <> 0 THEN value + value + value * 0.5 ELSE value END, 4) AS actual_rows, CASE WHEN event_id % 3 = 0 AND event_id % 5 <> 0 THEN 3.0 ELSE 1.0 END::DOUBLE AS actual_loops FROM events"),
-    "worker_merge_live": (worker_merge_live, "SELECT o_orderkey, CAST(k AS INTEGER) AS node_no, CAST(CASE WHEN k IN (3, 4) THEN k * 30 ELSE k * 10 END AS DOUBLE) AS plan_rows, round((o_orderkey % 7 + CASE WHEN k IN (3, 4) THEN 2 * (o_custkey % 11 + k - 2) + 3 ELSE 0 END) * CASE WHEN k <> 5 THEN 1.5 ELSE 1 END, 4)::DOUBLE AS actual_rows FROM orders, range(1, 6) r(k) WHERE o_orderkey < 2000"),
+    "worker_merge_live": (worker_merge_live, "SELECT o_orderkey, CAST(k AS INTEGER) AS node_no, CAST(CASE WHEN k IN (3, 4) THEN k * 30 ELSE k * 10 END AS DOUBLE) AS plan_rows, round((o_orderkey % 7 + CASE WHEN k IN (3, 4) THEN 2 * (o_custkey % 11 + k - 2) + 3 ELSE 0 END) * CASE WHEN k <> 5 THEN 1.5 ELSE 1 END, 4)::DOUBLE AS actual_rows FROM orders, range(1, 6) r(k)"),
     "replace_rows": (replace_rows, _REPLACE_SQL),
     "progress_points": (progress_points, _POINTS_SQL),
     "progress_ratio": (progress_ratio, _RATIO_SQL),

@@ -141,7 +141,7 @@ def project_set(spark: SparkSession, d: str) -> DataFrame:
 
 def function_scan_explode(spark: SparkSession, d: str) -> DataFrame:
     """A function scan with ordinality over an event's value."""
-    steps = F.posexplode(F.sequence(F.lit(0), F.least(F.lit(3), F.floor("value").cast("int"))))
+    steps = F.posexplode(F.sequence(F.lit(0), F.floor(F.col("value") / 100).cast("int")))
     return table(spark, d, "events").where("value >= 0").select("event_id", steps.alias("ordinal", "step")).select("event_id", (F.col("ordinal") + 1).cast("bigint").alias("ordinal"), F.col("step").cast("bigint").alias("step"))
 
 
@@ -188,7 +188,7 @@ CUSTOM: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "merge_append": (merge_append, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')"),
     "recursive_union_distinct": (recursive_union_distinct, "WITH RECURSIVE t(k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey = 0 UNION SELECT n_nationkey FROM nation, t WHERE n_nationkey = (2 * k + 1) % 25 OR n_nationkey = (3 * k) % 25) SELECT k FROM t"),
     "project_set": (project_set, "SELECT p_partkey, CAST(unnest(range(1, p_size + 1)) AS INTEGER) AS unit FROM part WHERE p_size <= 5"),
-    "function_scan_explode": (function_scan_explode, "SELECT event_id, s + 1 AS ordinal, s AS step FROM (SELECT event_id, CAST(unnest(range(0, CAST(least(3, floor(value)) AS BIGINT) + 1)) AS BIGINT) AS s FROM events WHERE value >= 0)"),
+    "function_scan_explode": (function_scan_explode, "SELECT event_id, s + 1 AS ordinal, s AS step FROM (SELECT event_id, CAST(unnest(range(0, CAST(floor(value / 100) AS BIGINT) + 1)) AS BIGINT) AS s FROM events WHERE value >= 0)"),
     "table_function_json": (table_function_json, "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL"),
     "tid_range": (tid_range, "SELECT n_name FROM nation WHERE n_nationkey BETWEEN 5 AND 9"),
     "sample_rows": (sample_rows, None),
