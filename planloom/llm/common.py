@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Words are runs of anything but ASCII white space (Java, RE2 and Python agree on this class).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only a local session that leaves the setting empty (tests) gets a temporary folder.
-    """
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if held:
-        return held.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
-    held = "file://" + tempfile.mkdtemp(prefix="planloom-")
-    spark.conf.set("spark.checkpoint.dir", held)
-    return held
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends in good order."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -55,6 +41,13 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches in parts of at most that many rows: what a worker holds as Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and bare path of a URI, on the driver or an executor."""
     if uri.startswith("file:"):
@@ -67,6 +60,19 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def smallest_hashes(rows: DataFrame, group: str, n: int, seed: int, key: str = "doc_id", salts: int = 64) -> DataFrame:
+    """Of each group the n rows with the smallest seeded hash of their key: a sample that no order of rows changes.
+
+    A first cut is made within slices of each group, so that what meets in one task for a group is n rows of each
+    slice at most, however many rows or partitions there are.
+    """
+    hashed = rows.withColumn("__h", F.xxhash64(F.lit(seed), key)).withColumn("__s", F.pmod(F.xxhash64(key), F.lit(salts)))
+    for by in ((group, "__s"), (group,)):
+        order = Window.partitionBy(*by).orderBy("__h", key)
+        hashed = hashed.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n)
+    return hashed.drop("__h", "__s", "__n")
+
+
 #: Rows of two longs that may be sent to every task: some 100 MB there, 2 x 16 MB on the wire.
 BROADCAST_ROWS = 2_000_000
 

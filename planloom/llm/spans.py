@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, scratch
+from .common import narrow, scratch, slices
 
 SENTENCES, FEW_WORDS, MANY_WORDS = 3, 12, 50
 _BREAK = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|\s*\n\s*")
@@ -75,7 +75,7 @@ def spans(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
+    for batch in slices(batches):
         out = ([], [], [], [])
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text:
@@ -93,7 +93,7 @@ def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the sentences that their spans cover."""
-    for batch in batches:
+    for batch in slices(batches):
         texts, count, gone = batch.column(1).to_pylist(), [], []
         for i, (text, covered) in enumerate(zip(texts, batch.column(2).to_pylist())):
             sentences = cut(text) if text else []
@@ -113,6 +113,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, pos, len of each span that repeats an earlier one."""
     found = scratch(narrow(docs).where(F.col("doc_id").isNotNull()).mapInArrow(_span_batches, "hash long, doc_id long, pos int, len int"), "spans")
     first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    # written, so that the join has two exchanges of its own and the engine can split the rows of a hot hash
+    first = scratch(first, "repeated")
     return found.join(first, "hash").where(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "pos", "len")
 
 
