@@ -156,3 +156,12 @@ def test_feedback_hints(spark, tables):
     with feedback.tuned_session(spark, feedback.Feedback([], 200_000)):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "16"
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_windowed_recount_under_a_watermark(spark, tmp_path):
+    rows = spark.range(120).select(F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).alias("ts"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("event_type"))
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/events")
+    stream = ingest.recount(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/events"))
+    query = stream.writeStream.format("memory").queryName("recount").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.sql("select sum(n) as n from recount").first().n == 120
