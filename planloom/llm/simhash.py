@@ -283,7 +283,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, run_limit: int = RUN_LIM
     smallest = linked.groupBy("root").agg(F.min("least").alias("first"))
     linked = linked.select("fp", "root").join(smallest, "root").select("fp", "first")
     named = codes.join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    # written, so that the last join has two exchanges of its own and the engine can split a fingerprint that many share
+    return marked.join(scratch(named, "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = 3) -> DataFrame:
