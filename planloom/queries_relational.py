@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators import modify
 from .operators import relational as rel
 from .tables import over, plain, table
 
@@ -174,6 +175,26 @@ def win_exclude_current(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", (F.count("*").over(frame) - 1).alias("others"), F.round(F.sum("c_acctbal").over(frame) - F.col("c_acctbal"), 2).alias("rest"))
 
 
+def modify_update_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Orders after an update of the urgent ones and a delete of the cheap ones."""
+    o = _orders(spark, d).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    raised = modify.update(o, F.col("o_orderpriority") == "1-URGENT", {"o_totalprice": F.round(F.col("o_totalprice") * 2, 2), "o_orderstatus": F.lit("X")})
+    return modify.delete(raised, F.col("o_totalprice") < 20000)
+
+
+def modify_insert_conflict(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with suppliers inserted under the same keys, which replace them."""
+    new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
+    return modify.insert_on_conflict(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), new, ["c_custkey"])
+
+
+def modify_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers merged with the first customers: sums for matches, deletes for large ones, the rest inserted."""
+    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("bal"))
+    new = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))
+    return modify.merge(old, new, ["k"], {"bal": F.round(F.col("bal") + F.col("s.bal"), 2)}, F.col("s.bal") > 9000)
+
+
 CUSTOM: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "join_merge_hint": (join_hint("merge"), _HINTED),
     "join_hash_hint": (join_hint("shuffle_hash"), _HINTED),
@@ -187,6 +208,9 @@ CUSTOM: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "win_exclude_current": (win_exclude_current, "SELECT c_custkey, CAST(count(*) OVER w AS BIGINT) - 1 AS others, round(sum(c_acctbal) OVER w - c_acctbal, 2) AS rest FROM customer WINDOW w AS (PARTITION BY c_nationkey)"),
     "merge_append": (merge_append, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')"),
     "recursive_union_distinct": (recursive_union_distinct, "WITH RECURSIVE t(k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey = 0 UNION SELECT n_nationkey FROM nation, t WHERE n_nationkey = (2 * k + 1) % 25 OR n_nationkey = (3 * k) % 25) SELECT k FROM t"),
+    "modify_update_delete": (modify_update_delete, "SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders) WHERE o_totalprice >= 20000"),
+    "modify_insert_conflict": (modify_insert_conflict, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier"),
+    "modify_merge": (modify_merge, "SELECT coalesce(s_suppkey, c_custkey) AS k, CASE WHEN s_suppkey IS NULL THEN c_acctbal WHEN c_custkey IS NULL THEN s_acctbal ELSE round(s_acctbal + c_acctbal, 2) END AS bal FROM supplier FULL JOIN customer ON s_suppkey = c_custkey WHERE NOT (s_suppkey IS NOT NULL AND c_custkey IS NOT NULL AND c_acctbal > 9000)"),
     "project_set": (project_set, "SELECT p_partkey, CAST(unnest(range(1, p_size + 1)) AS INTEGER) AS unit FROM part WHERE p_size <= 5"),
     "function_scan_explode": (function_scan_explode, "SELECT event_id, s + 1 AS ordinal, s AS step FROM (SELECT event_id, CAST(unnest(range(0, CAST(floor(value / 100) AS BIGINT) + 1)) AS BIGINT) AS s FROM events WHERE value >= 0)"),
     "table_function_json": (table_function_json, "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL"),

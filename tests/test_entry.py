@@ -43,3 +43,12 @@ def test_all_are_registered(spark):
     names = entry.queries()
     assert set(OWN) <= set(names) and set(entry.oracle_sql()) <= set(names)
     assert entry.entry(spark).count() == 5
+
+
+def test_scans_prune_and_push(spark):
+    plan = OWN["scan_filter_project"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "l_tax" not in plan.split("ReadSchema:")[1].split("\n")[0]
+    plan = OWN["scan_column_prune"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<l_partkey:bigint>" in plan
+    plan = OWN["win_topk_per_group"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
