@@ -24,9 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest_hashes
+
 ORDER, BITS = 3, 16
 DIM = 1 << BITS
 PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS, RIDGE, SEED = 300, 200, 96, 1e-2, 17
@@ -124,10 +126,9 @@ def fit(languages: list[str], rows: np.ndarray, landmarks: int = LANDMARKS, ridg
 
 
 def sample(labelled: DataFrame, per_language: int, max_languages: int, seed: int) -> DataFrame:
-    """The training rows of a table doc_id, lang, text.  Ranks are cut before the shuffle (window group limit)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    keys = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    keys = keys.select("doc_id", "lang").orderBy("lang", "doc_id").limit(per_language * max_languages)
+    """The training rows of a table doc_id, lang, text; their keys alone are sent to the tasks that read the texts."""
+    keys = smallest_hashes(labelled.select("doc_id", "lang"), "lang", per_language, seed)
+    keys = keys.orderBy("lang", "doc_id").limit(per_language * max_languages)
     return labelled.join(F.broadcast(keys.distinct()), ["doc_id", "lang"], "left_semi")
 
 
