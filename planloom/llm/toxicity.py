@@ -28,9 +28,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest_hashes
 from .language import held_out
 
 WORD = re.compile(r"\w+")
@@ -162,7 +163,15 @@ def tied_features(texts: list[str], labels: list[int], false_features: float) ->
         if not y:
             total.update({f for w in set(WORD.findall(t.lower())) for f in features(w) if f in hits})
     rate = len(toxic) / max(1, len(texts))
-    return {f for f, n in hits.items() if log_tail(n, total[f], rate) + math.log(max(tried, 1)) < math.log(false_features)}
+    tied = {f for f, n in hits.items() if log_tail(n, total[f], rate) + math.log(max(tried, 1)) < math.log(false_features)}
+    # a beginning that owes its hits to one continuation, and is less sure than it, says nothing by itself
+    vague = set()
+    for g in tied:
+        for n in PREFIXES:
+            f = g[:n]
+            if n < len(g) and f in tied and 2 * hits[g] >= hits[f] and hits[g] / total[g] > hits[f] / total[f]:
+                vague.add(f)
+    return tied - vague
 
 
 def distinct(texts: list[str], labels: list[int]) -> list[int]:
@@ -255,9 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int
     """A model of the rows of ``labels`` (doc_id, toxic) for which ``learn_from`` holds, and their texts."""
     marks = labels.where(learn_from & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     count = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    chosen = marks.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("doc_id", "toxic")
-    chosen = chosen.orderBy("doc_id").limit(2 * per_label)
+    chosen = smallest_hashes(marks, "toxic", per_label, seed).orderBy("doc_id").limit(2 * per_label)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = sorted(text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     texts, toxic = [r.text for r in rows], [r.toxic for r in rows]
