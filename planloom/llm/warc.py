@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import fresh_path, open_fs
+from .common import fresh_path, open_fs, scratch
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long, content_length long, payload binary"
 #: Record column: header field, parser.
@@ -359,11 +359,14 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     marked = rows.mapInArrow(_digests, "page_id long, target_uri string, payload binary, payload_bytes long, payload_digest string")
     keys = rows.select("page_id", F.octet_length("payload").alias("size"), F.sha1("payload").alias("key"))
     repeated = keys.where(F.col("size") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    # written, so that the join has two exchanges of its own and the engine can split the rows of a hot digest
+    repeated = scratch(repeated, "repeated-payloads")
     known = marked.join(repeated, F.sha1("payload") == F.col("key"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     records = known.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")).alias("record_id"),
+        # the same in every attempt of a task
+        F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("|", "page_id", "target_uri", "payload_digest")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">")).alias("record_id"),
         "target_uri",
         F.lit(EPOCH).alias("date"),
         "page_id",
