@@ -1,8 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (after ``.``, ``!`` or ``?`` with closing marks and white space, and at line breaks).  From
-every sentence on there is one span: the shortest run of sentences that has ``SENTENCES`` of them and ``FEW_WORDS``
-words, or else ``MANY_WORDS`` words.  The span's hash is a polynomial over the hashes of its sentences (lower-cased,
+A text is cut into sentences (after ``.``, ``!`` or ``?`` with closing marks and white space, and at line breaks; a
+sentence of over ``LONG`` characters is cut at its commas as well, so that what repeats within it can be seen).  From
+every sentence on there is one span: the shortest run of sentences that reaches any of the ``RUNS`` (three sentences
+and twelve words, two and twenty, or one of thirty words), so that passages of some fifty words that begin and end
+within longer sentences still hold a whole span.  The span's hash is a polynomial over the hashes of its sentences (lower-cased,
 white space collapsed).  Spans are joined globally on the hash; the first is the one with the smallest (doc_id,
 position), and every sentence that a non-first repeated span covers is removed.
 
@@ -29,8 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import narrow, scratch, slices
 
-SENTENCES, FEW_WORDS, MANY_WORDS = 3, 12, 50
+#: (sentences, words) that make a run long enough to count as a span.
+RUNS = ((3, 12), (2, 20), (1, 30))
 _BREAK = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|\s*\n\s*")
+#: Sentences of more characters are cut at their commas and the like as well.
+LONG = 120
+_CLAUSE = re.compile(r"(?<=[,;:])\s+(?=\S)")
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -49,7 +55,16 @@ def cut(text: str) -> list[tuple[int, int, int]]:
             at = b
     if at < len(text):
         out.append((at, len(text), len(text)))
-    return out
+    if not any(b - a > LONG for a, b, _ in out):
+        return out
+    short = []
+    for a, b, after in out:
+        if b - a > LONG:
+            for m in _CLAUSE.finditer(text, a, b):
+                short.append((a, m.start(), m.end()))
+                a = m.end()
+        short.append((a, b, after))
+    return short
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -62,8 +77,7 @@ def spans(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(hashes)
     total = np.append(0, np.cumsum(words))
     start = np.arange(n)
-    last_few = np.maximum(start + SENTENCES - 1, np.searchsorted(total, total[:-1] + FEW_WORDS) - 1)
-    last = np.minimum(last_few, np.searchsorted(total, total[:-1] + MANY_WORDS) - 1)
+    last = np.minimum.reduce([np.maximum(start + count - 1, np.searchsorted(total, total[:-1] + least) - 1) for count, least in RUNS])
     start = start[last < n]
     last = last[start]
     with np.errstate(over="ignore"):

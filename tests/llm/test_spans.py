@@ -11,7 +11,7 @@ def plain_spans(text):
         words = 0
         for j in range(i, len(parts)):
             words += len(parts[j].split())
-            if words >= 50 or (j - i + 1 >= 3 and words >= 12):
+            if words >= 30 or (j - i + 1 >= 3 and words >= 12) or (j - i + 1 >= 2 and words >= 20):
                 out.append((tuple(parts[i : j + 1]), i, j + 1))
                 break
     return out
