@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,10 +44,18 @@ def drop_scratch(df: DataFrame) -> None:
 
 
 def slices(batches: Iterator, rows: int = 1000) -> Iterator:
-    """Arrow batches in parts of at most that many rows: what a worker holds as Python objects at a time."""
+    """Arrow batches in parts of at most that many rows: what a worker holds as Python objects at a time.
+
+    Workers outlive their tasks, so at the end memory that is free goes back to the system.
+    """
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

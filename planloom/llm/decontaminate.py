@@ -31,10 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, without_ids
+from .common import scratch, slices, without_ids
 
 WINDOW, LITERALS, COVERAGE = 5, 2, 0.5
-MAX_FILTER, CACHE_ENTRIES = 2_000_000, 300_000
+MAX_FILTER, CACHE_ENTRIES = 2_000_000, 200_000
 PLAIN, NUMBER, UNIT, NAME, NOTHING = range(5)
 
 # Words that stand for numbers, units of measure, and common sentence openers that are no names.
@@ -136,16 +136,14 @@ def _windower(filter_hashes: np.ndarray | None):
                 found = np.searchsorted(known, hashes[maybe])
                 return maybe[(found < len(known)) & (known[np.minimum(found, len(known) - 1)] == hashes[maybe])] if len(known) else maybe[:0]
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                ids, out = part.column(0).to_pylist(), ([], [], [], [], [])
-                for place, hashes, at, slots, count in templates.windows(part.column(1).to_pylist(), keep):
-                    if len(at):
-                        for column, values in zip(out, ([ids[place]] * len(at), hashes.view(np.int64).tolist(), at.tolist(), slots, [count] * len(at))):
-                            column += values
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()))], names=["id", "hash", "pos", "slots", "windows"])
+        for part in slices(batches, 500):
+            ids, out = part.column(0).to_pylist(), ([], [], [], [], [])
+            for place, hashes, at, slots, count in templates.windows(part.column(1).to_pylist(), keep):
+                if len(at):
+                    for column, values in zip(out, ([ids[place]] * len(at), hashes.view(np.int64).tolist(), at.tolist(), slots, [count] * len(at))):
+                        column += values
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()))], names=["id", "hash", "pos", "slots", "windows"])
 
     return run
 

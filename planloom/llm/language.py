@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest_hashes
+from .common import slices, smallest_hashes
 
 ORDER, BITS = 3, 16
 DIM = 1 << BITS
@@ -58,7 +58,7 @@ def present(text: str, flags: np.ndarray) -> np.ndarray:
 def bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, text to lang, bits."""
     flags = np.zeros(DIM, bool)
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text in batch.column(1).to_pylist():
             row = np.zeros(DIM, np.uint8)
@@ -147,7 +147,7 @@ def predicted(model: Model):
     """A function for mapInArrow over batches whose column ``text`` is scored; lang_pred and score are appended."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             languages, scores = model.predict(batch.column("text").to_pylist())
             kept = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
@@ -175,7 +175,7 @@ def keep_known(docs: DataFrame, least_score: float = 0.0, **options) -> DataFram
     rows = docs.toDF(*names).withColumn("text", F.col(names[at]).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             languages, scores = model.predict(batch.column("text").to_pylist())
             good = pa.array([s != "und" and v >= least_score for s, v in zip(languages, scores)], pa.bool_())
             yield batch.select(names).filter(good)

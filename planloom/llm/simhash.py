@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, narrow, scratch, without_ids
+from .common import drop_scratch, narrow, scratch, slices, without_ids
 
 SEED = 42
 LEAF, FAN = 8, 8
@@ -62,7 +62,7 @@ def fingerprint(data: bytes, width: int = 3) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         codes = np.array([fingerprint(t) if t else 0 for t in texts], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], names=["doc_id", "fp"])

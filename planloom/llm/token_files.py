@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, narrow, open_fs
+from .common import fresh_path, narrow, open_fs, slices
 
 # The Simple-8b selectors in use, (ids in a word, bits of an id), from selector 2 on.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -41,7 +41,7 @@ ESCAPE = 0
 BLOCK, PAD, PART = 1024, 60, 128
 MAGIC = b"S8BIDS01"
 #: Distinct pieces whose ids a worker keeps.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 # --- coding ----------------------------------------------------------------------------------------------------
@@ -264,7 +264,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         doc_ids, lengths, parts = [], [], []
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids += batch.column(0).to_pylist()
             for text in batch.column(1).to_pylist():
                 ids = encode_text(text)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest_hashes
+from .common import slices, smallest_hashes
 from .language import held_out
 
 WORD = re.compile(r"\w+")
@@ -283,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int
 
 def _scorer(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 5000):
             score = model.score(model.marginals(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
