@@ -20,9 +20,9 @@ def max_seqid(log: DataFrame) -> int:
     return log.agg(F.coalesce(F.max("seqid"), F.lit(0))).first()[0]
 
 
-def read_jdbc(spark: SparkSession, url: str, cursor: int = 0, **options) -> DataFrame:
+def read_jdbc(spark: SparkSession, url: str, log_table: str, cursor: int = 0, **options) -> DataFrame:
     """The log table of a database, from the cursor on (needs that database's JDBC driver)."""
-    query = f"SELECT * FROM query_plan.log WHERE seqid > {int(cursor)}"
+    query = f"SELECT * FROM {log_table} WHERE seqid > {int(cursor)}"
     return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
 
 
