@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 and read again as the next stage's ``docs``.  All stages but the last return the columns of ``documents``.
 
 1. language: documents whose language can't be told (no letter, no text) go.
-2. near_dedup: of each class of SimHash near-duplicates the document with the smallest doc_id stays.
+2. near_dedup: of each class of near copies (five-word Jaccard similarity of 0.8 or more) the document with the smallest
+   doc_id stays.
 3. decontaminate: documents that hold a benchmark item, verbatim or with other numbers and names, go.
 4. mix: documents are repeated, or left out, as the capped water-filling of sources takes them.
 5. tokens: the remaining documents are written as Simple-8b token-id files; one row for each document read back.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planloom.llm import decontaminate, language, mixing, simhash, token_files
+from planloom.llm import decontaminate, language, mixing, near_copies, token_files
 from planloom.llm.common import scratch, table
 from planloom.llm.queries import tokenizer_path
 
@@ -24,7 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
