@@ -2,13 +2,15 @@
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` with closing marks and white space, and at line breaks; a
 sentence of over ``LONG`` characters is cut at its commas as well, so that what repeats within it can be seen).  From
-every sentence on there is one span: the shortest run of sentences that reaches any of the ``RUNS`` (three sentences
-and twelve words, two and twenty, or one of thirty words), so that passages of some fifty words that begin and end
-within longer sentences still hold a whole span.  The span's hash is a polynomial over the hashes of its sentences (lower-cased,
+every sentence on, and back from every sentence, there is one span: the shortest run of sentences that reaches any of
+the ``RUNS`` (three sentences and twelve words, two and twenty, or one of thirty words), so that passages of some fifty
+words that begin and end within longer sentences still hold a whole span.  A run that holds one that reaches reaches
+too, so each sentence of any repeated run that reaches lies in a repeated span: in the one from it on if that ends within
+the run, else in the one back from the run's end.  The span's hash is a polynomial over the hashes of its sentences (lower-cased,
 white space collapsed).  Spans are joined globally on the hash; the first is the one with the smallest (doc_id,
 position), and every sentence that a non-first repeated span covers is removed.
 
-Scale: what crosses the network is one narrow row for each sentence (hash, doc_id, position, length), in a partial
+Scale: what crosses the network is one or two narrow rows for each sentence (hash, doc_id, position, length), in a partial
 aggregate and once more in the join with the hashes that occur again; a hash held by a third of all rows collapses in
 the first and is split by the engine's skew join in the second.  Nothing but a document's own spans is ever brought
 together in one place.
@@ -73,13 +75,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def spans(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and hash of the span from each sentence that has one."""
+    """Start, length and hash of the spans from each sentence on and back from each sentence."""
     n = len(hashes)
     total = np.append(0, np.cumsum(words))
     start = np.arange(n)
     last = np.minimum.reduce([np.maximum(start + count - 1, np.searchsorted(total, total[:-1] + least) - 1) for count, least in RUNS])
-    start = start[last < n]
-    last = last[start]
+    back = np.maximum.reduce([np.minimum(start - count + 1, np.searchsorted(total, total[1:] - least, "right") - 1) for count, least in RUNS])
+    # both ways give many spans twice
+    start, last = np.divmod(np.unique(np.append((start * n + last)[last < n], (back * n + start)[back >= 0])), n)
     with np.errstate(over="ignore"):
         summed = np.append(np.uint64(0), np.cumsum(hashes * _powers(BASE, n), dtype=np.uint64))
         value = (summed[last + 1] - summed[start]) * _powers(_INVERSE, n)[start] + (last - start).astype(np.uint64)
