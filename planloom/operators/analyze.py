@@ -16,10 +16,17 @@ def misestimated(plan: Column, actual: Column, ratio: float = RATIO) -> Column:
 
 def misestimates(nodes: DataFrame, ratio: float = RATIO) -> DataFrame:
     """queryid, planid, node_no, conditions: nodes other than joins whose estimate was off by more than ``ratio`` in
-    any execution, with their distinct equality conditions (those without < or >)."""
+    any execution, with their distinct equality conditions (those without < or >); a node without any has those of its
+    first child, where ``nodes`` say which that is (parent_no, child_ix)."""
     bad = nodes.where(~F.col("node_type").isin(schema.JOINS) & misestimated(F.col("plan_rows"), F.col("actual_rows"), ratio))
     plain = F.transform(F.filter("conds", lambda c: ~c["expr"].rlike("[<>]")), lambda c: F.concat(c["kind"], F.lit(": "), c["expr"]))
-    each = bad.select("queryid", "planid", "node_no", F.explode_outer(plain).alias("condition"))
+    bad = bad.withColumn("__own", plain)
+    if {"parent_no", "child_ix"} <= set(nodes.columns):
+        keys = [c for c in ("server_id", "seqid", "queryid", "planid") if c in nodes.columns]
+        child = nodes.where("child_ix = 0 and parent_no is not null").select(*keys, F.col("parent_no").alias("node_no"), plain.alias("__below")).distinct()
+        none = F.coalesce(F.size("__own"), F.lit(0)) <= 0
+        bad = bad.join(child, [*keys, "node_no"], "left").withColumn("__own", F.when(none, F.col("__below")).otherwise(F.col("__own")))
+    each = bad.select("queryid", "planid", "node_no", F.explode_outer("__own").alias("condition"))
     return each.groupBy("queryid", "planid", "node_no").agg(F.array_sort(F.collect_set("condition")).alias("conditions"))
 
 
