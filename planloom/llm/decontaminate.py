@@ -7,14 +7,20 @@ placeholder.  Window hashes of documents and benchmark are joined; the pairs of
 reach ``coverage`` of the item's windows go on to the slot check: every slot value of the item must stand for one value
 throughout the document's passage (the most frequent one counts), and windows that break the mapping no longer count.
 A pair is contaminated if the consistent windows still reach ``coverage``; it is ``verbatim`` if the mapping is the
-identity and ``reparameterised`` otherwise.
+identity and ``reparameterised`` otherwise.  Windows that are equal word for word count wherever they stand, so a
+verbatim item that foreign text splits is found as well.
+
+Besides these, runs of words are compared literally (lower-cased, without outer punctuation): ``LITERAL_RUN`` words of an
+item in a row contaminate a document whatever their share of the item, and an item without a template window (few
+words, or few that are no placeholder) is found if all its words, or ``LITERAL_RUN`` of them, stand in a row.  For pairs
+found by these alone ``windows`` and ``coverage`` count literal runs of the item.
 
 Scale: the benchmark's window hashes go to every task as a filter only if they are at most ``MAX_FILTER`` (16 MB);
 beyond that every window of the documents enters the hash join.  The join of windows is left to the engine (broadcast
 by size, skew-split otherwise); counts are pre-aggregated, and a group that is worked on in Python holds one document's
 windows for one item.
 
-Edge cases: null or short texts have no window; an item without a window can't be found; equal items are each
+Edge cases: null or short texts have no window; an item without a template window is found verbatim only, and one without words never; equal items are each
 reported; rows that repeat a doc_id are taken as one document; rows without doc_id or item_id take no part.
 """
 
@@ -34,6 +40,7 @@ from pyspark.sql import functions as F
 from .common import scratch, slices, without_ids
 
 WINDOW, LITERALS, COVERAGE = 5, 2, 0.5
+LITERAL_RUN = 13
 MAX_FILTER, CACHE_ENTRIES = 2_000_000, 200_000
 PLAIN, NUMBER, UNIT, NAME, NOTHING = range(5)
 
@@ -49,6 +56,7 @@ _NUMBER = re.compile(r"[+-]?[$€£¥]?\d[\d.,:/]*(?:st|nd|rd|th|%)?$")
 _NUMBER_UNIT = re.compile(r"([+-]?[$€£¥]?\d[\d.,:/]*)([A-Za-z]+)$")
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%+-") + "“”‘’«»¿¡…"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
 def canonical(word: str) -> tuple[int, str]:
@@ -76,33 +84,59 @@ class Templates:
 
     def reset(self):
         self.number: dict[str, int] = {}
-        self.kinds, self.codes, self.values = array("B"), array("Q"), []
+        self.kinds, self.codes, self.words, self.values = array("B"), array("Q"), array("Q"), []
 
     def add(self, word: str) -> int:
         kind, text = canonical(word)
         n = self.number[word] = len(self.values)
         self.kinds.append(kind)
         self.codes.append(xxhash.xxh3_64_intdigest(f"{kind}" if kind else "=" + text))
+        self.words.append(xxhash.xxh3_64_intdigest("w" + text.lower()))
         self.values.append(text)
         return n
 
-    def windows(self, texts: list[str | None], keep=lambda hashes: slice(None)) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[str]], int]]:
-        """For each text: its place, hashes and positions of the windows that ``keep`` picks, their slot values, and
-        how many windows there are."""
+    def windows(self, texts: list[str | None], keep=lambda hashes: slice(None), widths: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[str] | None], int, int]]:
+        """For each text: its place, hashes and positions of the windows that ``keep`` picks, their slot values, how
+        many windows there are, and 0; and the same for its literal runs of each width, without slot values.
+
+        Without ``widths`` a text is an item: its runs are ``LITERAL_RUN`` words wide, or all its words if it has no
+        template window.
+        """
         if len(self.values) > CACHE_ENTRIES:
             self.reset()
         number, add = self.number, self.add
         ids = [np.array([number[w] if w in number else add(w) for w in t.split()], np.int64) if t else np.zeros(0, np.int64) for t in texts]
-        kinds, codes, values = np.array(self.kinds, np.uint8), np.array(self.codes, np.uint64), self.values
+        kinds, codes, words, values = np.array(self.kinds, np.uint8), np.array(self.codes, np.uint64), np.array(self.words, np.uint64), self.values
+        longest = max(map(len, ids), default=0)
+        with np.errstate(over="ignore"):
+            up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(longest, m, np.uint64)), dtype=np.uint64) for m in (MULTIPLIER, INVERSE))
         for place, own in enumerate(ids):
             own = own[kinds[own] != NOTHING]
             kind = kinds[own]
             begins = np.flatnonzero(np.append(True, (kind[1:] != NAME) | (kind[:-1] != NAME))) if len(own) else np.zeros(0, np.int64)
             kind, code = kind[begins], codes[own[begins]]
             n = len(begins) - WINDOW + 1
+            literal = np.convolve(kind == PLAIN, np.ones(WINDOW, np.int64), "valid") if n > 0 else np.zeros(0, np.int64)
+            if widths is None:
+                runs = [LITERAL_RUN if (literal >= LITERALS).any() else min(len(own), LITERAL_RUN)]
+            else:
+                runs = widths
+            if len(own):
+                with np.errstate(over="ignore"):
+                    summed = np.append(np.uint64(0), np.cumsum(words[own] * up[: len(own)], dtype=np.uint64))
+                    for width in runs:
+                        count = len(own) - width + 1
+                        if count < 1:
+                            continue
+                        hashes = (summed[width:] - summed[:-width]) * down[:count] + np.uint64(width)
+                        hashes = (hashes ^ (hashes >> np.uint64(31))) * MULTIPLIER
+                        hashes ^= hashes >> np.uint64(29)
+                        picked = keep(hashes)
+                        at = np.arange(count)[picked]
+                        # the template token that holds the run's first word
+                        yield place, hashes[picked], np.searchsorted(begins, at, "right") - 1, [None] * len(at), count, width
             if n < 1:
                 continue
-            literal = np.convolve(kind == PLAIN, np.ones(WINDOW, np.int64), "valid")
             with np.errstate(over="ignore"):
                 total = np.zeros(n, np.uint64)
                 for k in range(WINDOW):
@@ -116,11 +150,11 @@ class Templates:
             ends = np.append(begins[1:], len(own)) if len(at) else None
             for a in at.tolist():
                 slots.append([f"{kind[k]}:" + " ".join(values[i] for i in own[begins[k] : ends[k]]) for k in range(a, a + WINDOW) if kind[k] != PLAIN])
-            yield place, hashes, at, slots, count
+            yield place, hashes, at, slots, count, 0
 
 
-def _windower(filter_hashes: np.ndarray | None):
-    """Batches of id, text to id, hash, pos, slots, windows (of the whole text)."""
+def _windower(filter_hashes: np.ndarray | None, widths: list[int] | None = None):
+    """Batches of id, text to id, hash, pos, slots (null for literal runs), windows (of the whole text), width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -137,18 +171,18 @@ def _windower(filter_hashes: np.ndarray | None):
                 return maybe[(found < len(known)) & (known[np.minimum(found, len(known) - 1)] == hashes[maybe])] if len(known) else maybe[:0]
 
         for part in slices(batches, 500):
-            ids, out = part.column(0).to_pylist(), ([], [], [], [], [])
-            for place, hashes, at, slots, count in templates.windows(part.column(1).to_pylist(), keep):
+            ids, out = part.column(0).to_pylist(), ([], [], [], [], [], [])
+            for place, hashes, at, slots, count, width in templates.windows(part.column(1).to_pylist(), keep, widths):
                 if len(at):
-                    for column, values in zip(out, ([ids[place]] * len(at), hashes.view(np.int64).tolist(), at.tolist(), slots, [count] * len(at))):
+                    for column, values in zip(out, ([ids[place]] * len(at), hashes.view(np.int64).tolist(), at.tolist(), slots, [count] * len(at), [width] * len(at))):
                         column += values
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()))], names=["id", "hash", "pos", "slots", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32()))], names=["id", "hash", "pos", "slots", "windows", "width"])
 
     return run
 
 
-SCHEMA = "id long, hash long, pos int, slots array<string>, windows int"
+SCHEMA = "id long, hash long, pos int, slots array<string>, windows int, width int"
 
 
 def consistent(rows: list[tuple[int, int, list[str], list[str]]]) -> tuple[set[int], bool]:
@@ -180,6 +214,9 @@ def _judge(coverage: float):
         rows = list(zip(table["ipos"].to_pylist(), table["pos"].to_pylist(), table["islots"].to_pylist(), table["slots"].to_pylist()))
         positions, same = consistent(rows)
         total = table["iwindows"][0].as_py()
+        if len(positions) < coverage * total:
+            # parts that foreign text splits: windows that are equal word for word
+            positions, same = {p for p, _, theirs, ours in rows if theirs == ours}, True
         good = len(positions) >= coverage * total
         own = [r[1] for r in rows if r[0] in positions]
         out = {"doc_id": table["id"][:1], "item_id": table["item_id"][:1], "windows": pa.array([len(positions)], pa.int32()), "coverage": pa.array([len(positions) / total]), "kind": ["verbatim" if same else "reparameterised"], "first": pa.array([min(own, default=0)], pa.int32()), "last": pa.array([max(own, default=0) + WINDOW], pa.int32())}
@@ -192,16 +229,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """doc_id, item_id, windows, coverage, kind, first, last (template tokens) for each contaminated pair."""
     ours = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("id").isNotNull())
     theirs = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("id").isNotNull())
-    items = theirs.mapInArrow(_windower(None), SCHEMA).select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("ipos"), F.col("slots").alias("islots"), F.col("windows").alias("iwindows"))
+    items = theirs.mapInArrow(_windower(None), SCHEMA).select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("ipos"), F.col("slots").alias("islots"), F.col("windows").alias("iwindows"), "width")
+    items = scratch(items, "items")
+    widths = sorted(r.width for r in items.where("width > 0").select("width").distinct().collect())
     distinct = items.select("hash").distinct()
     hashes = distinct.limit(max_filter + 1).collect()
     known = np.array([r.hash for r in hashes], np.int64).view(np.uint64) if len(hashes) <= max_filter else None
     # written once: the texts are gone through a single time
-    found = scratch(ours.mapInArrow(_windower(known), SCHEMA).drop("windows").join(items, "hash"), "windows")
+    found = scratch(ours.mapInArrow(_windower(known, widths), SCHEMA).drop("windows").join(items, ["hash", "width"]), "windows")
+    literal, found = found.where("width > 0"), found.where("width = 0")
     enough = found.groupBy("id", "item_id").agg(F.count_distinct("ipos").alias("n"), F.max("iwindows").alias("most")).where(F.col("n") >= coverage * F.col("most"))
     pairs = found.join(enough.select("id", "item_id"), ["id", "item_id"], "left_semi").distinct()
     schema = "doc_id long, item_id long, windows int, coverage double, kind string, first int, last int"
-    return pairs.groupBy("id", "item_id").applyInArrow(_judge(coverage), schema)
+    judged = scratch(pairs.groupBy("id", "item_id").applyInArrow(_judge(coverage), schema), "judged")
+    runs = literal.groupBy("id", "item_id").agg(F.count_distinct("ipos").cast("int").alias("windows"), F.max("iwindows").alias("of"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("width")).alias("last"))
+    runs = runs.select(F.col("id").alias("doc_id"), "item_id", "windows", (F.col("windows") / F.col("of")).alias("coverage"), F.lit("verbatim").alias("kind"), "first", "last")
+    return judged.union(runs.join(judged.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti").select(*judged.columns))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
