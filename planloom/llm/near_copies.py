@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, scratch, slices, without_ids
+from .common import BROADCAST_ROWS, narrow, scratch, slices, without_ids
 from .simhash import components
 
 SEED, WIDTH = 42, 5
@@ -84,7 +84,9 @@ def _prefixer(hot: np.ndarray):
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v of the pairs whose sets are similar."""
     pairs = scratch(pairs, "pairs")
-    wanted = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    wanted = scratch(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), "wanted")
+    # few keys go to every task, so that the sets of the others don't cross the network
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     held = scratch(sets.join(wanted, "key", "left_semi").select("key", "shingles").dropDuplicates(["key"]), "held")
     both = pairs.join(held.toDF("u", "su"), "u").join(held.toDF("v", "sv"), "v")
     shared = F.size(F.array_intersect("su", "sv"))
@@ -96,12 +98,16 @@ def links(sets: DataFrame, long_bucket: int = LONG_BUCKET) -> DataFrame:
     sample = sets.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).dropDuplicates(["key"])
     often = sample.select(F.explode("shingles").alias("hash")).groupBy("hash").count().where(F.col("count") >= HOT)
     hot = np.array([r.hash for r in often.orderBy(F.desc("count"), "hash").limit(HOT_ROWS).collect()], np.int64)
-    rows = sets.where("n > 0").select("key", "n", "shingles").mapInArrow(_prefixer(hot), "hash long, key long, n int").distinct()
-    rows = scratch(rows, "prefixes")
-    size = rows.groupBy("hash").agg(F.count("*").alias("members"), F.min("key").alias("r0"), F.max("key").alias("r1"), F.min_by("key", F.xxhash64("key")).alias("r2"), F.max_by("key", F.xxhash64("key")).alias("r3")).where("members > 1")
-    buckets = scratch(rows.join(scratch(size, "buckets"), "hash"), "members")
-    long = buckets.where(F.col("members") > long_bucket).select("key", F.explode(F.array("r0", "r1", "r2", "r3")).alias("other")).where("key <> other")
-    first = scratch(_similar(long.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct(), sets), "first")
+    rows = sets.where("n > 0").select("key", "n", "shingles").mapInArrow(_prefixer(hot), "hash long, key long, n int")
+    # one exchange serves the distinct rows and their counts
+    rows = rows.repartition("hash").distinct().withColumn("members", F.count("*").over(Window.partitionBy("hash")))
+    buckets = scratch(rows.where("members > 1"), "buckets")
+    long, one = buckets.where(F.col("members") > long_bucket), F.struct(F.col("key").alias("other"), F.col("n").alias("m"))
+    own = long.groupBy("hash").agg(F.array(F.min(one), F.max(one), F.min_by(one, F.xxhash64("key")), F.max_by(one, F.xxhash64("key"))).alias("own"))
+    star = long.join(own, "hash").select("key", "n", F.explode(F.array_distinct("own")).alias("o")).select("key", "n", "o.other", "o.m")
+    star = star.where("key <> other and 5 * least(n, m) >= 4 * greatest(n, m)").groupBy(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).agg(F.count("*").alias("met"), F.min(F.least("n", "m")).alias("n"))
+    # these links only save work: a pair left out here is met again below
+    first = scratch(_similar(star.where("20 * met >= n").select("u", "v"), sets), "first")
     roots = components(first)
     placed = buckets.select("hash", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = scratch(placed, "placed")
