@@ -6,7 +6,9 @@ import ctypes
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,19 +45,37 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return free memory to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator, rows: int = 1000) -> Iterator:
     """Arrow batches in parts of at most that many rows: what a worker holds as Python objects at a time.
 
-    Workers outlive their tasks, so at the end memory that is free goes back to the system.
+    At the end, memory that is free goes back to the system.
     """
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    give_back()
+
+
+def text_slices(batches: Iterator, column: int | str, rows: int = 1000, size: int = 8 << 20) -> Iterator:
+    """Arrow batches in parts of at most that many rows whose texts have at most ``size`` bytes; a longer text is alone."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        k = 0
+        while k < batch.num_rows:
+            before = total[k - 1] if k else 0
+            end = max(k + 1, min(k + rows, int(np.searchsorted(total, before + size, "right"))))
+            yield batch.slice(k, end - k)
+            k = end
+    give_back()
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

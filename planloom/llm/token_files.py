@@ -6,13 +6,20 @@ packs.  Selectors 2 to 15 are the published Simple-8b ones; selector 0 is the es
 coded apart, each with the offset of its first word: any block decodes without the ones before it, and coding and
 decoding run over all blocks at once in numpy.
 
-A file (little-endian):  magic | words | raw values | word offset of each block | doc_id | doc_id is null | ids of
-each document | JSON footer | footer length, int64 | magic.
+A file (little-endian):  magic | for each group of ``PART`` blocks its words and raw values | group table (place in the
+file, words, raw values) | word offset of each block in its group | doc_id | doc_id is null | ids of each document |
+JSON footer | footer length, int64 | magic.  A reader takes the tables from the end and then any group, or any block.
 
-Writing: rows are range-partitioned and sorted by doc_id (nulls first, equal ids by text), each task writes one file
-under a name of its own attempt, and the file counts only if the task's single result row (path, documents, ids)
-comes back: lost or doubled attempts leave files that no manifest names, and those are deleted.  The driver sees one
-row for each file, never a document.  Reading: one task for each file of the manifest.
+Writing: rows are range-partitioned by doc_id and sorted by (doc_id, hash of the text, text), nulls first.  A task codes
+a group as soon as its ids are there and begins another file after ``ROLL_IDS`` ids or ``ROLL_DOCS`` documents, so
+neither the size of a partition nor that of a file bounds what it holds; one document's ids are held whole.  Files carry
+the name of their attempt, and a file counts only if the task's result row for it (path, documents, ids) comes back:
+lost or doubled attempts leave files that no manifest names, and those are deleted.  The driver sees one row for each
+file, never a document.  The text enters the range key only if one doc_id has over ``HOT_ROWS`` rows; the order is the
+same either way.  Reading: one task for each file of the manifest, group by group.
+
+Tokenising: the plain call of the library, ``encode(text, add_special_tokens=False)``: the strings of special tokens in
+a text become the tokens' ids (with ``special_as_text`` they are ordinary text).
 
 Edge cases: null text is empty; an empty document holds the end id alone; repeated rows are coded as often as they
 come; an empty table gives no file and no row.
@@ -29,19 +36,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, narrow, open_fs, slices
+from .common import fresh_path, give_back, narrow, open_fs, text_slices
 
 # The Simple-8b selectors in use, (ids in a word, bits of an id), from selector 2 on.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 0
 BLOCK, PAD, PART = 1024, 60, 128
-MAGIC = b"S8BIDS01"
-#: Distinct pieces whose ids a worker keeps.
-CACHE_ENTRIES = 200_000
+MAGIC = b"S8BIDS02"
+#: A file ends after so many ids or documents.
+ROLL_IDS, ROLL_DOCS = 1 << 25, 1 << 20
+#: Rows of one doc_id beyond which texts help to deal the rows.
+HOT_ROWS = 100_000
+#: Bytes of text that are encoded at a time (one longer text is whole).
+SLICE_BYTES = 8 << 20
+#: Distinct pieces whose ids a task keeps, and the longest of them.
+CACHE_ENTRIES, CACHE_PIECE = 300_000, 64
 
 
 # --- coding ----------------------------------------------------------------------------------------------------
@@ -139,51 +154,130 @@ def _decode(words: np.ndarray, raw: np.ndarray, offsets: np.ndarray, block: int)
 # --- files -----------------------------------------------------------------------------------------------------
 
 
-def write_file(uri: str, doc_ids: list, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> None:
-    words, raw, offsets = encode(ids, block)
-    nulls = np.array([d is None for d in doc_ids], np.uint8)
-    keys = np.array([d or 0 for d in doc_ids], np.int64)
-    footer = json.dumps({"block": block, "ids": len(ids), "words": len(words), "raw": len(raw), "blocks": len(offsets), "docs": len(keys)}).encode()
-    fs, path = open_fs(uri)
-    with fs.open_output_stream(path) as out:
-        out.write(MAGIC)
-        for part in (words, raw, offsets.astype(np.int64), keys, nulls, np.asarray(lengths, np.int64)):
-            out.write(memoryview(np.ascontiguousarray(part)).cast("B") if len(part) else b"")
-        out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
-
-
-def read_file(uri: str) -> tuple[list, np.ndarray, np.ndarray]:
-    """doc_ids (None where null), ids of each document, and all ids of a file."""
-    fs, path = open_fs(uri)
-    with fs.open_input_file(path) as source:
-        data = source.read()
-    if data[:8] != MAGIC or data[-8:] != MAGIC:
-        raise ValueError(f"{uri} is no token-id file, or is cut short")
-    size = int.from_bytes(data[-16:-8], "little")
-    f = json.loads(data[-16 - size : -16])
-    at, parts = 8, []
-    for dtype, n in ((np.uint64, f["words"]), (np.uint64, f["raw"]), (np.int64, f["blocks"]), (np.int64, f["docs"]), (np.uint8, f["docs"]), (np.int64, f["docs"])):
-        parts.append(np.frombuffer(data, dtype, n, at))
-        at += n * np.dtype(dtype).itemsize
-    words, raw, offsets, keys, nulls, lengths = parts
-    return [None if gone else k for k, gone in zip(keys.tolist(), nulls.tolist())], lengths, decode(words, raw, offsets, f["ids"], f["block"])
+class TokenFile:
+    """Writes one file; ids are coded and written as soon as they fill a group."""
+
+    def __init__(self, uri: str, block: int = BLOCK):
+        self.uri, self.block, self.group = uri, block, PART * block
+        fs, path = open_fs(uri)
+        self.out = fs.open_output_stream(path, compression=None)
+        self.out.write(MAGIC)
+        self.at, self.ids, self.held, self.waiting = len(MAGIC), 0, [], 0
+        self.groups, self.offsets = [], []
+        self.keys, self.nulls, self.lengths = array("q"), array("B"), array("q")
+
+    @property
+    def docs(self) -> int:
+        return len(self.keys)
+
+    def add(self, doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Documents (ids of all of them one after the other, ``lengths`` of each)."""
+        self.keys.extend(d or 0 for d in doc_ids)
+        self.nulls.extend(d is None for d in doc_ids)
+        self.lengths.frombytes(np.asarray(lengths, np.int64).tobytes())
+        self.ids += len(ids)
+        self.held.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= self.group:
+            self._code(self.waiting // self.group * self.group)
+
+    def _code(self, size: int) -> None:
+        ids = np.concatenate(self.held)
+        for k in range(0, size, self.group):
+            words, raw, offsets = _encode(ids[k : min(k + self.group, size)], self.block)
+            self.groups.append((self.at, len(words), len(raw)))
+            self.offsets.append(offsets.astype(np.int64))
+            for part in (words, raw):
+                if len(part):
+                    self.out.write(memoryview(part).cast("B"))
+            self.at += 8 * (len(words) + len(raw))
+        self.held, self.waiting = ([ids[size:].copy()] if size < len(ids) else []), len(ids) - size
+
+    def close(self) -> dict:
+        if self.waiting:
+            self._code(self.waiting)
+        offsets = np.concatenate([np.zeros(0, np.int64), *self.offsets])
+        for part in (np.array(self.groups, np.int64).reshape(-1), offsets, self.keys, self.nulls, self.lengths):
+            if len(part):
+                self.out.write(memoryview(part).cast("B"))
+        footer = json.dumps({"block": self.block, "ids": self.ids, "groups": len(self.groups), "blocks": len(offsets), "docs": self.docs, "tail": self.at}).encode()
+        self.out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
+        self.out.close()
+        return {"uri": self.uri, "docs": self.docs, "ids": self.ids}
+
+
+class TokenReader:
+    """Reads one file: its documents' doc_ids (None where null) and lengths, and the ids of any group or stretch."""
+
+    def __init__(self, uri: str):
+        fs, path = open_fs(uri)
+        self.source = fs.open_input_file(path)
+        size = self.source.size()
+        end = self.source.read_at(min(size, 16), max(0, size - 16))
+        if len(end) < 16 or end[8:] != MAGIC or self.source.read_at(8, 0) != MAGIC:
+            raise ValueError(f"{uri} is no token-id file, or is cut short")
+        length = int.from_bytes(end[:8], "little")
+        footer = json.loads(self.source.read_at(length, size - 16 - length))
+        tail = self.source.read_at(size - 16 - length - footer["tail"], footer["tail"])
+        self.block, self.ids, at, parts = footer["block"], footer["ids"], 0, []
+        for dtype, n in ((np.int64, 3 * footer["groups"]), (np.int64, footer["blocks"]), (np.int64, footer["docs"]), (np.uint8, footer["docs"]), (np.int64, footer["docs"])):
+            parts.append(np.frombuffer(tail, dtype, n, at))
+            at += n * np.dtype(dtype).itemsize
+        self.groups, self.offsets, self.keys, self.nulls, self.lengths = parts[0].reshape(-1, 3), *parts[1:]
+
+    def doc_ids(self, first: int, last: int) -> list:
+        return [None if gone else k for k, gone in zip(self.keys[first:last].tolist(), self.nulls[first:last].tolist())]
+
+    def group(self, g: int) -> np.ndarray:
+        """The ids of a group, uint64."""
+        at, words, raw = map(int, self.groups[g])
+        data = self.source.read_at(8 * (words + raw), at)
+        offsets = self.offsets[g * PART : (g + 1) * PART]
+        total = min(self.ids - g * PART * self.block, PART * self.block)
+        return _decode(np.frombuffer(data, np.uint64, words), np.frombuffer(data, np.uint64, raw, 8 * words), offsets, self.block)[:total]
+
+    def stretch(self, first: int, last: int) -> np.ndarray:
+        """The ids from place ``first`` to before ``last``."""
+        size, last = PART * self.block, min(last, self.ids)
+        parts = [self.group(g)[max(0, first - g * size) : last - g * size] for g in range(first // size, -(-last // size) if last > first else 0)]
+        return np.concatenate([np.zeros(0, np.uint64), *parts])
+
+    def checksums(self) -> Iterator[tuple[int, np.ndarray]]:
+        """For each group the first document that ends in it and the CRC-32 of that and all others that do."""
+        ends, doc, crc = np.cumsum(self.lengths), 0, 0
+        for g in range(len(self.groups)):
+            ids = self.group(g).astype("<u4")
+            raw, begin = memoryview(ids).cast("B"), g * PART * self.block
+            last = int(np.searchsorted(ends, begin + len(ids), "right"))
+            places = (4 * (ends[doc:last] - begin)).tolist()
+            found, at = [], 0
+            for end in places:
+                found.append(zlib.crc32(raw[at:end], crc))
+                crc, at = 0, end
+            crc = zlib.crc32(raw[at:], crc)
+            if found:
+                yield doc, np.array(found, np.int64)
+            doc = last
+
+    def close(self) -> None:
+        self.source.close()
 
 
 # --- tokenising ------------------------------------------------------------------------------------------------
 
 
+#: Stands in a piece for the character before it, which isn't a space.
+GLUED = "\x01"
+_ENDS_WORD = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the characters from 256 on.
 _PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
-class _Open(Exception):
-    """A piece after which the text can't be cut for certain."""
-
-
 class _Pieces(dict):
-    """Ids of pieces of text; unknown ones are encoded and kept."""
+    """Ids of pieces of text (None for a piece after which the text can't be cut for certain); unknown ones are encoded
+    and kept, up to ``CACHE_ENTRIES`` of at most ``CACHE_PIECE`` characters."""
 
     def __init__(self, encoder: Encoder, lead: str, marks: _Pieces | None = None):
         super().__init__()
@@ -191,42 +285,58 @@ class _Pieces(dict):
         #: ids of runs of marks, which never begin a piece here
         self.marks = self if marks is None else marks
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes | None:
         if piece.isascii() and piece.isalpha():
             ids = array("I", [t.id for t in self.tokenize(self.mark + piece)]).tobytes()
+        elif piece[:1] == GLUED:
+            return self.marks[piece[1:]]
+        elif piece[:1] == "\n" and ("!" <= piece[1:2] <= "~" or piece[1:2].isalpha() and piece[1] < "\u0250"):
+            # a line break before anything but white space is a pre-token
+            ids = self.marks[piece[1:]]
+            ids = None if ids is None else self.marks.line_break() + ids
         elif not piece or not ("!" <= piece[-1] <= "~" or piece[-1].isalnum()):
-            raise _Open
+            ids = None
         else:
             stem = piece.rstrip(_MARKS)
             if stem != piece and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
                 # Latin letters and marks are two pre-tokens
-                ids = self[stem] + self.marks[piece[len(stem) :]]
+                return self[stem] + self.marks[piece[len(stem) :]]
             elif stem.isalpha() and max(stem) < "\u0250":
                 ids = array("I", [t.id for t in self.tokenize(self.mark + piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
             else:
                 ids = self.whole(piece if piece[0] == "\n" else self.lead + piece)
-        if len(self) < CACHE_ENTRIES:
+        if len(piece) <= CACHE_PIECE:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
             self[piece] = ids
         return ids
 
+    def line_break(self) -> bytes:
+        if "\n" not in self:
+            self["\n"] = self.whole("\n")
+        return self["\n"]
+
 
 class Encoder:
     """Whole texts to ids with the tokenizers library, piece by piece.
 
     A byte-level BPE without normaliser never merges across the start of a space, or of a line break, that follows a
-    character which is not white space.  Texts are cut there, and the library encodes each distinct piece once.  A
-    text with a piece after which the cut would not be certain (empty, or ending in anything but a letter, digit or
-    printable ASCII) goes to the library as a whole, as do all texts for any other kind of tokenizer.
+    character which is not white space, nor between a Latin letter or digit and a mark.  Texts are cut there (of the
+    marks only at a comma or full stop before a space), and the library encodes each distinct piece of a batch once.  A text with a piece after which the cut would not be certain (empty, or ending in anything but a letter,
+    digit or printable ASCII), or with the string of a special token, goes to the library as a whole, as do all texts
+    for any other kind of tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path) as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        #: strings that the library takes out of a text before it is cut
+        self.added = [t["content"] for t in spec.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.first = _Pieces(self, "")
@@ -235,69 +345,121 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        """The ids of a text as little-endian uint32."""
-        if not text:
-            return b""
-        if not self.by_piece or " \n" in text or text[0] == "\n":
-            return self.whole(text)
-        head, *rest = text.replace("\n", " \n").split(" ")
-        try:
-            return self.first[head] + b"".join(map(self.later.__getitem__, rest))
-        except _Open:
-            return self.whole(text)
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each followed by ``end`` if given, and the ids of each."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_piece:
+            blobs = [self.whole(t) if t else b"" for t in texts.to_pylist()]
+            which = np.arange(len(blobs))
+            heads, lists = which, np.arange(len(blobs) + 1)
+        else:
+            hard = pc.or_(pc.match_substring(texts, " \n"), pc.starts_with(texts, "\n"))
+            for s in (GLUED, *self.added):
+                hard = pc.or_(hard, pc.match_substring(texts, s))
+            cut = pc.replace_substring(pc.if_else(hard, "", texts), "\n", " \n")
+            for mark in ",.":
+                cut = pc.replace_substring(cut, f"{mark} ", f" {GLUED}{mark} ")
+            pieces = pc.split_pattern(cut, " ")
+            lists = pieces.offsets.to_numpy()
+            heads, values = lists[:-1], pieces.values
+            coded = pc.dictionary_encode(values)
+            codes = coded.indices.to_numpy()
+            used = np.zeros(len(coded.dictionary), bool)
+            rest = np.ones(len(codes), bool)
+            rest[heads] = False
+            used[codes[rest]] = True
+            blobs = list(map(self.later.__getitem__, coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()))
+            which = (np.cumsum(used) - 1)[codes]
+            which[heads] = 0
+            # texts that can't be cut, or not there, are encoded whole in place of their first piece
+            again = hard.to_numpy(zero_copy_only=False)
+            glued = np.flatnonzero(pc.starts_with(coded.dictionary, GLUED).to_numpy(zero_copy_only=False)[codes] & rest)
+            loose = ~pc.match_substring_regex(coded.dictionary, _ENDS_WORD).to_numpy(zero_copy_only=False)[codes[glued - 1]]
+            if None in blobs or loose.any():
+                open_ = np.array([b is None for b in blobs], bool)[which] & rest if blobs else rest
+                open_[glued[loose]] = True
+                blobs = [b or b"" for b in blobs]
+                again = again | np.logical_or.reduceat(open_, heads)
+            first = list(map(self.first.__getitem__, values.take(pa.array(heads)).to_pylist()))
+            again = np.flatnonzero(again | np.array([b is None for b in first], bool))
+            for i in again.tolist():
+                text = texts[i].as_py()
+                first[i] = self.whole(text) if text else b""
+                which[lists[i] : lists[i + 1]] = len(blobs)
+            which[heads] = len(blobs) + 1 + np.arange(len(first))
+            blobs += [b"", *first]
+        if end is not None:
+            which = np.insert(which, lists[1:], len(blobs))
+            lists = lists + np.arange(len(lists))
+            blobs.append(np.uint32(end).tobytes())
+        if not len(which):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        size = np.array([len(b) // 4 for b in blobs])
+        counts = size[which]
+        place = np.cumsum(size) - size
+        total = np.cumsum(counts)
+        at = np.repeat(place[which] - total + counts, counts) + np.arange(total[-1])
+        return np.frombuffer(b"".join(blobs), np.uint32)[at], np.diff(np.append(0, total[lists[1:] - 1]))
+
+    def forget(self) -> None:
+        self.first.clear()
+        self.later.clear()
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """The worker's encoder for a file."""
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int, special_as_text: bool, roll_ids: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text, end = encoder(tokenizer), np.uint32(end_id).tobytes()
-        doc_ids, lengths, parts = [], [], []
-        for batch in slices(batches):
-            doc_ids += batch.column(0).to_pylist()
-            for text in batch.column(1).to_pylist():
-                ids = encode_text(text)
-                parts += (ids, end)
-                lengths.append(len(ids) // 4 + 1)
-        if doc_ids:
-            context = TaskContext.get()
-            uri = f"{folder}/ids-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.s8b"
-            ids = np.frombuffer(b"".join(parts), np.uint32)
-            del parts
-            write_file(uri, doc_ids, np.array(lengths), ids)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int32()), "uri": [uri], "docs": [len(doc_ids)], "ids": [len(ids)]})
+        context, encode_texts, out, written = TaskContext.get(), encoder(tokenizer, special_as_text), None, []
+        for batch in text_slices(batches, 1, size=min(SLICE_BYTES, roll_ids)):  # an id is a byte at least
+            ids, lengths = encode_texts(batch.column(1), end_id)
+            out = out or TokenFile(f"{folder}/ids-{context.partitionId():06d}-{len(written):04d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.s8b", block)
+            out.add(batch.column(0).to_pylist(), lengths, ids)
+            if out.ids >= roll_ids or out.docs >= ROLL_DOCS:
+                written.append(out.close())
+                out = None
+        if out:
+            written.append(out.close())
+        encode_texts.forget()
+        give_back()
+        if written:
+            columns = {"part": pa.array([context.partitionId()] * len(written), pa.int32()), "nth": pa.array(range(len(written)), pa.int32())}
+            yield pa.RecordBatch.from_pydict(columns | {k: [w[k] for w in written] for k in ("uri", "docs", "ids")})
 
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> list[dict]:
+def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, special_as_text: bool = False, roll_ids: int = ROLL_IDS, block: int = BLOCK) -> list[dict]:
     """Write the table's ids in ascending doc_id order; returns the manifest, one entry for each file in order.
 
     ``tokenizer`` is the path of a tokenizers file that every executor has.
     """
-    open_fs(folder)[0].create_dir(open_fs(folder)[1], recursive=True)
-    keyed = narrow(docs).withColumn("tie", F.xxhash64("text"))
-    dealt = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
-    rows = dealt.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id), "part int, uri string, docs long, ids long").collect()
+    fs, path = open_fs(folder)
+    fs.create_dir(path, recursive=True)
+    rows = narrow(docs)
+    hot = rows.groupBy("doc_id").count().where(F.col("count") > HOT_ROWS).limit(1).count()
+    key, tie = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    dealt = rows.repartitionByRange(key, tie) if hot else rows.repartitionByRange(key)
+    dealt = dealt.sortWithinPartitions(key, tie, "text").select("doc_id", "text")
+    rows = dealt.mapInArrow(_writer(folder, tokenizer, end_id, special_as_text, roll_ids, block), "part int, nth int, uri string, docs long, ids long").collect()
     manifest, start = [], 0
-    for r in sorted(rows, key=lambda r: r.part):
+    for r in sorted(rows, key=lambda r: (r.part, r.nth)):
         manifest.append({"uri": r.uri, "start": start, "docs": r.docs, "ids": r.ids})
         start += r.ids
-    fs, path = open_fs(folder)
     named = {m["uri"].rsplit("/", 1)[1] for m in manifest}
-    import pyarrow.fs as pafs
-
     for info in fs.get_file_info(pafs.FileSelector(path)):
         if info.base_name.endswith(".s8b") and info.base_name not in named:
             fs.delete_file(info.path)
@@ -309,10 +471,13 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) ->
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            doc_ids, lengths, ids = read_file(uri)
-            raw, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(lengths)
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": ends - lengths + start, "n_tokens": lengths, "ids_crc32": pa.array(crc, pa.int64())})
+            held = TokenReader(uri)
+            starts = np.cumsum(held.lengths) - held.lengths + start
+            for doc, crc in held.checksums():
+                some = slice(doc, doc + len(crc))
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(held.doc_ids(doc, doc + len(crc)), pa.int64()), "start": starts[some], "n_tokens": held.lengths[some], "ids_crc32": crc})
+            held.close()
+    give_back()
 
 
 def read_ids(spark: SparkSession, manifest: list[dict]) -> DataFrame:
@@ -324,7 +489,7 @@ def read_ids(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     return files.repartition(len(manifest)).mapInArrow(_reader, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, **options) -> DataFrame:
     """Write all documents and read the digest of each back from the files."""
     spark = docs.sparkSession
-    return read_ids(spark, write_ids(docs, tokenizer, fresh_path(spark, "token-ids"), end_id))
+    return read_ids(spark, write_ids(docs, tokenizer, fresh_path(spark, "token-ids"), end_id, **options))
