@@ -1,9 +1,10 @@
 import random
 import re
 
+import duckdb
 import pytest
 
-from planloom.llm import mixing
+from planloom.llm import mixing, oracles
 
 
 def plain_targets(sizes, weights=(5, 2, 1), budget=1.5, epochs=2):
@@ -68,6 +69,31 @@ def test_repeat_gives_what_mix_counts(spark):
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in count.items() if v}
 
 
+def by_sql(spark, docs):
+    """The rows of the query's SQL over the same table."""
+    documents = docs.toArrow()  # noqa: F841 (DuckDB finds it by name)
+    return sorted(map(str, duckdb.connect().execute(oracles.ORACLES["op9_water_filling"]).fetchall()))
+
+
+def test_equal_rows_are_taken_as_there_is_room(spark):
+    docs = spark.createDataFrame([(1, "w " * 10, "a")] * 1000, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(docs).collect()
+    assert len(got) == 1000 and sum(r.taken for r in got) == 15_000 and {r.taken for r in got} == {10, 20}
+    assert sorted(str(tuple(r)) for r in got) == by_sql(spark, docs)
+    assert mixing.repeat(docs).count() == 1500
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_many_ties(spark, seed):
+    rng = random.Random(seed)
+    kinds = [(rng.choice([None, 1, 2, 3]), "w " * rng.randint(0, 40), rng.choice(["a", "b", None, "c"]), "x") for _ in range(25)]
+    rows = [k for k in kinds for _ in range(rng.choice([1, 2, 30, 400]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __n string").repartition(5)
+    got = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(str(tuple(r)) for r in got) == by_sql(spark, docs.drop("__n"))
+    assert mixing.repeat(docs).selectExpr("sum(size(filter(split(text, ' '), w -> w <> ''))) as n").first().n == sum(r.taken for r in got)
+
+
 def test_empty_and_wordless(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     got = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, " ", "b")], "doc_id long, text string, source string")).collect()
