@@ -1,17 +1,22 @@
-"""Near copies by exact Jaccard similarity of word shingles: the near-dedup stage of the pipeline.
+"""Near copies by five-word SimHash and exact Jaccard similarity: operator 1 as the near-dedup stage sets it.
 
 A text's set holds the XXH64 values of its five-word shingles (ASCII lower case; fewer words form one shingle).  Two
 texts are linked when their sets' Jaccard similarity is 0.8 or more; classes are the connected components of the links.
 
-The search is a prefix filter, so no link is missed.  In any one order of all shingles, two linked sets of sizes m and
-n share one of their first m // 5 + 1 and n // 5 + 1 shingles.  The order here is by hash, with shingles that a sample
-finds in many texts last, so that boilerplate seldom stands in a prefix.  Of the pairs that meet in a prefix, those whose
-sizes or numbers of shared prefix shingles rule the similarity out go, and the rest is compared set by set.
-
-Scale.  Texts with equal sets are one node (64-bit digest of the set).  Long buckets (shingles that many prefixes hold, in
-large classes of near copies) first link their members to a few of their own; after that only members of different
-classes make pairs, so a large class costs about its size and not its square.  The order and these first links change
-the work alone, never the result.
+Fingerprints of the shingles are linked by the Gray-order index of ``simhash``, and each member of a class of
+fingerprints is compared, set by set, with the class's first text.  A similarity of 0.8 is some 10 bits of 64 on
+average and up to 18, a radius at which that index leaves out next to nothing; so the fingerprints find the closest
+copies only, and the rest is found by a prefix filter over the same shingles, which misses no link.  In any one order
+of all shingles, two linked sets of sizes m and n share one of their first m // 5 + 1 and n // 5 + 1 shingles.  The
+order here is by hash, with shingles that a sample finds in many texts last, so that boilerplate seldom stands in a
+prefix.  Of the pairs that meet in a prefix and aren't in one class by then, those whose sizes or numbers of shared
+prefix shingles rule the similarity out go, and the rest is compared set by set.
+
+Scale.  Texts with equal sets are one node (64-bit digest of the set).  Prefixes alone are kept; whole sets are made
+again from the texts, for the nodes to be compared.  Long buckets (shingles that many prefixes hold, in large classes of
+near copies) first link their members to a few of their own; after that only members of different classes make pairs,
+so a large class costs about its size and not its square.  Shingles that a sample finds in very many texts are counted
+apart, so that none of them is one task's window.  The order and the first links change the work alone, never the result.
 
 Edge cases: null and blank texts have the empty set and are one class; rows that repeat stay or go together; a null
 doc_id is never a component id unless a class has nothing else; 64-bit hashes may agree by chance.
@@ -27,12 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, narrow, scratch, slices, without_ids
-from .simhash import components
+from .common import BROADCAST_ROWS, narrow, scratch, text_slices, without_ids
+from .simhash import code_links, components, shingle_hashes, vote
 
-SEED, WIDTH = 42, 5
-#: A shingle that this many of one in SAMPLE texts hold comes last in the order; at most HOT_ROWS are sent to every task.
-SAMPLE, HOT, HOT_ROWS = 16, 4, 500_000
+WIDTH, MAX_BITS = 5, 3
+#: A shingle that HOT of the texts hold, of one in SAMPLE, comes last in the order; at most HOT_ROWS are sent to every
+#: task.  One that FLOOD of them hold is counted apart.
+SAMPLE, HOT, HOT_ROWS, FLOOD = 16, 4, 500_000, 1000
 #: Members of a bucket beyond which it is first linked to a few of its own.
 LONG_BUCKET = 32
 #: Sets that a task remembers to write once.
@@ -41,73 +47,114 @@ SEEN = 500_000
 
 def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct shingle hashes of a text in UTF-8; none without words."""
-    words = data.lower().split()
-    digest = xxhash.xxh64_intdigest
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < width:
-        return np.array([digest(b" ".join(words), SEED)], np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(words) - width + 1))
+    return np.unique(shingle_hashes(data, width))
+
+
+def _key(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes())
+
 
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to key, shingles, once for each set that the task remembers."""
     seen: set[int] = set()
-    for batch in slices(batches, 500):
-        keys, sizes, sets = [], [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            own = shingles(text or b"")
-            key = xxhash.xxh3_64_intdigest(own.tobytes())
-            keys.append(key)
-            sizes.append(len(own))
-            sets.append(None if key in seen else own.view(np.int64))
+    for batch in text_slices(batches, 0, 500):
+        keys, sets = [], []
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            own = shingles(text)
+            key = _key(own)
+            if key in seen:
+                continue
             if len(seen) < SEEN:
                 seen.add(key)
-        columns = [batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sets, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "shingles"])
+            keys.append(key)
+            sets.append(own.view(np.int64))
+        yield pa.RecordBatch.from_arrays([_longs(keys), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
 
-def _prefixer(hot: np.ndarray):
+def _marker(hot: np.ndarray):
+    """doc_id, hash of the text, text to the node's key, size, fingerprint and, once for each node that the task
+    remembers, its prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows, keys, sizes = [], batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for own, n in zip(batch.column(2), sizes):
-                own = own.values.to_numpy()
-                late = np.isin(own, hot) if len(hot) else np.zeros(len(own), bool)
-                rows.append(np.concatenate([own[~late], own[late]])[: n // 5 + 1])
-            per = [len(r) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.repeat(keys, per)), pa.array(np.repeat(sizes, per))], names=["hash", "key", "n"])
+        seen: set[int] = set()
+        for batch in text_slices(batches, 2, 500):
+            keys, sizes, codes, prefixes = [], [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                every = shingle_hashes(text or b"", WIDTH)
+                own = np.unique(every)
+                key = _key(own)
+                keys.append(key)
+                sizes.append(len(own))
+                codes.append(vote(every))
+                if key in seen or not len(own):
+                    prefixes.append(None)
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(key)
+                late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(len(own), bool)
+                size = len(own) // 5 + 1
+                early = own[~late]
+                prefixes.append((early[:size] if len(early) >= size else np.concatenate([early, own[late]])[:size]).view(np.int64))
+            columns = [batch.column(0), batch.column(1), _longs(keys), pa.array(sizes, pa.int32()), _longs(codes), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "n", "fp", "prefix"])
 
     return run
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v of the pairs whose sets are similar."""
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Shingles that many sampled texts hold, ascending, and those that very many do."""
+    sample = texts.where(F.pmod("text_hash", F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"])
+    often = sample.select(F.explode("shingles").alias("hash")).groupBy("hash").count().where(F.col("count") >= HOT)
+    rows = often.orderBy(F.desc("count"), "hash").limit(HOT_ROWS).collect()
+    return np.sort(np.array([r.hash for r in rows], np.int64).view(np.uint64)), [r.hash for r in rows if r["count"] >= FLOOD]
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v of the pairs of keys whose sets are similar."""
     pairs = scratch(pairs, "pairs")
-    wanted = scratch(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), "wanted")
-    # few keys go to every task, so that the sets of the others don't cross the network
+    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    wanted = scratch(nodes.join(keys, "key", "left_semi").select("text_hash").distinct(), "wanted")
+    # few hashes go to every task, so that texts don't cross the network
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    held = scratch(sets.join(wanted, "key", "left_semi").select("key", "shingles").dropDuplicates(["key"]), "held")
+    held = scratch(texts.join(wanted, "text_hash", "left_semi").select("text").mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]), "held")
     both = pairs.join(held.toDF("u", "su"), "u").join(held.toDF("v", "sv"), "v")
     shared = F.size(F.array_intersect("su", "sv"))
     return both.where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v")
 
 
-def links(sets: DataFrame, long_bucket: int = LONG_BUCKET) -> DataFrame:
-    """Edges u, v between keys whose components are those of all similar pairs; ``sets`` holds key, n, shingles."""
-    sample = sets.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).dropDuplicates(["key"])
-    often = sample.select(F.explode("shingles").alias("hash")).groupBy("hash").count().where(F.col("count") >= HOT)
-    hot = np.array([r.hash for r in often.orderBy(F.desc("count"), "hash").limit(HOT_ROWS).collect()], np.int64)
-    rows = sets.where("n > 0").select("key", "n", "shingles").mapInArrow(_prefixer(hot), "hash long, key long, n int")
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """key, other, n, m: each node and the first one of its class of fingerprints."""
+    codes = scratch(nodes.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("least")), "codes")
+    linked = components(code_links(codes.select("fp"), MAX_BITS))
+    placed = codes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = placed.groupBy("root").agg(F.min("least").alias("first"))
+    named = scratch(placed.join(first, "root").select("fp", "first"), "first-texts")
+    return nodes.select("key", "n", "fp").join(named, "fp").select("key", F.col("first.key").alias("other"), "n", F.col("first.n").alias("m"))
+
+
+def links(nodes: DataFrame, texts: DataFrame, flood: list[int], long_bucket: int = LONG_BUCKET) -> DataFrame:
+    """Edges u, v between keys whose components are those of all similar pairs."""
+    nodes = nodes.where("prefix is not null")
+    rows = nodes.select(F.explode("prefix").alias("hash"), "key", "n")
+    common = nodes.sparkSession.createDataFrame([(h,) for h in flood], "hash long")
+    rest = rows.join(F.broadcast(common), "hash", "left_anti") if flood else rows
     # one exchange serves the distinct rows and their counts
-    rows = rows.repartition("hash").distinct().withColumn("members", F.count("*").over(Window.partitionBy("hash")))
-    buckets = scratch(rows.where("members > 1"), "buckets")
+    rest = rest.repartition("hash").distinct().withColumn("members", F.count("*").over(Window.partitionBy("hash")))
+    if flood:
+        rest = rest.unionByName(rows.join(F.broadcast(common), "hash", "left_semi").withColumn("members", F.lit(long_bucket + 1).cast("long")))
+    buckets = scratch(rest.where("members > 1"), "buckets")
     long, one = buckets.where(F.col("members") > long_bucket), F.struct(F.col("key").alias("other"), F.col("n").alias("m"))
     own = long.groupBy("hash").agg(F.array(F.min(one), F.max(one), F.min_by(one, F.xxhash64("key")), F.max_by(one, F.xxhash64("key"))).alias("own"))
-    star = long.join(own, "hash").select("key", "n", F.explode(F.array_distinct("own")).alias("o")).select("key", "n", "o.other", "o.m")
-    star = star.where("key <> other and 5 * least(n, m) >= 4 * greatest(n, m)").groupBy(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).agg(F.count("*").alias("met"), F.min(F.least("n", "m")).alias("n"))
+    star = long.join(own, "hash").select("key", "n", F.explode(F.array_distinct("own")).alias("o")).select("key", "o.other", "n", "o.m")
+    close = F.expr("key <> other and 5 * least(n, m) >= 4 * greatest(n, m)")
+    star = star.where(close).groupBy("key", "other").agg(F.count("*").alias("met"), F.min(F.least("n", "m")).alias("n")).where("20 * met >= n").select("key", "other")
+    star = star.union(_fingerprint_pairs(nodes).where(close).select("key", "other"))
     # these links only save work: a pair left out here is met again below
-    first = scratch(_similar(star.where("20 * met >= n").select("u", "v"), sets), "first")
+    first = scratch(_similar(star.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct(), nodes, texts), "first")
     roots = components(first)
     placed = buckets.select("hash", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = scratch(placed, "placed")
@@ -120,13 +167,15 @@ def links(sets: DataFrame, long_bucket: int = LONG_BUCKET) -> DataFrame:
     met = met.groupBy("u", "v", "nu", "nv").count()
     # beyond the prefixes no more than the longer rest can be shared
     met = met.where("9 * (count + greatest(nu - (nu div 5 + 1), nv - (nv div 5 + 1))) >= 4 * (nu + nv)")
-    return first.union(_similar(met.select("u", "v"), sets))
+    return first.union(_similar(met.select("u", "v"), nodes, texts))
 
 
 def classes(docs: DataFrame, long_bucket: int = LONG_BUCKET) -> DataFrame:
     """doc_id, component_id for each row of ``docs``: the smallest doc_id of its class of near copies."""
-    marked = scratch(narrow(docs).mapInArrow(_set_batches, "doc_id long, key long, n int, shingles array<long>"), "sets")
-    nodes = scratch(components(links(marked.where("shingles is not null"), long_bucket)), "nodes")
+    texts = narrow(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    hot, flood = _frequent(texts.where("text is not null"))
+    marked = scratch(texts.mapInArrow(_marker(hot), "doc_id long, text_hash long, key long, n int, fp long, prefix array<long>"), "sets")
+    nodes = scratch(components(links(marked, texts.where("text is not null"), flood, long_bucket)), "nodes")
     named = marked.select("doc_id", "key").join(nodes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = scratch(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     return named.join(smallest, "root").select("doc_id", "component_id")

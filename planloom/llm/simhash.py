@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, narrow, scratch, slices, without_ids
+from .common import drop_scratch, narrow, scratch, text_slices, without_ids
 
 SEED = 42
 LEAF, FAN = 8, 8
@@ -42,18 +42,20 @@ RUN_LIMIT = 16_384
 BATCH_ROWS, SLICE = 65_536, 16_384
 
 
-def fingerprint(data: bytes, width: int = 3) -> int:
-    """The SimHash of a text in UTF-8, unsigned; 0 without words."""
+def shingle_hashes(data: bytes, width: int = 3) -> np.ndarray:
+    """XXH64 of each shingle of a text in UTF-8, repeats included; fewer words are one shingle, none have none."""
     words = data.lower().split()
-    n = len(words) - width + 1
+    digest, n = xxhash.xxh64_intdigest, len(words) - width + 1
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
+        return np.zeros(0, np.uint64)
     if n < 1:
-        hashes = np.array([digest(b" ".join(words), SEED)], dtype=np.uint64)
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(width))))
-        hashes = np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=n)
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64, n)
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 65_536):
         part = hashes[k : k + 65_536]
@@ -61,8 +63,13 @@ def fingerprint(data: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(data: bytes, width: int = 3) -> int:
+    """The SimHash of a text in UTF-8, unsigned; 0 without words."""
+    return vote(shingle_hashes(data, width))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in text_slices(batches, 1):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         codes = np.array([fingerprint(t) if t else 0 for t in texts], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], names=["doc_id", "fp"])
