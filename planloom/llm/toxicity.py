@@ -9,8 +9,11 @@ batch side by side, and the marginals are summed up per document (expected toxic
 marginal); a logistic model on these, fitted to document labels, gives the score.  Words with a marginal of at least
 one half are the offending spans.
 
-Fitting uses a bounded sample: of either label the ``per_label`` rows with the smallest seeded hash of doc_id, and
-label counts over all rows for the prior.  Scoring covers every row and all of its text.
+Fitting uses a bounded sample of labelled rows: of either label the ``per_label`` rows with the smallest seeded hash of
+doc_id, but for texts above ``LONGEST`` bytes, and label counts over all rows for the prior.  Of the sampled texts
+without copies the chain's weights are fitted to ``2 * plain_stretches`` stretches with tied words in toxic documents (in
+the order of a hash, every document's first one before any second) and an even share of about ``plain_stretches`` of the
+others.  Scoring covers every row and all of its text, in batches bounded by bytes.
 
 Edge cases: null, empty and wordless texts have no marginals and score what the logistic model gives a document
 without any; repeated labels of a document count once, toxic if any is; rows without doc_id are scored but not learned
@@ -31,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, smallest_hashes
+from .common import smallest_hashes, text_slices
 from .language import held_out
 
 WORD = re.compile(r"\w+")
 PREFIXES = range(3, 8)
 STRETCH, STEPS, RATE, DECAY = 64, 120, 0.3, 1e-4
-PER_LABEL, SEED, THRESHOLD, FALSE_FEATURES = 2000, 23, 0.3, 20.0
+PER_LABEL, LONGEST, PLAIN_STRETCHES, SEED, THRESHOLD, FALSE_FEATURES = 2000, 1 << 16, 3000, 23, 0.3, 20.0
 CACHE_ENTRIES = 300_000
 
 
@@ -188,19 +191,22 @@ def distinct(texts: list[str], labels: list[int]) -> list[int]:
     return kept
 
 
-def fit_chain(texts: list[str], labels: list[int], plain_stretches: int = 3000, false_features: float = FALSE_FEATURES) -> Model:
+def fit_chain(texts: list[str], labels: list[int], plain_stretches: int = PLAIN_STRETCHES, false_features: float = FALSE_FEATURES) -> Model:
     kept = distinct(texts, labels)
     texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
     tied = sorted(tied_features(texts, labels, false_features))
     number = {f: i for i, f in enumerate(tied)}
     marked, plain = [], []
-    for t, y in zip(texts, labels):
+    for i, (t, y) in enumerate(zip(texts, labels)):
         words = WORD.findall(t.lower())
         found = [[number[f] for f in features(w) if f in number] for w in words]
+        own = []
         for k in range(0, len(words), STRETCH):
             part = found[k : k + STRETCH]
-            (marked if y and any(part) else plain).append((part, bool(y)))
-    marked = marked[: 2 * plain_stretches]
+            (own if y and any(part) else plain).append((part, bool(y)))
+        own = [own[k] for k in sorted(range(len(own)), key=lambda k: (zlib.crc32(f"{i} {k}".encode()), k))]  # noqa: B023
+        marked += [(nth, zlib.crc32(f"{i} {nth}".encode()), i, part) for nth, part in enumerate(own)]
+    marked = [part for *_, part in sorted(marked, key=lambda m: m[:3])[: 2 * plain_stretches]]
     stretches = marked + plain[:: max(1, len(plain) // plain_stretches)]
     if not marked:
         return Model({})
@@ -266,7 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int
     count = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     chosen = smallest_hashes(marks, "toxic", per_label, seed).orderBy("doc_id").limit(2 * per_label)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = sorted(text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
+    short = text.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= LONGEST)
+    rows = sorted(short.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     texts, toxic = [r.text for r in rows], [r.toxic for r in rows]
     if len(set(toxic)) < 2:
         return Model({})
@@ -283,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int
 
 def _scorer(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 5000):
+        for batch in text_slices(batches, 2, 5000):
             score = model.score(model.marginals(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -301,7 +308,7 @@ def spans(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """doc_id, first, last (characters, last exclusive) and probability of each run of words with such a marginal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             ids, texts = batch.column(0).to_pylist(), [(t or "") for t in batch.column(1).to_pylist()]
             out = []
             for i, text, values in zip(ids, texts, model.marginals(texts)):
