@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, without_ids
+from .common import scratch, text_slices, without_ids
 
 WINDOW, LITERALS, COVERAGE = 5, 2, 0.5
 LITERAL_RUN = 13
@@ -170,7 +170,7 @@ def _windower(filter_hashes: np.ndarray | None, widths: list[int] | None = None)
                 found = np.searchsorted(known, hashes[maybe])
                 return maybe[(found < len(known)) & (known[np.minimum(found, len(known) - 1)] == hashes[maybe])] if len(known) else maybe[:0]
 
-        for part in slices(batches, 500):
+        for part in text_slices(batches, 1, 500):
             ids, out = part.column(0).to_pylist(), ([], [], [], [], [], [])
             for place, hashes, at, slots, count, width in templates.windows(part.column(1).to_pylist(), keep, widths):
                 if len(at):

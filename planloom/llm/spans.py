@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, scratch, slices
+from .common import narrow, scratch, text_slices
 
 #: (sentences, words) that make a run long enough to count as a span.
 RUNS = ((3, 12), (2, 20), (1, 30))
@@ -92,7 +92,7 @@ def spans(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
-    for batch in slices(batches):
+    for batch in text_slices(batches, 1):
         out = ([], [], [], [])
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text:
@@ -110,7 +110,7 @@ def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the sentences that their spans cover."""
-    for batch in slices(batches):
+    for batch in text_slices(batches, 1):
         texts, count, gone = batch.column(1).to_pylist(), [], []
         for i, (text, covered) in enumerate(zip(texts, batch.column(2).to_pylist())):
             sentences = cut(text) if text else []
