@@ -85,9 +85,24 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+#: Rows of an Arrow batch, at most: whole texts go to Python workers some megabytes at a time.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(rows: DataFrame) -> DataFrame:
+    """``rows``; from here on the session's Arrow batches have at most ``BATCH_ROWS`` rows.
+
+    A batch stands in the executor's direct memory and in the worker's at a time, so its size bounds both.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return rows
+
+
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only ``doc_id`` (long) and ``text`` (string), whatever else the table holds."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def smallest_hashes(rows: DataFrame, group: str, n: int, seed: int, key: str = "doc_id", salts: int = 64) -> DataFrame:

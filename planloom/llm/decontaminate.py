@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_slices, without_ids
+from .common import bounded_batches, give_back, scratch, text_slices, without_ids
 
 WINDOW, LITERALS, COVERAGE = 5, 2, 0.5
 LITERAL_RUN = 13
@@ -159,7 +159,10 @@ def _windower(filter_hashes: np.ndarray | None, widths: list[int] | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         if filter_hashes is None:
-            keep = lambda hashes: slice(None)
+
+            def keep(hashes):
+                return slice(None)
+
         else:
             known = np.sort(filter_hashes)
             marks = np.zeros(1 << 22, bool)
@@ -178,6 +181,8 @@ def _windower(filter_hashes: np.ndarray | None, widths: list[int] | None = None)
                         column += values
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32()))], names=["id", "hash", "pos", "slots", "windows", "width"])
+        del templates, keep
+        give_back()
 
     return run
 
@@ -227,7 +232,7 @@ def _judge(coverage: float):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, max_filter: int = MAX_FILTER) -> DataFrame:
     """doc_id, item_id, windows, coverage, kind, first, last (template tokens) for each contaminated pair."""
-    ours = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("id").isNotNull())
+    ours = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("id").isNotNull())
     theirs = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("id").isNotNull())
     items = theirs.mapInArrow(_windower(None), SCHEMA).select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("ipos"), F.col("slots").alias("islots"), F.col("windows").alias("iwindows"), "width")
     items = scratch(items, "items")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, scratch, slices, smallest_hashes, text_slices
+from .common import bounded_batches, drop_scratch, scratch, slices, smallest_hashes, text_slices
 
 ORDER, BITS = 3, 16
 DIM = 1 << BITS
@@ -166,7 +166,7 @@ def sample(labelled: DataFrame, per_language: int, max_languages: int, seed: int
 
 def train(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = SEED) -> Model:
     """A model of the labelled rows of ``docs`` (doc_id, text, lang) for which ``learn_from`` holds."""
-    rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = bounded_batches(docs).where(learn_from & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     held = scratch(sample(rows, per_language, max_languages, seed).select("lang", "text").mapInArrow(bit_rows, "lang string, bits binary"), "language-sample")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("bits"), "bits"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, narrow, scratch, text_slices, without_ids
+from .common import BROADCAST_ROWS, give_back, narrow, scratch, text_slices, without_ids
 from .simhash import code_links, components, shingle_hashes, vote
 
 WIDTH, MAX_BITS = 5, 3
@@ -42,7 +42,7 @@ SAMPLE, HOT, HOT_ROWS, FLOOD = 16, 4, 500_000, 1000
 #: Members of a bucket beyond which it is first linked to a few of its own.
 LONG_BUCKET = 32
 #: Sets that a task remembers to write once.
-SEEN = 500_000
+SEEN = 200_000
 
 
 def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
@@ -101,6 +101,8 @@ def _marker(hot: np.ndarray):
                 prefixes.append((early[:size] if len(early) >= size else np.concatenate([early, own[late]])[:size]).view(np.int64))
             columns = [batch.column(0), batch.column(1), _longs(keys), pa.array(sizes, pa.int32()), _longs(codes), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "n", "fp", "prefix"])
+        del seen
+        give_back()
 
     return run
 

@@ -56,7 +56,7 @@ HOT_ROWS = 100_000
 #: Bytes of text that are encoded at a time (one longer text is whole).
 SLICE_BYTES = 4 << 20
 #: Distinct pieces whose ids a task keeps, and the longest of them.
-CACHE_ENTRIES, CACHE_PIECE = 300_000, 64
+CACHE_ENTRIES, CACHE_PIECE = 200_000, 64
 
 
 # --- coding ----------------------------------------------------------------------------------------------------

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest_hashes, text_slices
+from .common import bounded_batches, smallest_hashes, text_slices
 from .language import held_out
 
 WORD = re.compile(r"\w+")
@@ -271,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int
     marks = labels.where(learn_from & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     count = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     chosen = smallest_hashes(marks, "toxic", per_label, seed).orderBy("doc_id").limit(2 * per_label)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     short = text.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= LONGEST)
     rows = sorted(short.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     texts, toxic = [r.text for r in rows], [r.toxic for r in rows]
