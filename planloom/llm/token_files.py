@@ -54,9 +54,9 @@ ROLL_IDS, ROLL_DOCS = 1 << 25, 1 << 20
 #: Rows of one doc_id beyond which texts help to deal the rows.
 HOT_ROWS = 100_000
 #: Bytes of text that are encoded at a time (one longer text is whole).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Distinct pieces whose ids a task keeps, and the longest of them.
-CACHE_ENTRIES, CACHE_PIECE = 200_000, 64
+CACHE_ENTRIES, CACHE_PIECE = 60_000, 64
 
 
 # --- coding ----------------------------------------------------------------------------------------------------
@@ -329,16 +329,15 @@ class Encoder:
 
     def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        with open(path) as f:
-            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         #: strings that the library takes out of a text before it is cut
-        self.added = [t["content"] for t in spec.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.by_piece = isinstance(self.tokenizer.model, BPE) and not self.tokenizer.normalizer and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.first = _Pieces(self, "")
         self.later = _Pieces(self, " ", self.first)
 
