@@ -5,7 +5,8 @@ openers; neighbouring ones make one name) become typed placeholders, everything
 outer punctuation.  A template window is ``WINDOW`` tokens in a row with at least ``LITERALS`` that are no
 placeholder.  Window hashes of documents and benchmark are joined; the pairs of (document, item) whose shared windows
 reach ``coverage`` of the item's windows go on to the slot check: every slot value of the item must stand for one value
-throughout the document's passage (the most frequent one counts), and windows that break the mapping no longer count.
+throughout the document's passage (the most frequent one counts), and no two for the same one; windows that break the
+mapping no longer count.
 A pair is contaminated if the consistent windows still reach ``coverage``; it is ``verbatim`` if the mapping is the
 identity and ``reparameterised`` otherwise.  Windows that are equal word for word count wherever they stand, so a
 verbatim item that foreign text splits is found as well.
@@ -208,7 +209,11 @@ def consistent(rows: list[tuple[int, int, list[str], list[str]]]) -> tuple[set[i
             for a, b in zip(theirs, ours):
                 votes[a][b] += 1
         mapping = {a: min(c, key=lambda b: (-c[b], b != a, b)) for a, c in votes.items()}
-        good = [(p, theirs, ours) for p, _, theirs, ours in near if all(mapping[a] == b for a, b in zip(theirs, ours))]
+        # and back: of the item's values that stand for one of the document's, the one that does most often
+        owner: dict[str, str] = {}
+        for a, b in mapping.items():
+            owner[b] = min(owner.get(b, a), a, key=lambda x: (-votes[x][b], x != b, x))
+        good = [(p, theirs, ours) for p, _, theirs, ours in near if all(mapping[a] == b and owner[b] == a for a, b in zip(theirs, ours))]
         found = {p for p, _, _ in good}, all(a == b for _, theirs, ours in good for a, b in zip(theirs, ours))
         best = max(best, found, key=lambda f: (len(f[0]), f[1]))
     return best
