@@ -32,6 +32,23 @@ def test_round_trip(spark, min_bytes):
     assert sorted(map(tuple, warc.round_trip(pages, min_bytes).collect()), key=str) == expected(min_bytes)
 
 
+def test_record_ids_are_unique_and_named_by_revisits(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    rows = [*ROWS, *[(7, "u", "x" * 200_000)] * 3, *[(None, "n", "<p>one</p>")] * 2, (1, "other", "another")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    warc.archive(pages, folder)
+    got = warc.read(spark, folder).collect()
+    ids = {r.record_id: r for r in got}
+    assert len(ids) == len(got) == len(rows) and all(i.startswith("<urn:uuid:") and len(i) == 47 for i in ids)
+    for r in got:
+        named = ids.get(r.refers_to_id)
+        assert (r.record_type == "revisit") == (named is not None)
+        assert named is None or (named.record_type, named.page_id, named.payload_digest) == ("response", r.refers_to, r.payload_digest)
+        assert (r.content_type is None) == (r.record_type == "revisit")
+    path = next((tmp_path / "w").glob("*.warc.gz"))
+    assert b"\r\nWARC-Payload-Digest: sha1:" in gzip.decompress(path.read_bytes())
+
+
 def test_pushdown_projection_and_splits(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i % 50} " * 3000) for i in range(300)], "page_id long, url string, html string").coalesce(1)
