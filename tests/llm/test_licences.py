@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 
 import pytest
 
@@ -59,3 +60,27 @@ def test_every_known_text_has_a_mark():
 
 def test_empty_table(spark):
     assert lic.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+COMMON = pathlib.Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="needs published licence texts")
+def test_whole_published_texts(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {name: (COMMON / f).read_text() for name, f in files.items()}
+    cut = {name: t[: t.index("END OF TERMS AND CONDITIONS")] for name, t in texts.items() if "END OF TERMS AND CONDITIONS" in t}
+    rows = [(i, t if i % 2 else t.upper().replace("\n\n", "\n \n\t")) for i, t in enumerate([*texts.values(), *cut.values()])]
+    got = {r.doc_id: r.licence for r in lic.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("unit = 'text'").collect()}
+    assert got == dict(enumerate([*texts, *cut]))
+    assert all(any(m in lic.normal_form(t) for m in lic.MARKS) for t in [*texts.values(), *cut.values()])
+    assert all(dict((d, n) for n, d in lic.DIGESTS)[lic.digest_table([(n, "text", t)])[0][2]] == n for n, t in texts.items())
+
+
+def test_other_digests(spark):
+    own = lic.digest_table([("House", "text", "Do as you\nlike."), ("House", "line", "House rules apply")])
+    table = spark.createDataFrame(own, "licence string, unit string, digest string")
+    docs = spark.createDataFrame([(1, "do AS you like"), (2, "a\n# house rules, apply\n"), (3, MIT)], "doc_id long, text string")
+    for marks in (None, ["like", "house"]):
+        assert sorted(map(tuple, lic.scan(docs, table, marks).collect())) == [(1, "text", 0, "House"), (2, "line", 2, "House")]
+    assert lic.scan(docs, table.limit(0)).count() == 0
