@@ -8,7 +8,7 @@ words that begin and end within longer sentences still hold a whole span.  A run
 too, so each sentence of any repeated run that reaches lies in a repeated span: in the one from it on if that ends within
 the run, else in the one back from the run's end.  The span's hash is a polynomial over the hashes of its sentences (lower-cased,
 white space collapsed).  Spans are joined globally on the hash; the first is the one with the smallest (doc_id,
-position), and every sentence that a non-first repeated span covers is removed.
+text, position), and every sentence that a non-first repeated span covers is removed.
 
 Scale: what crosses the network is one or two narrow rows for each sentence (hash, doc_id, position, length), in a partial
 aggregate and once more in the join with the hashes that occur again; a hash held by a third of all rows collapses in
@@ -16,8 +16,9 @@ the first and is split by the engine's skew join in the second.  Nothing but a d
 together in one place.
 
 Edge cases: null text stays null; texts without any span stay as they are; rows without doc_id are left alone and
-not searched; rows that repeat a doc_id with the same text count as one document; 64-bit hashes of different spans may
-agree by chance (about n^2 / 2^65 pairs for n spans).
+not searched; a document is a doc_id with a text: rows that repeat both count as one, and of different texts under one
+doc_id the one with the smaller hash comes first; 64-bit hashes of different spans may agree by chance (about n^2 / 2^65
+pairs for n spans).
 """
 
 from __future__ import annotations
@@ -91,10 +92,11 @@ def spans(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text's hash, text to hash, doc_id, text's hash, pos, len."""
     digest = xxhash.xxh3_64_intdigest
-    for batch in text_slices(batches, 1):
-        out = ([], [], [], [])
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    for batch in text_slices(batches, 2):
+        out = ([], [], [], [], [])
+        for doc_id, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if not text:
                 continue
             parts = [text[a:b].lower().split() for a, b, _ in cut(text)]
@@ -102,10 +104,10 @@ def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             start, length, value = spans(np.array([digest(" ".join(p)) for p in parts], np.uint64), np.array([len(p) for p in parts]))
             if len(start):
-                for column, values in zip(out, (value.view(np.int64), np.full(len(start), doc_id), start.astype(np.int32), length.astype(np.int32))):
+                for column, values in zip(out, (value.view(np.int64), np.full(len(start), doc_id), np.full(len(start), own), start.astype(np.int32), length.astype(np.int32))):
                     column.append(values)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["hash", "doc_id", "pos", "len"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["hash", "doc_id", "of", "pos", "len"])
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,17 +128,22 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(count, pa.int32()), pa.array(gone, pa.int32())], names=["doc_id", "text", "sentences", "removed"])
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    return narrow(docs).select("doc_id", F.xxhash64("text").alias("of"), "text")
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, len of each span that repeats an earlier one."""
-    found = scratch(narrow(docs).where(F.col("doc_id").isNotNull()).mapInArrow(_span_batches, "hash long, doc_id long, pos int, len int"), "spans")
-    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    """doc_id, of (the text's hash), pos, len of each span that repeats an earlier one."""
+    found = scratch(_documents(docs).where(F.col("doc_id").isNotNull()).mapInArrow(_span_batches, "hash long, doc_id long, of long, pos int, len int"), "spans")
+    place = F.struct("doc_id", "of", "pos")
+    first = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
     # written, so that the join has two exchanges of its own and the engine can split the rows of a hot hash
     first = scratch(first, "repeated")
-    return found.join(first, "hash").where(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "pos", "len")
+    return found.join(first, "hash").where(place != F.col("first")).select("doc_id", "of", "pos", "len")
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """doc_id, text (without repeated sentences), sentences (in the original), removed, for each row of ``docs``."""
-    covered = repeated(docs).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "len")).alias("covered")).withColumnRenamed("doc_id", "__d")
-    rows = narrow(docs).join(covered, F.col("doc_id") == F.col("__d"), "left").select("doc_id", "text", "covered")
+    covered = repeated(docs).groupBy("doc_id", "of").agg(F.collect_set(F.struct("pos", "len")).alias("covered")).toDF("__d", "__o", "covered")
+    rows = _documents(docs).join(covered, (F.col("doc_id") == F.col("__d")) & (F.col("of") == F.col("__o")), "left").select("doc_id", "text", "covered")
     return rows.mapInArrow(_rewrite, "doc_id long, text string, sentences int, removed int")

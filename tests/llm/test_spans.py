@@ -71,3 +71,13 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert sp.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_under_one_doc_id_are_documents_of_their_own(spark):
+    sentence = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n)) + "."
+    passage = " ".join(sentence(f"p{k}", 9) for k in range(4))
+    other = " ".join(sentence(f"c{k}", 9) for k in range(4))
+    rows = [(1, passage + " " + sentence("a", 5)), (2, passage + " " + sentence("b", 5)), (2, other), (2, other), (3, sentence("d", 7) + " " + other)]
+    got = sp.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r.doc_id, r.sentences, r.removed) for r in got)
+    assert found == [(1, 5, 0), (2, 4, 0), (2, 4, 0), (2, 5, 4), (3, 5, 4)]
