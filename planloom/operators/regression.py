@@ -1,14 +1,14 @@
 """Row-count corrections for each node of each plan, learnt from its executions.
 
-Most node types need sums alone.  ``node_sums`` gathers them per (queryid, planid, node) - sums of sums are sums, so new
-log rows only add to what is stored - and the coefficients are column arithmetic.  The two-input fit of hash and merge
-joins needs the executions themselves and is the one grouped Python step; its groups hold one node's executions.
+All models need sums alone: ratios for scans, a product through the origin for nested loops, and for hash and merge
+joins the best of three linear models, whose normal equations are made of ten sums.  ``learnt`` gathers the sums, and
+what else is kept of a node, per (queryid, planid, node), pre-aggregated map-side; sums of sums are sums, so new log rows
+only add to what is stored, and the coefficients are column arithmetic on one row for each node.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +16,9 @@ from ..plans import schema
 from ..plans.flatten import children
 
 KEYS = ["queryid", "planid", "node_no"]
-SUMS = ["n", "sum_plan", "sum_actual", "sum_product_actual", "sum_product_square"]
+SUMS = ["n", "sum_plan", "sum_actual", "sum_product_actual", "sum_product_square", "sum_outer", "sum_inner", "sum_outer_outer", "sum_inner_inner", "sum_outer_inner", "sum_outer_actual", "sum_inner_actual", "sum_actual_actual"]
+#: Kept besides the sums: the largest value of each (of the sides' relations only where nodes have them).
+LARGEST = ["relations", "outer_rels", "inner_rels", "last_no", "relationship", "parent_no", "disk_sort_kb"]
 
 
 # --- column formulas ---------------------------------------------------------------------------------------------
@@ -59,28 +61,48 @@ def with_inputs(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def node_sums(nodes: DataFrame) -> DataFrame:
-    """The sums that A8 and A10 need, for each node of each plan; aggregated map-side."""
-    product = F.coalesce(F.col("actual_outer"), F.lit(0.0)) * F.coalesce(F.col("actual_inner"), F.lit(0.0))
-    return nodes.groupBy(*KEYS).agg(
-        F.first("node_type").alias("node_type"),
-        F.count("*").alias("n"),
-        F.sum("plan_rows").alias("sum_plan"),
-        F.sum("actual_rows").alias("sum_actual"),
-        F.sum(product * F.col("actual_rows")).alias("sum_product_actual"),
-        F.sum(product * product).alias("sum_product_square"),
-    )
+    """The sums that the models need, for each node of each plan; aggregated map-side."""
+    return nodes.groupBy(*KEYS).agg(F.first("node_type").alias("node_type"), *_sums())
+
+
+def _sums() -> list[Column]:
+    o, v = (F.coalesce(c, F.lit(0.0)) for c in ("actual_outer", "actual_inner"))
+    a = F.coalesce("actual_rows", F.lit(0.0))
+    values = {"plan": F.col("plan_rows"), "actual": F.col("actual_rows"), "product_actual": o * v * F.col("actual_rows"), "product_square": o * v * o * v}
+    values |= {"outer": o, "inner": v, "outer_outer": o * o, "inner_inner": v * v, "outer_inner": o * v, "outer_actual": o * a, "inner_actual": v * a, "actual_actual": a * a}
+    return [F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{name}") for name, c in values.items())]
+
+
+def learnt(nodes: DataFrame) -> DataFrame:
+    """All that is kept of a log's executions, one row for each node of each plan (``nodes`` with their inputs)."""
+    held = set(nodes.columns)
+    disk = F.when((F.col("sort_space_type") == "Disk") & (F.col("sort_space_kb") > 0), F.col("sort_space_kb")) if "sort_space_kb" in held else F.lit(None).cast("bigint")
+    nodes = nodes.withColumn("disk_sort_kb", disk)
+    missing = {c: F.lit(None).cast(t) for c, t in (("relations", "array<string>"), ("last_no", "int"), ("relationship", "string"), ("parent_no", "int"), ("merge_flag", "boolean")) if c not in held}
+    nodes = nodes.withColumns(missing) if missing else nodes
+    return nodes.groupBy(*KEYS).agg(F.first("node_type").alias("node_type"), *_sums(), *(F.max(c).alias(c) for c in LARGEST if c in nodes.columns), F.max_by("merge_flag", "seqid").alias("merge_flag"), F.max("seqid").alias("last_seqid"))
+
 
+def merge_sums(*parts: DataFrame) -> DataFrame:
+    """Stored sums (or all that is kept) and those of new executions in one."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    held = set(both.columns)
+    last = [F.max_by("merge_flag", "last_seqid").alias("merge_flag"), F.max("last_seqid").alias("last_seqid")] if "last_seqid" in held else []
+    return both.groupBy(*KEYS).agg(F.first("node_type").alias("node_type"), *(F.sum(c).alias(c) for c in SUMS), *(F.max(c).alias(c) for c in LARGEST if c in held), *last)
 
-def merge_sums(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored sums and those of new executions in one."""
-    both = stored.unionByName(new)
-    return both.groupBy(*KEYS).agg(F.first("node_type").alias("node_type"), *(F.sum(c).alias(c) for c in SUMS))
 
+def grouped_plan(nodes: DataFrame) -> DataFrame:
+    """The grouped plan: of each node how often it ran, its first and last execution in log order, and its extremes.
 
-def grouped_values(nodes: DataFrame) -> DataFrame:
-    """The executions of each node in log order: the grouped plan, as arrays.  For export; no operator needs it."""
+    The executions themselves stay rows; no array holds them.
+    """
     entry = F.struct("seqid", "plan_rows", "actual_rows", "actual_loops", "removed_rows", "sort_space_kb", "sort_space_type", "conds")
-    return nodes.groupBy(*KEYS).agg(F.first("node_type").alias("node_type"), F.array_sort(F.collect_list(entry)).alias("executions"))
+    return nodes.groupBy(*KEYS).agg(
+        F.first("node_type").alias("node_type"), F.count("*").alias("n"), F.min_by(entry, "seqid").alias("first"), F.max_by(entry, "seqid").alias("last"),
+        F.min("actual_rows").alias("low"), F.max("actual_rows").alias("high"),
+    )
 
 
 def disk_sort_space(nodes: DataFrame) -> DataFrame:
@@ -99,7 +121,7 @@ def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def fit_join(outer, inner, actual) -> tuple[float, float, float, float]:
-    """(coef_outer, coef_inner, intercept, rmse): the best of three linear models of a join's rows.
+    """(coef_outer, coef_inner, intercept, rmse): the best of three linear models of a join's rows, from the executions.
 
     Each is fitted with the origin as a further point, and without it should a slope be negative.  The smallest error
     over the points fitted wins, ties in the order both inputs, outer alone, inner alone.
@@ -122,40 +144,72 @@ def fit_join(outer, inner, actual) -> tuple[float, float, float, float]:
     return best
 
 
-def join_models(nodes: DataFrame) -> DataFrame:
-    """queryid, planid, node_no, coef_outer, coef_inner, intercept, rmse of hash and merge joins."""
+#: Shares of a sum of squares below which a determinant, or what a model leaves unexplained, is rounding.
+NO_RANK, NO_ERROR = 1e-12, 1e-13
+#: Errors that differ by less than this share are a tie.
+TIE = 1e-9
+
 
-    def run(rows: pa.Table) -> pa.Table:
-        outer, inner, actual = (np.nan_to_num(rows[c].to_numpy()) for c in ("actual_outer", "actual_inner", "actual_rows"))
-        values = fit_join(outer, inner, actual)
-        names = ["coef_outer", "coef_inner", "intercept", "rmse"]
-        return pa.table({**{k: rows[k][:1] for k in KEYS}, **{n: pa.array([v]) for n, v in zip(names, values)}})
+def join_models(sums: DataFrame) -> DataFrame:
+    """``sums`` with coef_outer, coef_inner, intercept, rmse: what ``fit_join`` says, from sums alone.
 
-    picked = nodes.where(F.col("node_type").isin(schema.SUM_JOINS)).select(*KEYS, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("actual_outer", "actual_inner", "actual_rows")))
-    return picked.groupBy(*KEYS).applyInArrow(run, "queryid string, planid string, node_no int, coef_outer double, coef_inner double, intercept double, rmse double")
+    Sums of squares lose what is below some 1e-13 of them: a model that leaves no more than that unexplained is exact.
+    """
+    zero = F.lit(0.0)
+    out = sums
+    for case, n in (("origin", F.col("n") + 1), ("plain", F.col("n"))):
+        pairs = {"oo": ("outer_outer", "outer", "outer"), "vv": ("inner_inner", "inner", "inner"), "ov": ("outer_inner", "outer", "inner"), "oa": ("outer_actual", "outer", "actual"), "va": ("inner_actual", "inner", "actual"), "aa": ("actual_actual", "actual", "actual")}
+        out = out.withColumns({f"__{case}_{k}": F.col(f"sum_{both}") - F.col(f"sum_{x}") * F.col(f"sum_{y}") / n for k, (both, x, y) in pairs.items()})
+        # what is left of a sum that doesn't vary is rounding
+        out = out.withColumns({f"__{case}_{k}": F.when(F.col(f"__{case}_{k}") > NO_RANK * F.col(f"sum_{pairs[k][0]}"), F.col(f"__{case}_{k}")).otherwise(zero) for k in ("oo", "vv", "aa")})
+        oo, vv, ov, oa, va = (F.col(f"__{case}_{k}") for k in ("oo", "vv", "ov", "oa", "va"))
+        det, trace = oo * vv - ov * ov, oo + vv
+        full = det > NO_RANK * oo * vv
+        # of a matrix without full rank the inverse of least norm is the matrix by its squared trace
+        least = lambda x, y: F.when(trace > 0, (x + y) / (trace * trace)).otherwise(zero)
+        alone = lambda xx, xa: F.when(xx > 0, xa / xx).otherwise(zero)
+        out = out.withColumns({
+            f"__{case}_both_o": F.when(full, (oa * vv - va * ov) / det).otherwise(least(oo * oa, F.when((oo > 0) & (vv > 0), ov * va).otherwise(zero))),
+            f"__{case}_both_v": F.when(full, (va * oo - oa * ov) / det).otherwise(least(F.when((oo > 0) & (vv > 0), ov * oa).otherwise(zero), vv * va)),
+            f"__{case}_outer_o": alone(oo, oa), f"__{case}_outer_v": zero, f"__{case}_inner_o": zero, f"__{case}_inner_v": alone(vv, va),
+        })
+    best = None
+    for model in ("both", "outer", "inner"):
+        origin = (F.col(f"__origin_{model}_o") >= 0) & (F.col(f"__origin_{model}_v") >= 0)
+        pick = lambda name: F.when(origin, F.col(f"__origin_{name}")).otherwise(F.col(f"__plain_{name}"))  # noqa: B023, E731
+        n = F.col("n") + F.when(origin, 1).otherwise(0)
+        out = out.withColumns({"__o": pick(f"{model}_o"), "__v": pick(f"{model}_v"), "__n": n, "__aa": pick("aa"), "__oa": pick("oa"), "__va": pick("va")})
+        left = F.col("__aa") - F.col("__o") * F.col("__oa") - F.col("__v") * F.col("__va")
+        error = F.when(left > NO_ERROR * F.col("sum_actual_actual"), F.sqrt(left / F.col("__n"))).otherwise(zero)
+        intercept = (F.col("sum_actual") - F.col("__o") * F.col("sum_outer") - F.col("__v") * F.col("sum_inner")) / F.col("__n")
+        out = out.withColumn(f"__{model}", F.struct(error.alias("rmse"), F.col("__o").alias("o"), F.col("__v").alias("v"), intercept.alias("b")))
+        here = F.col(f"__{model}")
+        best = here if best is None else F.when(here["rmse"] < (1 - TIE) * best["rmse"], here).otherwise(best)
+    out = out.withColumn("__best", best)
+    fit = {"coef_outer": F.bround("__best.o", 5), "coef_inner": F.bround("__best.v", 5), "intercept": F.bround("__best.b", 5), "rmse": F.col("__best.rmse")}
+    return out.select(*sums.columns, *(c.alias(name) for name, c in fit.items()))
 
 
 # --- all together -------------------------------------------------------------------------------------------------------
 
 
-def parameters(nodes: DataFrame, lineage: DataFrame | None = None) -> DataFrame:
-    """The ``reg_param`` table of plan nodes with their inputs (``with_inputs``).
+def parameters_of(kept: DataFrame) -> DataFrame:
+    """The ``reg_param`` table of what is kept of a log (``learnt``, ``merge_sums``).
 
-    ``nodes`` is read twice (sums and join fits); callers with a costly source write it first.
+    ``coef2``, the coefficient of a product of a hash or merge join's inputs, is always 0: that model is not fitted.
     """
-    sums = node_sums(nodes)
     scan = scan_coefficient(F.col("n"), F.col("sum_plan"), F.col("sum_actual"))
-    product = F.col("node_type").isin(schema.PRODUCT_NODES)
-    simple = sums.where(~F.col("node_type").isin(schema.SUM_JOINS)).select(
-        *KEYS,
-        "node_type",
-        "n",
-        F.when(product, product_coefficient(F.col("sum_product_actual"), F.col("sum_product_square"))).otherwise(scan["coef"]).alias("coef_outer"),
-        F.lit(0.0).alias("coef_inner"),
-        F.lit(0.0).alias("coef2"),
-        F.when(product, F.lit(0.0)).otherwise(scan["intercept"]).alias("intercept"),
-    )
-    joined = sums.where(F.col("node_type").isin(schema.SUM_JOINS)).select(*KEYS, "node_type", "n").join(join_models(nodes), KEYS)
-    both = simple.unionByName(joined.select(*KEYS, "node_type", "n", "coef_outer", "coef_inner", F.lit(0.0).alias("coef2"), "intercept"))
-    facts = nodes.groupBy(*KEYS).agg(F.max("relations").alias("relations"), F.max_by("merge_flag", "seqid").alias("merge_flag"), F.max("last_no").alias("last_no"), F.max("relationship").alias("relationship"), F.max("parent_no").alias("parent_no"))
-    return both.join(facts, KEYS).join(disk_sort_space(nodes), ["queryid", "planid"], "left")
+    product, join = F.col("node_type").isin(schema.PRODUCT_NODES), F.col("node_type").isin(schema.SUM_JOINS)
+    coef = F.when(product, product_coefficient(F.col("sum_product_actual"), F.col("sum_product_square"))).when(join, F.col("coef_outer")).otherwise(scan["coef"])
+    found = join_models(kept).select(
+        *KEYS, "node_type", "n", coef.alias("coef_outer"), F.when(join, F.col("coef_inner")).otherwise(F.lit(0.0)).alias("coef_inner"), F.lit(0.0).alias("coef2"),
+        F.when(product, F.lit(0.0)).when(join, F.col("intercept")).otherwise(scan["intercept"]).alias("intercept"),
+        *(c for c in LARGEST if c in kept.columns), "merge_flag",
+    )
+    space = found.groupBy("queryid", "planid").agg(F.max("disk_sort_kb").alias("sort_space_used"))
+    return found.drop("disk_sort_kb").join(space, ["queryid", "planid"])
+
+
+def parameters(nodes: DataFrame) -> DataFrame:
+    """The ``reg_param`` table of plan nodes with their inputs (``with_inputs``)."""
+    return parameters_of(learnt(nodes))

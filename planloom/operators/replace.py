@@ -1,6 +1,7 @@
 """Estimates replaced by what the learnt parameters make of them, bottom-up.
 
-The loop runs over the levels of the tree (tens at most), each level one join of all plans' nodes with their children.
+The nodes of a plan (tens at most) meet in one array, last node first, so that children come before their parents; one
+fold over it makes all new estimates, whatever the depth of the tree.
 """
 
 from __future__ import annotations
@@ -22,19 +23,25 @@ def estimate(node_type: Column, plan: Column, outer: Column, inner: Column, p: C
     return F.when(p.isNull(), plan).when(node_type.isin(schema.MEMBER_NODES), outer).when(node_type.isin(schema.PRODUCT_NODES), product).when(node_type.isin(schema.SUM_JOINS), joined).otherwise(scaled)
 
 
-def replace_rows(nodes: DataFrame, parameters: DataFrame, keys: list[str], most_levels: int | None = None) -> DataFrame:
-    """``nodes`` with plan_rows replaced.  ``parameters``: queryid, planid, node_no, coef_outer, coef_inner, coef2, intercept."""
+def replace_rows(nodes: DataFrame, parameters: DataFrame, keys: list[str]) -> DataFrame:
+    """``nodes`` with plan_rows replaced; ``keys`` name a plan's execution.  ``parameters``: queryid, planid, node_no,
+    coef_outer, coef_inner, coef2, intercept."""
     named = parameters.select("queryid", "planid", "node_no", F.struct("coef_outer", "coef_inner", "coef2", "intercept").alias("__p"))
-    work = nodes.join(named, ["queryid", "planid", "node_no"], "left").withColumn("__new", F.lit(None).cast("double"))
-    deepest = nodes.agg(F.max("depth")).first()[0] if most_levels is None else most_levels
-    for depth in range(deepest or 0, -1, -1):
-        kids = work.where((F.col("depth") == depth + 1) & ~F.coalesce(F.col("relationship"), F.lit("Outer")).isin("InitPlan", "SubPlan"))
-        is_outer = F.coalesce(F.col("relationship"), F.lit("Outer")) == "Outer"
-        sides = kids.groupBy(*keys, F.col("parent_no").alias("node_no")).agg(
-            F.max(F.when(is_outer, F.col("__new"))).alias("__o"), F.max(F.when(~is_outer, F.col("__new"))).alias("__i"), F.sum("__new").alias("__m")
-        )
-        here = F.col("depth") == depth
-        outer = F.when(F.col("node_type").isin(schema.MEMBER_NODES), F.col("__m")).otherwise(F.col("__o"))
-        new = estimate(F.col("node_type"), F.col("plan_rows"), outer, F.col("__i"), F.col("__p"), F.col("norm"), F.col("norm_plan"))
-        work = work.join(sides, [*keys, "node_no"], "left").withColumn("__new", F.when(here, new).otherwise(F.col("__new"))).drop("__o", "__i", "__m")
-    return work.withColumn("plan_rows", F.col("__new")).drop("__new", "__p")
+    work = nodes.join(named, ["queryid", "planid", "node_no"], "left")
+    real = ~F.coalesce(F.col("relationship"), F.lit("Outer")).isin("InitPlan", "SubPlan")
+    entry = F.struct((-F.col("node_no")).alias("o"), "node_no", F.when(real, F.col("parent_no")).alias("parent"), (F.coalesce(F.col("relationship"), F.lit("Outer")) == "Outer").alias("outer"), "node_type", "plan_rows", "norm", "norm_plan", F.col("__p").alias("p"))
+
+    def add(done, x):
+        kids = F.filter(done, lambda d: d["parent"] == x["node_no"])
+        side = lambda outer: F.array_max(F.transform(F.filter(kids, lambda d: d["outer"] == outer), lambda d: d["new"]))
+        # without any member there is no sum
+        members = F.when(F.size(kids) > 0, F.aggregate(kids, F.lit(0.0), lambda s, d: s + d["new"]))
+        outer = F.when(x["node_type"].isin(schema.MEMBER_NODES), members).otherwise(side(True))
+        new = estimate(x["node_type"], x["plan_rows"], outer, side(False), x["p"], x["norm"], x["norm_plan"])
+        return F.concat(done, F.array(F.struct(x["node_no"].alias("node_no"), x["parent"].alias("parent"), x["outer"].alias("outer"), new.alias("new"))))
+
+    start = F.array().cast("array<struct<node_no:int,parent:int,outer:boolean,new:double>>")
+    folded = work.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__all")).select(*keys, F.explode(F.aggregate("__all", start, add)).alias("__d"))
+    found = folded.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__d.node_no").alias("__node_no"), F.col("__d.new").alias("__new"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, "node_no")]
+    return work.join(found, same, "left").withColumn("plan_rows", F.col("__new")).select(*nodes.columns)

@@ -1,7 +1,8 @@
 """Plan documents (JSON) to rows, one for each node.
 
-The tree is walked once in pre-order; numbering, parents, depths, parallel regions and the relations below each node
-come out of the same walk.  Everything after it is column arithmetic on flat rows.
+The tree is walked once in pre-order; numbering, parents, depths, parallel regions, the relations below each node and,
+where asked for, the rows of its children come out of the same walk.  Everything after it is column arithmetic on flat
+rows.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import schema
 
@@ -104,26 +107,81 @@ def rows(document: str | dict) -> list[dict]:
     return out
 
 
-def plan_nodes(log: DataFrame, server_id: str = "local") -> DataFrame:
+def merged(found: list[dict]) -> None:
+    """Finished plans: rows and loops of listed workers added, and the estimate scaled to all workers, in place."""
+    for r in found:
+        if r["merge_flag"] and r["workers"]:
+            if r["plan_rows"] is not None:
+                r["plan_rows"] *= r["norm_plan"]
+            for column, part in (("actual_rows", "rows"), ("actual_loops", "loops")):
+                if r[column] is not None:
+                    r[column] += sum(w[part] for w in r["workers"])
+
+
+def add_inputs(found: list[dict]) -> None:
+    """The rows of each node's children alongside, in place (see ``children``; members count as a sum), and the
+    relations below either side."""
+    sides: dict[int, dict] = {}
+    for r in found:
+        if not r["parent_no"] or (r["relationship"] or "Outer") in ("InitPlan", "SubPlan"):
+            continue
+        held = sides.setdefault(r["parent_no"], {})
+        side = "outer" if (r["relationship"] or "Outer") == "Outer" else "inner"
+        held[f"{side}_rels"] = max(held.get(f"{side}_rels", r["relations"]), r["relations"])
+        for kind in ("plan", "actual"):
+            value = r[f"{kind}_rows"]
+            if value is not None:
+                held[f"{kind}_{side}"] = max(held.get(f"{kind}_{side}", value), value)
+                held[f"{kind}_members"] = held.get(f"{kind}_members", 0.0) + value
+    for r in found:
+        held = sides.get(r["node_no"], {})
+        member = r["node_type"] in schema.MEMBER_NODES
+        for kind in ("plan", "actual"):
+            r[f"{kind}_members"] = held.get(f"{kind}_members")
+            r[f"{kind}_outer"] = r[f"{kind}_members"] if member else held.get(f"{kind}_outer")
+            r[f"{kind}_inner"] = 1.0 if member else held.get(f"{kind}_inner")
+        r["outer_rels"], r["inner_rels"] = held.get("outer_rels"), held.get("inner_rels")
+
+
+def plan_nodes(log: DataFrame, server_id: str = "local", finished: bool = False, extra: list[str] | None = None) -> DataFrame:
     """The ``plan_node`` table of a plan log; rows without planid (nothing was captured) are left out.
 
-    A narrow map in Arrow batches: one log row in, its nodes out, no shuffle.
+    A narrow map in Arrow batches: one log row in, its nodes out, no shuffle.  ``finished``: with worker rows merged in
+    and children's rows and relations alongside, as ``regression.with_inputs(workers.merge_finished(...))`` and
+    ``lineage.relation_sets`` give them.  ``extra``: further columns of the log that each node carries.
     """
+    keys = ["server_id", "seqid", "queryid", "planid", *(extra or [])]
+    keyed = log if "server_id" in log.columns else log.withColumn("server_id", F.lit(server_id))
+    source = keyed.where("planid is not null and plan_json is not null").select(*keys, "plan_json")
+    out = StructType([source.schema[k] for k in keys] + StructType.fromDDL(schema.NODE + (", " + schema.INPUTS if finished else "")).fields)
+    arrow = to_arrow_schema(out)
+    columns = out.names[len(keys) :]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in schema.NODE.replace("array<struct<no:int,rows:double,loops:double>>", "x").replace("array<struct<kind:string,expr:string>>", "x").replace("map<string,string>", "x").split(",")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for key in batch.itertuples(index=False):
-                found += [{"server_id": key.server_id, "seqid": key.seqid, "queryid": key.queryid, "planid": key.planid, **r} for r in rows(key.plan_json)]
-            frame = pd.DataFrame(found, columns=["server_id", "seqid", "queryid", "planid", *names])
-            for c in ("parent_no", "workers_planned", "workers_launched", "sort_space_kb"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
-
-    keyed = log if "server_id" in log.columns else log.withColumn("server_id", F.lit(server_id))
-    source = keyed.where("planid is not null and plan_json is not null").select("server_id", "seqid", "queryid", "planid", "plan_json")
-    return source.mapInPandas(run, schema.PLAN_NODE)
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                held: list[list] = [[] for _ in columns]
+                per = []
+                for text in part.column(len(keys)).to_pylist():
+                    found = rows(text)
+                    if finished:
+                        merged(found)
+                        add_inputs(found)
+                    per.append(len(found))
+                    for column, name in zip(held, columns):
+                        column += [r[name] for r in found]
+                owner = pa.array([i for i, n in enumerate(per) for _ in range(n)], pa.int64())
+                named = [part.column(i).take(owner).cast(arrow.field(i).type) for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*named, *(_array(c, arrow.field(len(keys) + i).type) for i, c in enumerate(held))], schema=arrow)
+
+    return source.mapInArrow(run, out)
+
+
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_map(kind):
+        values = [list(v.items()) for v in values]
+    return pa.array(values, kind)
 
 
 def children(nodes: DataFrame, keys: list[str]) -> DataFrame:

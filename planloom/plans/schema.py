@@ -15,6 +15,8 @@ NODE = (
     "conds array<struct<kind:string,expr:string>>, props map<string,string>"
 )
 PLAN_NODE = "server_id string, seqid bigint, queryid string, planid string, " + NODE
+#: Rows of a node's children (outer, inner, and all members) and the relations below either side.
+INPUTS = "plan_outer double, actual_outer double, plan_inner double, actual_inner double, plan_members double, actual_members double, outer_rels array<string>, inner_rels array<string>"
 
 # Names that plan documents use.
 CONDITIONS = ["Index Cond", "Recheck Cond", "TID Cond", "Merge Cond", "Hash Cond", "Filter", "Join Filter"]
@@ -27,8 +29,8 @@ MEMBER_NODES = ["Append", "Merge Append", "BitmapAnd", "BitmapOr"]
 SUM_JOINS = ["Hash Join", "Merge Join"]
 JOINS = ["Nested Loop", *SUM_JOINS]
 SORTS = ["Sort", "Incremental Sort"]
+#: The keys whose text values make up a plan's fingerprint.
 STRUCTURAL = [
-    "Node Type", "Strategy", "Partial Mode", "Operation", "Parent Relationship", "Subplan Name", "Custom Plan Provider", "Scan Direction", "Index Name", "Schema", "Alias",
-    "Relation Name", "CTE Name", "Function Name", "Table Function Name", "Tuplestore Name", "Join Type", "Command", "Sort Method", "Sort Space Type", "Sampling Method",
-    "Conflict Resolution", "Output", "Sort Key", "Presorted Key", "Group Key", "Hash Key", "Cache Key",
+    "Node Type", "Parent Relationship", "Relation Name", "Function Name", "Index Name", "CTE Name", "Relation", "Schema", "Alias", "Output", "Scan Direction", "Strategy", "Join Type", "Sort Key", "Operation", "Subplan Name", "Command",
+    "Triggers", "Trigger", "Trigger Name", "Constraint Name", "Group Key", "Grouping Sets", "Group Keys", "Hash Keys", "Hash Key", "Partial Mode", "Inner Unique",
 ]

@@ -1,7 +1,9 @@
 """A repository of plan logs, nodes and parameters of one or more servers, as partitioned Parquet tables.
 
-``log``, ``nodes`` and ``params`` are partitioned by server; nodes and parameters also by a 1000-way hash of planid.
-Servers are registered in ``servers.json``, without credentials.
+``log``, ``nodes``, ``sums`` and ``params`` are partitioned by server; all but the log also by a 1000-way hash of planid,
+one file for each hash and intake.  ``sums`` hold what is kept of each intake's nodes, under the intake's last number: an
+intake that is run again replaces itself.  Parameters are made anew for the hashes that an intake touches, from sums
+alone.  Servers are registered in ``servers.json``, without credentials.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from pyspark.sql import functions as F
 from .functions.params import push as push_rows
 from .functions.scalar import hash_dir
 from .operators import regression
-from .plans import lineage
 from .plans.schema import PLAN_LOG
 from .sources import plan_log
 from .streaming.ingest import nodes_of
 
 _NAME = re.compile(r"\w+")
+TABLES = ("log", "nodes", "sums", "params")
 
 
 class Repository:
@@ -74,7 +76,7 @@ class Repository:
         servers = self._known(old)
         if new in servers or not _NAME.fullmatch(new):
             raise ValueError(f"can't rename to {new!r}")
-        for table in ("log", "nodes", "params"):
+        for table in TABLES:
             if self._exists(f"{table}/server={old}"):
                 self.fs.move(f"{self.root}/{table}/server={old}", f"{self.root}/{table}/server={new}")
         servers[new] = servers.pop(old)
@@ -82,7 +84,7 @@ class Repository:
 
     def delete(self, server: str) -> None:
         servers = self._known(server)
-        for table in ("log", "nodes", "params"):
+        for table in TABLES:
             self._drop(f"{table}/server={server}")
         del servers[server]
         self._save(servers)
@@ -103,47 +105,70 @@ class Repository:
         target = f"{self.path}/log/server={server}/upto={upto:020d}"
         new.write.mode("overwrite").parquet(target)
         held = self.spark.read.schema(PLAN_LOG).parquet(target)
-        self._write_nodes(server, held, upto)
-        self._regress(server)
+        self._take(server, held, f"server={server}/upto={upto:020d}")
+        self._regress(server, f"sums/server={server}/upto={upto:020d}")
         servers[server]["seqid"] = upto
         self._save(servers)
         return held.count()
 
-    def _write_nodes(self, server: str, log: DataFrame, upto: int) -> None:
-        nodes = nodes_of(log, server).withColumn("dir", hash_dir(F.col("planid")))
-        nodes.write.mode("overwrite").partitionBy("dir").parquet(f"{self.path}/nodes/server={server}/upto={upto:020d}")
-
-    def _regress(self, server: str) -> None:
-        found = regression.parameters(self.nodes(server))
-        sides = lineage.relation_sets(self.nodes(server), ["server_id", "seqid", "queryid", "planid"]).groupBy(*regression.KEYS).agg(F.max("outer_rels").alias("outer_rels"), F.max("inner_rels").alias("inner_rels"))
-        out = found.join(sides, regression.KEYS, "left").withColumn("dir", hash_dir(F.col("planid")))
-        out.write.mode("overwrite").partitionBy("dir").parquet(f"{self.path}/params/server={server}")
+    def _take(self, server: str, log: DataFrame, place: str, under: str = "") -> None:
+        """The nodes of log rows and what is kept of them."""
+        nodes = nodes_of(log, server)
+        self._partitioned(nodes, f"{under}nodes/{place}")
+        # without any captured plan there is no file to take a schema from
+        held = self.spark.read.schema(nodes.schema).parquet(f"{self.path}/{under}nodes/{place}").select(nodes.columns)
+        self._partitioned(regression.learnt(held), f"{under}sums/{place}")
+
+    def _partitioned(self, rows: DataFrame, place: str, mode: str = "static") -> None:
+        dealt = rows.drop("dir").withColumn("dir", hash_dir(F.col("planid"))).repartition("dir")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("dir").parquet(f"{self.path}/{place}")
+
+    def _regress(self, server: str, touched: str | None = None) -> None:
+        """Parameters of the plans in the hashes that an intake touched (at most 1000 names), or of all."""
+        names = [i.base_name.removeprefix("dir=") for i in self.fs.get_file_info(pafs.FileSelector(f"{self.root}/{touched}")) if i.base_name.startswith("dir=")] if touched else []
+        if touched and not names:
+            return
+        kept = self._read("sums", server)
+        kept = kept.where(F.col("dir").isin(names)) if touched else kept
+        found = regression.parameters_of(regression.merge_sums(kept.drop("upto", "dir")))
+        self._partitioned(found, f"params/server={server}", "dynamic" if touched else "static")
 
     def reset(self, server: str) -> None:
         """Forget nodes and parameters; the log is read from its beginning again."""
         servers = self._known(server)
-        for table in ("log", "nodes", "params"):
+        for table in TABLES:
             self._drop(f"{table}/server={server}")
         servers[server]["seqid"] = 0
         self._save(servers)
 
     def recalc(self, server: str) -> None:
-        """Nodes and parameters anew from the stored log."""
+        """Nodes and parameters anew from the stored log; the old ones go once the new ones are written."""
         self._known(server)
-        self._drop(f"nodes/server={server}")
-        self._write_nodes(server, self.log(server), self.servers()[server]["seqid"])
+        place = f"server={server}/upto={self.servers()[server]['seqid']:020d}"
+        self._drop("new")
+        self._take(server, self.log(server), place, "new/")
+        for table in ("nodes", "sums"):
+            self._drop(f"{table}/server={server}")
+            self.fs.create_dir(f"{self.root}/{table}", recursive=True)
+            self.fs.move(f"{self.root}/new/{table}/server={server}", f"{self.root}/{table}/server={server}")
+        self._drop("new")
         self._regress(server)
 
     # --- tables
 
+    def _read(self, table: str, server: str) -> DataFrame:
+        # hashes keep their leading zeros
+        rows = self.spark.read.option("basePath", f"{self.path}/{table}/server={server}").parquet(f"{self.path}/{table}/server={server}")
+        return rows.withColumn("dir", F.lpad(F.col("dir").cast("string"), 3, "0")) if "dir" in rows.columns else rows
+
     def log(self, server: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/log/server={server}").drop("upto")
+        return self._read("log", server).drop("upto")
 
     def nodes(self, server: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/nodes/server={server}").drop("upto", "dir")
+        return self._read("nodes", server).drop("upto", "dir")
 
     def parameters(self, server: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/params/server={server}").drop("dir")
+        return self._read("params", server).drop("dir")
 
     def push(self, server: str, target: str) -> DataFrame:
         """Write the parameters of each database's newest plans; what was written."""

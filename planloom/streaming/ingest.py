@@ -1,7 +1,8 @@
 """Incremental ingestion: new log rows become plan nodes and update the learnt sums.
 
-The stream's checkpoint is the cursor.  Every micro-batch writes its nodes and its node sums under the batch's number,
-so a batch that is run again replaces itself; sums of sums are sums, and reading adds them up.
+The stream's checkpoint is the cursor.  Every micro-batch writes its nodes and what is kept of them (``regression.learnt``)
+under the batch's number, so a batch that is run again replaces itself; sums of sums are sums, and reading adds them up
+(``read_sums``) and makes parameters of them (``read_parameters``) without going back to the nodes.
 """
 
 from __future__ import annotations
@@ -9,21 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import regression, workers
+from ..operators import regression
 from ..plans import schema
 from ..plans.flatten import plan_nodes
 
 
 def nodes_of(log: DataFrame, server_id: str = "local") -> DataFrame:
     """Plan nodes of log rows with worker rows merged in and children's rows alongside."""
-    return regression.with_inputs(workers.merge_finished(plan_nodes(log, server_id)))
+    return plan_nodes(log, server_id, finished=True)
 
 
 def write_batch(batch: DataFrame, batch_id: int, path: str, server_id: str = "local") -> None:
     target = f"{path}/nodes/batch={batch_id}"
     nodes_of(batch, server_id).write.mode("overwrite").parquet(target)
     nodes = batch.sparkSession.read.parquet(target)
-    regression.node_sums(nodes).write.mode("overwrite").parquet(f"{path}/sums/batch={batch_id}")
+    regression.learnt(nodes).write.mode("overwrite").parquet(f"{path}/sums/batch={batch_id}")
 
 
 def start(spark: SparkSession, log_path: str, path: str, checkpoint: str, once: bool = False, every: str = "5 seconds", server_id: str = "local"):
@@ -38,8 +39,12 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sums(spark: SparkSession, path: str) -> DataFrame:
-    held = spark.read.parquet(f"{path}/sums").drop("batch")
-    return held.groupBy(*regression.KEYS).agg(F.first("node_type").alias("node_type"), *(F.sum(c).alias(c) for c in regression.SUMS))
+    return regression.merge_sums(spark.read.parquet(f"{path}/sums").drop("batch"))
+
+
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """The parameters of all that has come in so far."""
+    return regression.parameters_of(read_sums(spark, path))
 
 
 def recount(events: DataFrame, window: str = "10 minutes", late: str = "1 hour", time_column: str = "ts") -> DataFrame:
