@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.params import Item, parse
 from .plans import schema
+from .sources.capture import Settings
 
 #: Hint for each recorded join method.
 HINTS = {"Hash Join": "shuffle_hash", "Merge Join": "merge", "Nested Loop": "shuffle_replicate_nl"}
@@ -28,19 +29,23 @@ class Advice:
 class Feedback:
     """The parameters of one query."""
 
-    def __init__(self, params: str | list[Item], sort_space_used: int | None = None):
+    def __init__(self, params: str | list[Item], sort_space_used: int | None = None, settings: Settings | None = None):
         self.items = parse(params) if isinstance(params, str) else params
         self.sort_space_used = sort_space_used
+        self.settings = settings or Settings()
 
     def scan_rows(self, relation: str, estimated: float) -> float:
-        """The corrected estimate of a base relation."""
+        """The corrected estimate of a base relation; the estimate itself with ``enable_adjust_rel_rows`` off."""
+        if not self.settings.enable_adjust_rel_rows:
+            return estimated
         for item in self.items:
             if item.node_type not in schema.JOINS and item.relations == (relation,):
                 return max(1.0, round(estimated * item.coef[0] + (item.intercept or (0.0,))[0]))
         return estimated
 
     def join(self, outer: set[str], inner: set[str], outer_rows: float, inner_rows: float) -> Advice:
-        """Method and corrected rows of the join of two sets of relations; coefficients follow the sides."""
+        """Method and corrected rows of the join of two sets of relations; coefficients follow the sides.  No rows with
+        ``enable_adjust_joinrel_rows`` off."""
         for item in self.items:
             if item.node_type not in schema.JOINS:
                 continue
@@ -56,12 +61,14 @@ class Feedback:
                 rows = item.coef[0] * o + item.coef[1] * v + intercept
             else:
                 rows = (item.coef2 or (0.0,))[0] * o * v + intercept
-            return Advice(item.node_type, max(1.0, round(rows)), flipped)
+            return Advice(item.node_type, max(1.0, round(rows)) if self.settings.enable_adjust_joinrel_rows else None, flipped)
         return Advice(None, None)
 
-    def hinted_join(self, left: DataFrame, right: DataFrame, on, how: str, outer: set[str], inner: set[str], inner_rows: float | None = None, row_bytes: int = 64) -> DataFrame:
+    def hinted_join(self, left: DataFrame, right: DataFrame, on, how: str, outer: set[str], inner: set[str], inner_rows: float | None = None, row_bytes: int | None = None) -> DataFrame:
         """The join with the recorded method; a hash join whose build side is small by the corrected estimate (rows
-        times width within the session's broadcast threshold) is broadcast."""
+        times width within the session's broadcast threshold) is broadcast.  Without ``row_bytes`` the width follows
+        from the right side's types, as the optimizer reckons it."""
+        row_bytes = row_bytes or 8 + right._jdf.schema().defaultSize()
         advice = self.join(outer, inner, 1.0, inner_rows or 1.0)
         if advice.method is None:
             return left.join(right, on, how)

@@ -12,14 +12,15 @@ import queue
 import re
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from ..plans import fingerprint, schema
+from .plan_log import max_seqid
 
 WRAPPERS = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan", "TableCacheQueryStageExec": "plan", "ResultQueryStageExec": "plan"}
 PASS_THROUGH = {"WholeStageCodegenExec", "InputAdapter", "AQEShuffleReadExec", "ColumnarToRowExec", "RowToColumnarExec", "ProjectExec", "ReusedExchangeExec", "CommandResultExec", "DeserializeToObjectExec", "SerializeFromObjectExec", "WriteFilesExec"}
@@ -153,11 +154,19 @@ def log_row(query_execution, seqid: int, started: datetime, ended: datetime, que
     return (seqid, started, ended, "spark", pid, 0, query_id(query_execution), query, fingerprint.planid(tree), text_plan(tree), json.dumps(tree))
 
 
-def run_and_capture(df: DataFrame, seqid: int = 1, query: str = "") -> tuple[list, tuple]:
-    """The rows of ``df`` and its plan-log row."""
+def run_and_capture(df: DataFrame, seqid: int = 1, query: str = "") -> tuple[Iterator[Row], tuple]:
+    """Run ``df`` on the executors and return its rows and its plan-log row.
+
+    Nothing of the result comes to the driver: the rows are an iterator that runs the query again once it is asked.
+    """
     started = datetime.now(UTC)
-    rows = df.collect()
-    return rows, log_row(df._jdf.queryExecution(), seqid, started, datetime.now(UTC), query)
+    df._jdf.queryExecution().toRdd().count()
+    ended = datetime.now(UTC)
+
+    def rows() -> Iterator[Row]:
+        yield from df.toLocalIterator()
+
+    return rows(), log_row(df._jdf.queryExecution(), seqid, started, ended, query)
 
 
 # --- listening ------------------------------------------------------------------------------------------------------
@@ -203,13 +212,17 @@ class Listener:
 class Capture:
     """Logs the plans of a session's finished queries to a Parquet folder.
 
+    Numbers go on from the largest in the folder; two sessions that log at a time need a folder each.  The queue waits for
+    a vacant slot, and no plan is dropped but one that can't be read (``dropped``); of a query's text the first
+    ``max_query_chars`` are kept, and a document above ``max_json_bytes`` is left out of its row.
+
     with Capture(spark, path, Settings(log_min_duration=0)): ...
     """
 
     def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None):
         self.spark, self.path, self.settings = spark, path, settings or Settings()
         self.slots: queue.Queue = queue.Queue(self.settings.buffer_slots)
-        self.stopping, self.flushing = threading.Event(), threading.local()
+        self.stopping = threading.Event()
         self.lock, self.written, self.next, self.dropped = threading.Lock(), 0, 1, 0
         self.listener = Listener(self.take)
 
@@ -225,8 +238,7 @@ class Capture:
             tree = document(execution)
             text = json.dumps(tree)
             if len(text) > self.settings.max_json_bytes:
-                self.dropped += 1
-                return
+                text = None  # logged without its document, which the regression then leaves out
             row = [None, datetime.fromtimestamp(ended.timestamp() - seconds, UTC), ended, "spark", 0, 0, query_id(execution), execution.logical().toString()[: self.settings.max_query_chars], fingerprint.planid(tree), text_plan(tree), text]
         except Exception:  # noqa: BLE001  a plan that can't be read must not fail the query
             self.dropped += 1
@@ -237,6 +249,13 @@ class Capture:
             except queue.Full:
                 continue
 
+    def _logged(self) -> int:
+        """The largest number in the folder, 0 without any."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return 0
+        return max_seqid(self.spark.read.schema(schema.PLAN_LOG).parquet(self.path))
+
     def flush(self) -> int:
         """Append what the queue holds in one batch; the rows written."""
         with self.lock:
@@ -265,6 +284,9 @@ class Capture:
         from pyspark.java_gateway import ensure_callback_server_started
 
         ensure_callback_server_started(self.spark.sparkContext._gateway)
+        self.next = 1 + self._logged()
+        # what ran before is none of this log's business
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
         self.spark._jsparkSession.listenerManager().register(self.listener)
         self.sweeper = threading.Thread(target=self._sweep, daemon=True)
         self.sweeper.start()

@@ -25,11 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends in good order."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def checkpointer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """Write a table to the shared folder and read it again."""
 
     def run(df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
+        path = fresh_path(spark, "round")
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
