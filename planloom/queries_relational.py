@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import modify
@@ -27,6 +27,7 @@ SHARED = {
     "join_full": "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM {customer} WHERE c_acctbal > 9000) c FULL JOIN (SELECT * FROM {supplier} WHERE s_acctbal > 5000) s ON c.c_nationkey = s.s_nationkey",
     "join_semi": "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "join_anti": "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
+    "join_anti_condition": "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 250000)",
     "join_right_anti": "SELECT o_orderkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)",
     "join_nested_loop_theta": "SELECT a.n_name AS low, b.n_name AS high FROM {nation} a JOIN {nation} b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey + b.n_nationkey > 20",
     "join_cross": "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}",
@@ -55,7 +56,7 @@ SHARED = {
     "win_topk_per_group": "SELECT * FROM (SELECT c_nationkey, c_custkey, c_acctbal, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS rn FROM {customer}) t WHERE rn <= 3",
     # order and limits
     "sort_limit_topk": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25",
-    "sort_nulls": "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > 300000 ORDER BY o_orderkey ASC NULLS FIRST, c_custkey LIMIT 50",
+    "sort_nulls": "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > 300000 ORDER BY o_orderkey ASC NULLS FIRST, c_custkey",
     "limit_offset": "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate, o_orderkey LIMIT 20 OFFSET 100",
     # set operations
     "union_all": "SELECT c_nationkey AS k, c_acctbal AS bal FROM {customer} UNION ALL SELECT s_nationkey, s_acctbal FROM {supplier}",
@@ -70,6 +71,7 @@ SHARED = {
     "subq_scalar_init": "SELECT c_custkey FROM {customer} WHERE c_acctbal > (SELECT avg(c_acctbal) + 4000 FROM {customer})",
     "subq_in": "SELECT s_suppkey, s_name FROM {supplier} WHERE s_suppkey IN (SELECT l_suppkey FROM {lineitem} WHERE l_quantity > 49 AND l_discount > 0.09)",
     "subq_not_in": "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000)",
+    "subq_not_in_many": "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 400000)",
     "subq_exists_or": "SELECT c_custkey FROM {customer} WHERE c_acctbal < -900 OR EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     "cte_reuse": "WITH per AS (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY o_custkey) SELECT a.o_custkey, a.n FROM per a WHERE a.n > (SELECT 1.5 * avg(n) FROM per)",
     # the published example queries in spirit: a join with a non-equality, a filter on tied columns, a large sort
@@ -83,10 +85,11 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_hint(method: str) -> Callable[[SparkSession, str], DataFrame]:
-    """The same equi-join by each physical method."""
+    """The same equi-join by each physical method; a broadcast only for a side of a checked size."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        right = table(spark, d, "customer").where("c_acctbal > 0").hint(method)
+        right = table(spark, d, "customer").where("c_acctbal > 0")
+        right = rel.broadcast_within(right) if method == "broadcast" else right.hint(method)
         return _orders(spark, d).join(right, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_nationkey")
 
     return run
@@ -136,14 +139,14 @@ def recursive_union_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_set(spark: SparkSession, d: str) -> DataFrame:
-    """A set-returning function in the select list: one row for each unit of every small part's size."""
-    return table(spark, d, "part").where("p_size <= 5").select("p_partkey", F.explode(F.sequence(F.lit(1), F.col("p_size"))).alias("unit"))
+    """A set-returning function in the select list: one row for each unit of every part's size."""
+    return table(spark, d, "part").where("p_size >= 1").select("p_partkey", F.explode(F.sequence(F.lit(1), F.col("p_size"))).alias("unit"))
 
 
 def function_scan_explode(spark: SparkSession, d: str) -> DataFrame:
     """A function scan with ordinality over an event's value."""
-    steps = F.posexplode(F.sequence(F.lit(0), F.floor(F.col("value") / 100).cast("int")))
-    return table(spark, d, "events").where("value >= 0").select("event_id", steps.alias("ordinal", "step")).select("event_id", (F.col("ordinal") + 1).cast("bigint").alias("ordinal"), F.col("step").cast("bigint").alias("step"))
+    steps = F.posexplode(F.when(F.col("value") >= 0, F.sequence(F.lit(0), F.floor(F.col("value") / 100).cast("int"))))
+    return table(spark, d, "events").select("event_id", steps.alias("ordinal", "step")).select("event_id", (F.col("ordinal") + 1).cast("bigint").alias("ordinal"), F.col("step").cast("bigint").alias("step"))
 
 
 def table_function_json(spark: SparkSession, d: str) -> DataFrame:
@@ -153,8 +156,18 @@ def table_function_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tid_range(spark: SparkSession, d: str) -> DataFrame:
-    """Rows by their place in the file, which no other plan node gives."""
-    return table(spark, d, "nation").select("n_name", F.col("_metadata.row_index").alias("row")).where("row BETWEEN 5 AND 9").select("n_name")
+    """Rows by their place (file and number in it) between two places."""
+    rows = rel.with_tid(table(spark, d, "nation"))
+    first = rows.agg(F.min("tid.file").alias("f"))
+    place = lambda n: F.struct(F.col("f").alias("file"), F.lit(n).cast("bigint").alias("row"))
+    return rows.join(F.broadcast(first), F.col("tid").between(place(5), place(9))).select("n_name")
+
+
+def tid_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The rows at stated places of the first file."""
+    rows = rel.with_tid(table(spark, d, "nation"))
+    first = rows.agg(F.min("tid.file").alias("f"))
+    return rows.where(F.col("tid.row").isin(3, 11)).join(F.broadcast(first), F.col("tid.file") == F.col("f")).select("n_name")
 
 
 def sample_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -166,13 +179,78 @@ def pivot_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_set_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    return _orders(spark, d).groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.5), 4).alias("median"), F.round(F.percentile("o_totalprice", 0.9), 4).alias("p90"))
+    from .sources.shared import checkpointer
+
+    found = rel.exact_quantiles(_orders(spark, d), ["o_orderpriority"], "o_totalprice", [0.5, 0.9], checkpointer(spark))
+    at = lambda share: F.round(F.max(F.when(F.col("share") == share, F.col("quantile"))), 4)
+    return found.groupBy("o_orderpriority").agg(at(0.5).alias("median"), at(0.9).alias("p90"))
 
 
 def win_exclude_current(spark: SparkSession, d: str) -> DataFrame:
-    """EXCLUDE CURRENT ROW by taking the row's own part from the frame's."""
-    frame = Window.partitionBy("c_nationkey")
-    return table(spark, d, "customer").select("c_custkey", (F.count("*").over(frame) - 1).alias("others"), F.round(F.sum("c_acctbal").over(frame) - F.col("c_acctbal"), 2).alias("rest"))
+    """EXCLUDE CURRENT ROW: what stands before the row and what stands after it."""
+    count, total = rel.exclude_frame(table(spark, d, "customer"), ["c_nationkey"], "c_custkey", "c_acctbal", "current row")
+    return table(spark, d, "customer").select("c_custkey", count.alias("others"), F.round(total, 2).alias("rest"))
+
+
+def win_exclude(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = rel.with_groups(_orders(spark, d), ["o_custkey"], "o_orderpriority")
+        count, total = rel.exclude_frame(rows, ["o_custkey"], "o_orderpriority", "o_totalprice", kind)
+        return rows.select("o_orderkey", count.alias("others"), F.round(total, 2).alias("rest"))
+
+    return run
+
+
+def _exclude_sql(kind: str) -> str:
+    return f"SELECT o_orderkey, CAST(count(o_totalprice) OVER w AS BIGINT) AS others, round(sum(o_totalprice) OVER w, 2) AS rest FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {kind})"
+
+
+def join_full_theta(spark: SparkSession, d: str) -> DataFrame:
+    """FULL JOIN on a comparison: regions and nations whose keys lie far apart."""
+    region, nation = table(spark, d, "region").select("r_regionkey", "r_name"), table(spark, d, "nation").select("n_nationkey", "n_name")
+    return rel.full_theta_join(region, nation, F.col("r_regionkey") > F.col("n_nationkey") + 1).select("r_name", "n_name")
+
+
+def join_partition_wise(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and line items in buckets of the order's key: joined and grouped within buckets, without an exchange."""
+    from .sources.shared import fresh_path
+
+    orders = rel.bucketed(_orders(spark, d).select("o_orderkey", "o_orderpriority"), ["o_orderkey"], 8, "planloom_orders", fresh_path(spark, "orders"))
+    items = rel.bucketed(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), ["l_orderkey"], 8, "planloom_items", fresh_path(spark, "items"))
+    return orders.join(items.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
+
+
+def join_materialize(spark: SparkSession, d: str) -> DataFrame:
+    """A nested loop whose inner side is computed once and kept."""
+    inner = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name").persist()
+    return table(spark, d, "region").join(inner, F.col("r_regionkey") < F.col("n_nationkey") % 7).select(F.col("r_regionkey"), "n_nationkey", inner["r_name"].alias("of"))
+
+
+def foreign_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A table of another system's format (CSV), written to the shared folder and read with its filter pushed down."""
+    from .sources.shared import fresh_path
+
+    path, held = fresh_path(spark, "foreign"), table(spark, d, "supplier")
+    held.write.option("header", True).csv(path)
+    return spark.read.schema(held.schema).option("header", True).csv(path).where("s_nationkey < 10").select("s_suppkey", "s_name", "s_acctbal")
+
+
+def custom_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of a Python data source joined with the parts of that size."""
+    from .sources.series import series
+
+    sizes = table(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("parts"))
+    return series(spark, 1, 1000).where("n <= 60").join(sizes, F.col("n") == F.col("p_size"), "left").select("n", "square", F.coalesce("parts", F.lit(0)).alias("parts"))
+
+
+def named_tuplestore(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that a statement changed, under a name, as a trigger's function sees them."""
+    old = _orders(spark, d).select("o_orderkey", "o_orderpriority", "o_totalprice")
+    changed = modify.update(old, F.col("o_totalprice") > 300000, {"o_totalprice": F.round(F.col("o_totalprice") * 2, 2)})
+    old_rows = old.where("o_totalprice > 300000")
+    new_rows = changed.join(old_rows.select("o_orderkey"), "o_orderkey", "left_semi")
+    sums = "SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM {rows} GROUP BY o_orderpriority"
+    return spark.sql(sums, rows=old_rows).withColumn("rows", F.lit("old")).unionByName(spark.sql(sums, rows=new_rows).withColumn("rows", F.lit("new")))
 
 
 def modify_update_delete(spark: SparkSession, d: str) -> DataFrame:
@@ -206,15 +284,24 @@ CUSTOM: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "with_ties_per_group": (with_ties_per_group, "SELECT o_orderstatus, o_orderkey, o_orderdate FROM (SELECT *, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC) AS r FROM orders) WHERE r <= 3"),
     "win_groups_frame": (win_groups_frame, "SELECT o_orderkey, CAST(count(*) OVER w AS BIGINT) AS n, round(sum(o_totalprice) OVER w, 4) AS total FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"),
     "win_exclude_current": (win_exclude_current, "SELECT c_custkey, CAST(count(*) OVER w AS BIGINT) - 1 AS others, round(sum(c_acctbal) OVER w - c_acctbal, 2) AS rest FROM customer WINDOW w AS (PARTITION BY c_nationkey)"),
+    "win_exclude_group": (win_exclude("group"), _exclude_sql("GROUP")),
+    "win_exclude_ties": (win_exclude("ties"), _exclude_sql("TIES")),
+    "join_full_theta": (join_full_theta, "SELECT r_name, n_name FROM region LEFT JOIN nation ON r_regionkey > n_nationkey + 1 UNION ALL SELECT NULL, n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey > n_nationkey + 1)"),
+    "join_partition_wise": (join_partition_wise, "SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 4) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"),
+    "join_materialize": (join_materialize, "SELECT a.r_regionkey, n_nationkey, b.r_name AS of FROM region a JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) b ON a.r_regionkey < n_nationkey % 7"),
+    "foreign_scan": (foreign_scan, "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_nationkey < 10"),
+    "custom_scan": (custom_scan, "SELECT n, n * n AS square, CAST(coalesce(parts, 0) AS BIGINT) AS parts FROM range(1, 61) r(n) LEFT JOIN (SELECT p_size, count(*) AS parts FROM part GROUP BY 1) ON p_size = n"),
+    "named_tuplestore": (named_tuplestore, "SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total, 'old' AS rows FROM orders WHERE o_totalprice > 300000 GROUP BY 1 UNION ALL SELECT o_orderpriority, CAST(count(*) AS BIGINT), round(sum(round(o_totalprice * 2, 2)), 2), 'new' FROM orders WHERE o_totalprice > 300000 GROUP BY 1"),
     "merge_append": (merge_append, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')"),
     "recursive_union_distinct": (recursive_union_distinct, "WITH RECURSIVE t(k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey = 0 UNION SELECT n_nationkey FROM nation, t WHERE n_nationkey = (2 * k + 1) % 25 OR n_nationkey = (3 * k) % 25) SELECT k FROM t"),
     "modify_update_delete": (modify_update_delete, "SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders) WHERE o_totalprice >= 20000"),
     "modify_insert_conflict": (modify_insert_conflict, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier"),
     "modify_merge": (modify_merge, "SELECT coalesce(s_suppkey, c_custkey) AS k, CASE WHEN s_suppkey IS NULL THEN c_acctbal WHEN c_custkey IS NULL THEN s_acctbal ELSE round(s_acctbal + c_acctbal, 2) END AS bal FROM supplier FULL JOIN customer ON s_suppkey = c_custkey WHERE NOT (s_suppkey IS NOT NULL AND c_custkey IS NOT NULL AND c_acctbal > 9000)"),
-    "project_set": (project_set, "SELECT p_partkey, CAST(unnest(range(1, p_size + 1)) AS INTEGER) AS unit FROM part WHERE p_size <= 5"),
-    "function_scan_explode": (function_scan_explode, "SELECT event_id, s + 1 AS ordinal, s AS step FROM (SELECT event_id, CAST(unnest(range(0, CAST(floor(value / 100) AS BIGINT) + 1)) AS BIGINT) AS s FROM events WHERE value >= 0)"),
+    "project_set": (project_set, "SELECT p_partkey, CAST(unnest(range(1, p_size + 1)) AS INTEGER) AS unit FROM part"),
+    "function_scan_explode": (function_scan_explode, "SELECT event_id, s + 1 AS ordinal, s AS step FROM (SELECT event_id, CAST(unnest(range(0, CAST(floor(value / 100) AS BIGINT) + 1)) AS BIGINT) AS s FROM events)"),
     "table_function_json": (table_function_json, "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL"),
     "tid_range": (tid_range, "SELECT n_name FROM nation WHERE n_nationkey BETWEEN 5 AND 9"),
+    "tid_scan": (tid_scan, "SELECT n_name FROM nation WHERE n_nationkey IN (3, 11)"),
     "sample_rows": (sample_rows, None),
     "pivot_counts": (pivot_counts, 'SELECT o_orderpriority, CAST(count(*) FILTER (WHERE o_orderstatus = \'F\') AS BIGINT) AS "F", CAST(count(*) FILTER (WHERE o_orderstatus = \'O\') AS BIGINT) AS "O", CAST(count(*) FILTER (WHERE o_orderstatus = \'P\') AS BIGINT) AS "P" FROM orders GROUP BY o_orderpriority'),
     "ordered_set_aggregate": (ordered_set_aggregate, "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderpriority"),
