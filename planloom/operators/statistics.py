@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import permutations
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,26 +16,40 @@ def clamp(c: Column) -> Column:
 # --- functional dependencies -----------------------------------------------------------------------------------------
 
 
-def dependency_degree(df: DataFrame, given: list[str], to: str) -> DataFrame:
-    """degree: share of the rows whose values of ``given`` occur with a single value of ``to`` (null is a value).
+def _degrees(df: DataFrame, cases: list[tuple[list[str], str]]) -> DataFrame:
+    """case, degree of each dependency (given, to): one scan, whose rows are expanded to one for each case.
 
-    Two aggregates, both pre-aggregated map-side; no group's rows are ever collected.
+    Two aggregates, both pre-aggregated map-side: the rows of each pair of values, then of each given value with the
+    number of its pairs.  No group's rows are ever collected.
     """
-    groups = df.groupBy(*given).agg(F.count("*").alias("n"), F.count_distinct(F.struct(to)).alias("values"))
-    return groups.agg((F.coalesce(F.sum(F.when(F.col("values") == 1, F.col("n"))), F.lit(0)) / F.sum("n")).alias("degree"))
+    columns = list(dict.fromkeys(c for given, to in cases for c in (*given, to)))
+    kept = df.select(*(F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)))
+    place = {c: i for i, c in enumerate(columns)}
+    # a value that a case doesn't use is null in its copy of the row
+    copies = [F.struct(F.lit(k).alias("case"), *(F.when(F.lit(c in given or c == to), F.col(f"__v{place[c]}")).alias(f"v{i}") for i, c in enumerate(columns))) for k, (given, to) in enumerate(cases)]
+    rows = kept.select(F.explode(F.array(*copies)).alias("r")).select("r.*")
+    pairs = rows.groupBy("case", *(f"v{i}" for i in range(len(columns)))).agg(F.count("*").alias("n"))
+    given_of = [F.create_map(*(x for k, (given, _) in enumerate(cases) for x in (F.lit(k), F.lit(c in given)))) for c in columns]
+    keys = [F.when(given_of[i][F.col("case")], F.col(f"v{i}")).alias(f"g{i}") for i in range(len(columns))]
+    groups = pairs.groupBy("case", *keys).agg(F.sum("n").alias("n"), F.count("*").alias("values"))
+    return groups.groupBy("case").agg((F.coalesce(F.sum(F.when(F.col("values") == 1, F.col("n"))), F.lit(0)) / F.sum("n")).alias("degree"))
+
+
+def dependency_degree(df: DataFrame, given: list[str], to: str) -> DataFrame:
+    """degree: share of the rows whose values of ``given`` occur with a single value of ``to`` (null is a value)."""
+    return _degrees(df, [(given, to)]).select("degree")
+
 
+def dependency_cases(columns: list[str]) -> list[tuple[list[str], str]]:
+    """Every dependency (given, to) among two or more of the columns, given in order of name."""
+    return [(sorted(given), to) for size in range(2, len(columns) + 1) for to in columns for given in combinations([c for c in columns if c != to], size - 1)]
 
-def dependencies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """given, to, degree of every dependency among two or more of the columns."""
-    out = []
-    for size in range(2, len(columns) + 1):
-        seen = set()
-        for p in permutations(columns, size):
-            key = (tuple(sorted(p[:-1])), p[-1])
-            if key not in seen:
-                seen.add(key)
-                out.append(dependency_degree(df, list(key[0]), key[1]).select(F.array(*map(F.lit, key[0])).alias("given"), F.lit(key[1]).alias("to"), "degree"))
-    return reduce(DataFrame.unionByName, out)
+
+def dependencies(df: DataFrame, columns: list[str], cases: list[tuple[list[str], str]] | None = None) -> DataFrame:
+    """given, to, degree of every dependency among two or more of the columns (or of the stated ones), in one scan."""
+    cases = cases or dependency_cases(columns)
+    given, to = (F.create_map(*(x for k, case in enumerate(cases) for x in (F.lit(k), F.array(*map(F.lit, case[0])) if side == 0 else F.lit(case[1])))) for side in (0, 1))
+    return _degrees(df, cases).select(given[F.col("case")].alias("given"), to[F.col("case")].alias("to"), "degree")
 
 
 def strongest_dependency(found: DataFrame, present: list[str]) -> DataFrame:
@@ -49,12 +63,17 @@ def dependent_selectivity(degree: Column, a: Column, b: Column) -> Column:
     return degree * F.least(a, b) + (1 - degree) * a * b
 
 
+#: The share of the total in the least count, the default of a range, how far its sum may fall below
+#: zero, and what it is then.
+COUNT_SHARE, RANGE_DEFAULT, RANGE_SLACK, RANGE_TINY = 0.04, 0.005, -0.01, 1e-10
+
+
 # --- most common values ------------------------------------------------------------------------------------------------
 
 
 def mcv_min_count(n: Column, total: Column) -> Column:
     """Rows that a value needs in a sample of n out of total rows to be reliably common."""
-    below = total - n + F.lit(0.04) * n * (total - 1)
+    below = total - n + F.lit(COUNT_SHARE) * n * (total - 1)
     return F.when(below == 0, F.lit(0.0)).otherwise(n * (total - n) / below)
 
 
@@ -101,10 +120,10 @@ def or_selectivity(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x - s * x)
 
 
-def range_selectivity(low: Column, high: Column, null_fraction: Column, default: float = 0.005) -> Column:
+def range_selectivity(low: Column, high: Column, null_fraction: Column, default: float = RANGE_DEFAULT) -> Column:
     """Of ``low < x and x < high`` from those of both sides: hi + lo + nulls - 1; a tiny default where that fails."""
     value = high + low + null_fraction - 1
-    return F.when(value > 0, value).when(value >= -0.01, F.lit(1e-10)).otherwise(F.lit(default))
+    return F.when(value > 0, value).when(value >= RANGE_SLACK, F.lit(RANGE_TINY)).otherwise(F.lit(default))
 
 
 def best_statistics(objects: DataFrame, present: list[str]) -> DataFrame:
@@ -128,9 +147,12 @@ def expression_statistics(df: DataFrame, expression: Column) -> DataFrame:
 
 
 def sampled(df: DataFrame, rows: int, seed: int = 0, widest: int = 1024) -> DataFrame:
-    """A seeded sample of about that many rows, without rows that hold overwide values, in the order of the columns."""
-    wide = [F.octet_length(c) > widest for c, t in df.dtypes if t == "string"]
-    narrow = df.where(~reduce(lambda a, b: a | b, wide)) if wide else df
-    total = narrow.count()
-    share = min(1.0, rows / total) if total else 1.0
-    return narrow.sample(share, seed=seed).orderBy(*df.columns)
+    """A seeded sample of that many rows (all, if there are fewer), in the order of the columns; rows that hold a value
+    of over ``widest`` bytes are skipped, as they would be when a statistics object is built.
+
+    A bounded top-n over a hash of the row: one pass, no count, and the same sample however the rows are dealt.
+    """
+    wide = [F.octet_length(c) > widest for c, t in df.dtypes if t in ("string", "binary")]
+    narrow = df.where(~F.coalesce(reduce(lambda a, b: a | b, wide), F.lit(False))) if wide else df
+    chosen = narrow.withColumn("__h", F.xxhash64(F.lit(seed), *df.columns)).orderBy("__h", *df.columns).limit(rows)
+    return chosen.drop("__h").orderBy(*df.columns)

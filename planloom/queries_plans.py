@@ -5,15 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import params as prm
 from .functions import scalar
-from .operators import analyze, progress, regression, replace, statistics, workers
-from .plans import fingerprint, flatten, lineage, schema
+from .operators import analyze, live, neural, progress, regression, replace, statistics, workers
+from .plans import fingerprint, flatten, schema
 from .sources import capture
-from .sources.shared import checkpointer
+from .sources.shared import fresh_path
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,15 +70,25 @@ def reg_join_single(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reg_join_fit(spark: SparkSession, d: str) -> DataFrame:
-    return regression.join_models(_item_nodes(spark, d, "Hash Join")).select("queryid", "coef_outer", "coef_inner", "intercept", F.round("rmse", 4).alias("rmse"))
+    sums = regression.node_sums(_item_nodes(spark, d, "Hash Join"))
+    return regression.join_models(sums).select("queryid", *(F.round(c, 4).alias(c) for c in ("coef_outer", "coef_inner", "intercept", "rmse")))
+
+
+def fit_sql(table: str, keys: str, outer: str, inner: str, actual: str) -> str:
+    """CTEs that end in ``fit`` (keys, co, cv, b, rmse): the best of three linear models with the origin as a point."""
+    return f"""
+s AS (SELECT {keys}, count(*) AS n, sum({outer}) AS o, sum({inner}) AS v, sum({actual}) AS a, sum({outer} * {outer}) AS oo, sum({inner} * {inner}) AS vv, sum({outer} * {inner}) AS ov, sum({outer} * {actual}) AS oa, sum({inner} * {actual}) AS va, sum({actual} * {actual}) AS aa FROM {table} GROUP BY ALL),
+c AS (SELECT *, k AS with_origin, n + k AS m, oo - o * o / (n + k) AS coo, vv - v * v / (n + k) AS cvv, ov - o * v / (n + k) AS cov, oa - o * a / (n + k) AS coa, va - v * a / (n + k) AS cva, aa - a * a / (n + k) AS caa FROM s, (VALUES (1), (0)) t(k)),
+m3 AS (SELECT *, 1 AS model, (coa * cvv - cva * cov) / (coo * cvv - cov * cov) AS x, (cva * coo - coa * cov) / (coo * cvv - cov * cov) AS y FROM c UNION ALL SELECT *, 2, coa / coo, 0 FROM c UNION ALL SELECT *, 3, 0, cva / cvv FROM c),
+picked AS (SELECT *, sqrt(greatest(caa - x * coa - y * cva, 0) / m) AS rmse FROM m3 QUALIFY row_number() OVER (PARTITION BY {keys}, model ORDER BY CASE WHEN x >= 0 AND y >= 0 THEN with_origin ELSE 0.5 - with_origin END DESC) = 1),
+fit AS (SELECT *, x AS co, y AS cv, (a - x * o - y * v) / m AS b FROM picked QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY rmse, model) = 1)"""
 
 
 def group_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The grouped plan: executions per node in log order, its ends and its length."""
+    """The grouped plan: how often each node ran, and its first and last execution."""
     nodes = _order_nodes(spark, d).withColumns({"actual_loops": F.lit(1.0), "removed_rows": F.lit(0.0), "sort_space_kb": F.lit(0), "sort_space_type": F.lit("Memory"), "conds": F.array()})
-    got = regression.grouped_values(nodes)
-    last = F.element_at("executions", -1)
-    return got.select("queryid", "planid", F.size("executions").cast("bigint").alias("n"), F.element_at("executions", 1)["seqid"].alias("first"), last["seqid"].alias("last"), last["plan_rows"].alias("last_plan"))
+    got = regression.grouped_plan(nodes)
+    return got.select("queryid", "planid", "n", F.col("first.seqid").alias("first"), F.col("last.seqid").alias("last"), F.col("last.plan_rows").alias("last_plan"))
 
 
 def sort_space_max(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +153,7 @@ def _tree(spark: SparkSession) -> DataFrame:
 
 def replace_rows(spark: SparkSession, d: str) -> DataFrame:
     parameters = spark.createDataFrame([("q", "p", *r) for r in _PARAMETERS], "queryid string, planid string, node_no int, coef_outer double, coef_inner double, coef2 double, intercept double")
-    return replace.replace_rows(_tree(spark), parameters, ["queryid", "planid"], 3).select("node_no", "node_type", "plan_rows")
+    return replace.replace_rows(_tree(spark), parameters, ["queryid", "planid"]).select("node_no", "node_type", "plan_rows")
 
 
 _REPLACE_SQL = f"""
@@ -196,6 +206,35 @@ def misestimate(spark: SparkSession, d: str) -> DataFrame:
     return analyze.misestimates(nodes).select("queryid", "planid", F.array_join("conditions", "; ").alias("conditions"))
 
 
+def misestimate_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Aggregates over scans with up to three kinds of conditions: the last kind counts, and a node without any has its
+    child's."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("queryid"), F.col("event_type").alias("planid"), "event_id", F.floor("value").cast("double").alias("actual_rows"))
+    cond = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("expr"))
+    number = lambda k: (F.col("event_id") % k).cast("string")
+    conds = F.when(F.col("event_id") % 4 == 0, F.array(cond("Filter", F.concat(F.lit("f = "), number(3))), cond("Index Cond", F.concat(F.lit("i = "), number(2))))).when(F.col("event_id") % 4 == 1, F.array(cond("Index Cond", F.concat(F.lit("i = "), number(5))))).when(F.col("event_id") % 4 == 2, F.array(cond("Index Cond", F.lit("i = 9")), cond("Filter", F.lit("f < 1")))).otherwise(F.array().cast("array<struct<kind:string,expr:string>>"))
+    scan = e.select("queryid", "planid", F.lit(2).alias("node_no"), F.lit(1).alias("parent_no"), F.lit(0).alias("child_ix"), F.lit("Seq Scan").alias("node_type"), F.lit(1.0).alias("plan_rows"), F.lit(5.0).alias("actual_rows"), conds.alias("conds"))
+    above = e.select("queryid", "planid", F.lit(1).alias("node_no"), F.lit(None).cast("int").alias("parent_no"), F.lit(0).alias("child_ix"), F.lit("Aggregate").alias("node_type"), (F.col("event_id") % 50).cast("double").alias("plan_rows"), "actual_rows", F.array().cast("array<struct<kind:string,expr:string>>").alias("conds"))
+    return analyze.misestimates(scan.unionByName(above)).select("queryid", "planid", "node_no", F.array_join("conditions", "; ").alias("conditions"))
+
+
+_KINDS_SQL = """
+WITH n AS (SELECT *, CAST(event_id % 50 AS DOUBLE) AS p, floor(value) AS a, CASE event_id % 4 WHEN 0 THEN 'Filter: f = ' || (event_id % 3) WHEN 1 THEN 'Index Cond: i = ' || (event_id % 5) END AS c FROM events)
+SELECT CAST(user_id AS VARCHAR) AS queryid, event_type AS planid, 1 AS node_no, coalesce(string_agg(DISTINCT c, '; ' ORDER BY c), '') AS conditions FROM n GROUP BY 1, 2 HAVING bool_or(p > 0 AND a > 0 AND (a / p > 10 OR p / a > 10))"""
+
+
+def neural_joins(spark: SparkSession, d: str) -> DataFrame:
+    """A model for each return flag's joins, and how far its predictions are off, by the mean of the rows."""
+    training = analyze.join_training(_item_nodes(spark, d, "Hash Join"))
+    models = neural.train_joins(training, epochs=20)
+    told = neural.predict_joins(training, models)
+    return told.groupBy("queryid").agg(F.count("*").alias("n"), (F.avg("predicted") > 0).alias("positive"))
+
+
+def sampled_rows(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.sampled(table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey"), 500, seed=3)
+
+
 def join_training(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("queryid"), F.col("l_returnflag").alias("planid"), F.lit(1).alias("node_no"), F.lit(2).alias("depth"), F.lit("Hash Join").alias("node_type"), F.col("l_quantity").alias("actual_outer"), F.col("l_linenumber").cast("double").alias("actual_inner"), (F.col("l_partkey") % 50).cast("double").alias("actual_rows"))
     return analyze.join_training(nodes, 130).groupBy("queryid", "planid").agg(F.count("*").alias("n"), F.sum("x_outer").alias("x_outer"), F.sum("x_inner").alias("x_inner"), F.sum("y").alias("y"))
@@ -216,11 +255,15 @@ SELECT CAST(user_id AS VARCHAR) AS queryid, event_type AS planid, CAST(count(*)
 # --- statistics ---------------------------------------------------------------------------------------------------------
 
 
+_FD_CASES = [("nation", ["n_nationkey"], "n_regionkey"), ("lineitem", ["l_partkey", "l_suppkey"], "l_returnflag"), ("part", ["p_brand", "p_size"], "p_type"), ("orders", ["o_custkey"], "o_orderstatus"), ("lineitem", ["l_returnflag"], "l_linestatus")]
+
+
 def fd_degree(spark: SparkSession, d: str) -> DataFrame:
-    cases = [("nation", ["n_nationkey"], "n_regionkey"), ("lineitem", ["l_partkey", "l_suppkey"], "l_returnflag"), ("part", ["p_brand", "p_size"], "p_type"), ("orders", ["o_custkey"], "o_orderstatus"), ("lineitem", ["l_returnflag"], "l_linestatus")]
+    """Five dependencies, one scan for each table."""
     out = None
-    for name, given, to in cases:
-        one = statistics.dependency_degree(table(spark, d, name), given, to).select(F.lit(",".join(given)).alias("given"), F.lit(to).alias("to_column"), F.round("degree", 8).alias("degree"))
+    for name in dict.fromkeys(n for n, _, _ in _FD_CASES):
+        found = statistics.dependencies(table(spark, d, name), [], [(g, t) for n, g, t in _FD_CASES if n == name])
+        one = found.select(F.array_join("given", ",").alias("given"), F.col("to").alias("to_column"), F.round("degree", 8).alias("degree"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -359,10 +402,7 @@ _PLAN_REG_SQL = "SELECT CAST(a AS INTEGER) AS node_no, t AS node_type, CAST(3 AS
 
 def plan_parameters(spark: SparkSession, d: str) -> DataFrame:
     """The text that is pushed for the document's plan."""
-    nodes = regression.with_inputs(workers.merge_finished(flatten.plan_nodes(_document_log(spark))))
-    keys = ["server_id", "seqid", "queryid", "planid"]
-    sides = lineage.relation_sets(nodes, keys).groupBy(*regression.KEYS).agg(F.max("outer_rels").alias("outer_rels"), F.max("inner_rels").alias("inner_rels"))
-    return prm.encode(regression.parameters(nodes).join(sides, regression.KEYS))
+    return prm.encode(regression.parameters(flatten.plan_nodes(_document_log(spark), finished=True)))
 
 
 def plan_fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -376,6 +416,146 @@ def plan_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 _FINGERPRINT_SQL = "SELECT * FROM (VALUES ('a', 'a'), ('a', 'b'), ('b', 'a'), ('b', 'b'), ('c', 'c')) t(one, same)"
 
 
+# --- plan documents made from a table ---------------------------------------------------------------------------------
+
+#: Estimates and rows of the made documents: join, outer scan, inner scan, worker rows, as both engines compute them.
+_MADE = {
+    "pj": "o_orderkey % 40 + 1", "aj": "(o_orderkey + o_custkey) % 17", "po": "o_orderkey % 10 + 1", "ao": "o_orderkey % 13 + o_custkey % 3", "pi": "o_custkey % 7 + 1", "ai": "o_custkey % 11 + o_orderkey % 5",
+    "wj": "o_custkey % 5", "wo": "o_orderkey % 4", "gone": "o_orderkey % 3",
+}
+_MADE_SQL = "SELECT o_orderkey, o_orderpriority, o_orderstatus, CAST(ascii(o_orderstatus) AS VARCHAR) AS planid, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _MADE.items()) + " FROM orders"
+#: The join's type by the order's status.
+_MADE_JOIN = {"F": "Nested Loop", "O": "Hash Join", "P": "Merge Join"}
+
+
+def _made_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log row for each order: a Gather with two planned workers and one launched over a join of two scans, with the
+    worker's rows listed at the join and its outer scan.  Query: the priority, plan: the status as a number."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", *(F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in _MADE.items()))
+    name = lambda **fields: F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k.replace("_", " ")) for k, v in fields.items()))
+    worker = lambda rows: F.array(name(Worker_Number=0, Actual_Rows=rows, Actual_Loops=1.0))
+    outer = name(Node_Type="Seq Scan", Parent_Relationship="Outer", Schema="public", Relation_Name="t1", Alias="a", Filter=F.concat(F.lit("(x = "), F.col("o_orderkey").cast("string"), F.lit(")")), Rows_Removed_by_Filter=F.col("gone"), Plan_Rows=F.col("po"), Actual_Rows=F.col("ao"), Actual_Loops=1.0, Workers=worker(F.col("wo")))
+    inner = name(Node_Type="Seq Scan", Parent_Relationship="Inner", Schema="public", Relation_Name="t2", Alias="b", Plan_Rows=F.col("pi"), Actual_Rows=F.col("ai"), Actual_Loops=1.0)
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in _MADE_JOIN.items() for x in pair)), F.col("o_orderstatus"))
+    # children differ in their fields, so they are joined as texts
+    kids = F.concat(F.lit('"Plans":['), F.to_json(outer), F.lit(","), F.to_json(inner), F.lit("]}"))
+    join = name(Node_Type=kind, Parent_Relationship="Outer", Join_Type="Inner", Plan_Rows=F.col("pj"), Actual_Rows=F.col("aj"), Actual_Loops=1.0, Workers=worker(F.col("wj")))
+    open_ = lambda struct: F.regexp_replace(F.to_json(struct), r"\}$", ",")
+    gather = name(Node_Type="Gather", Workers_Planned=2, Workers_Launched=1, Plan_Rows=F.col("pj"), Actual_Rows=F.col("aj") + F.col("wj"), Actual_Loops=1.0)
+    text = F.concat(F.lit('{"Plan":'), open_(gather), F.lit('"Plans":['), open_(join), kids, F.lit("]}}"))
+    return o.select(F.col("o_orderkey").alias("seqid"), F.col("o_orderpriority").alias("queryid"), F.ascii("o_orderstatus").cast("string").alias("planid"), text.alias("plan_json"))
+
+
+#: The made documents' nodes with workers merged: the inner scan stands outside the parallel region.
+_MADE_NODES = f"""
+m AS ({_MADE_SQL}),
+nodes AS (
+SELECT o_orderkey AS seqid, o_orderpriority AS queryid, planid, 1 AS node_no, NULL AS parent_no, 'Gather' AS node_type, 3 AS last_no, pj AS plan_rows, aj + wj AS actual_rows, 0.0::DOUBLE AS removed_rows, 2 AS norm, 3 * pj AS plan_outer, aj + wj AS actual_outer, NULL::DOUBLE AS plan_inner, NULL::DOUBLE AS actual_inner FROM m
+UNION ALL SELECT o_orderkey, o_orderpriority, planid, 2, 1, CASE o_orderstatus WHEN 'F' THEN 'Nested Loop' WHEN 'O' THEN 'Hash Join' ELSE 'Merge Join' END, 4, 3 * pj, aj + wj, 0.0, 2, 3 * po, ao + wo, pi, ai FROM m
+UNION ALL SELECT o_orderkey, o_orderpriority, planid, 3, 2, 'Seq Scan', 3, 3 * po, ao + wo, gone, 2, NULL, NULL, NULL, NULL FROM m
+UNION ALL SELECT o_orderkey, o_orderpriority, planid, 4, 2, 'Seq Scan', 4, pi, ai, 0.0, 1, NULL, NULL, NULL, NULL FROM m)"""
+
+
+def table_flatten(spark: SparkSession, d: str) -> DataFrame:
+    nodes = flatten.plan_nodes(_made_log(spark, d), finished=True)
+    return nodes.select("seqid", "queryid", "planid", "node_no", "parent_no", "node_type", "plan_rows", "actual_rows", "removed_rows", "norm", "plan_outer", "actual_outer", "plan_inner", "actual_inner")
+
+
+_TABLE_FLATTEN_SQL = f"WITH {_MADE_NODES} SELECT seqid, queryid, planid, CAST(node_no AS INTEGER) AS node_no, CAST(parent_no AS INTEGER) AS parent_no, node_type, plan_rows, actual_rows, removed_rows, CAST(norm AS INTEGER) AS norm, plan_outer, actual_outer, plan_inner, actual_inner FROM nodes"
+
+_PARAMETER_COLUMNS = ("coef_outer", "coef_inner", "intercept")
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("queryid", "planid", "node_no", "node_type", "n", *(F.round(c, 4).alias(c) for c in _PARAMETER_COLUMNS))
+
+
+def table_regression(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of all nodes of the made documents, over all executions."""
+    return _rounded(regression.parameters(flatten.plan_nodes(_made_log(spark, d), finished=True)))
+
+
+_TABLE_REG = f"""
+WITH {_MADE_NODES},
+joins AS (SELECT * FROM nodes WHERE node_type IN ('Hash Join', 'Merge Join')),
+{fit_sql("joins", "queryid, planid, node_no, node_type", "actual_outer", "actual_inner", "actual_rows")},
+params AS (
+SELECT queryid, planid, node_no, node_type, count(*) AS n, CASE WHEN node_type = 'Nested Loop' THEN coalesce(sum(actual_outer * actual_inner * actual_rows) / nullif(sum(actual_outer * actual_inner * actual_outer * actual_inner), 0), 1) WHEN sum(plan_rows) = 0 OR 250 * sum(actual_rows) < sum(plan_rows) THEN 0 ELSE sum(actual_rows) / sum(plan_rows) END AS co,
+0 AS cv, CASE WHEN node_type <> 'Nested Loop' AND (sum(plan_rows) = 0 OR 250 * sum(actual_rows) < sum(plan_rows)) THEN round_even(sum(actual_rows) / count(*), 5) ELSE 0 END AS b FROM nodes WHERE node_type NOT IN ('Hash Join', 'Merge Join') GROUP BY queryid, planid, node_no, node_type
+UNION ALL SELECT queryid, planid, node_no, node_type, n, round_even(co, 5), round_even(cv, 5), round_even(b, 5) FROM fit)"""
+_TABLE_REG_SQL = _TABLE_REG + " SELECT queryid, planid, CAST(node_no AS INTEGER) AS node_no, node_type, CAST(n AS BIGINT) AS n, round(CAST(co AS DOUBLE), 4) AS coef_outer, round(CAST(cv AS DOUBLE), 4) AS coef_inner, round(CAST(b AS DOUBLE), 4) AS intercept FROM params"
+
+
+def repository_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The made log taken into a repository in three parts: the parameters are those of the whole."""
+    from .repository import Repository
+
+    log = _made_log(spark, d)
+    full = log.select("seqid", *(F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in schema.PLAN_LOG.split(", ")[1:6])), "queryid", F.lit(None).cast("string").alias("query"), "planid", F.lit(None).cast("string").alias("plan"), "plan_json")
+    repo = Repository.create(spark, fresh_path(spark, "repository"))
+    repo.add("s")
+    most = log.agg(F.max("seqid")).first()[0] or 0
+    # a log begins with 1: the order with key 0 comes with the first part
+    shifted = full.withColumn("seqid", F.col("seqid") + 1)
+    for upto in (most // 3, 2 * most // 3, most + 1):
+        repo.get("s", shifted.where(F.col("seqid") <= upto))
+    return _rounded(repo.parameters("s"))
+
+
+def table_replace(spark: SparkSession, d: str) -> DataFrame:
+    """The made documents' estimates replaced by what their own plan's parameters say."""
+    nodes = flatten.plan_nodes(_made_log(spark, d), finished=True)
+    whole = [F.round(F.col(c) * 4).alias(c) for c in ("coef_outer", "coef_inner", "intercept")]
+    # in steps of one, so that rounding is the same in every engine
+    steps = regression.parameters(nodes).select("queryid", "planid", "node_no", *whole, "coef2")
+    return replace.replace_rows(nodes, steps, ["seqid", "queryid", "planid"]).select("seqid", "node_no", "plan_rows")
+
+
+_TABLE_REPLACE_SQL = _TABLE_REG + """,
+w AS (SELECT seqid, n.queryid, n.planid, n.node_no, n.node_type, plan_rows, norm, round(co * 4) AS co, round(cv * 4) AS cv, round(b * 4) AS b FROM nodes n JOIN params p ON n.queryid = p.queryid AND n.planid = p.planid AND n.node_no = p.node_no),
+scans AS (SELECT *, round_even((co * plan_rows + b) * CASE WHEN node_no = 3 THEN 3 ELSE 1 END / norm, 0) AS v FROM w WHERE node_no > 2),
+joined AS (SELECT w.*, CASE WHEN w.node_type = 'Nested Loop' THEN round_even(w.co * o.v * i.v, 0) WHEN w.co = 0 AND w.cv = 0 THEN round_even(w.b, 0) ELSE round_even(w.co * o.v + w.cv * i.v + w.b, 0) END AS v FROM w JOIN scans o ON o.seqid = w.seqid AND o.node_no = 3 JOIN scans i ON i.seqid = w.seqid AND i.node_no = 4 WHERE w.node_no = 2)
+SELECT seqid, CAST(node_no AS INTEGER) AS node_no, v AS plan_rows FROM scans UNION ALL SELECT seqid, CAST(node_no AS INTEGER), v FROM joined
+UNION ALL SELECT seqid, CAST(node_no AS INTEGER), round_even((co * plan_rows + b) * 3 / norm, 0) FROM w WHERE node_no = 1"""
+
+
+def table_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Progress of the made documents as if their estimates were learnt ones."""
+    return progress.progress(flatten.plan_nodes(_made_log(spark, d), finished=True), ["seqid"], regression=True)
+
+
+_TABLE_PROGRESS_SQL = f"""
+WITH m AS ({_MADE_SQL}),
+x AS (SELECT o_orderkey AS seqid, greatest(3 * po, ao + wo) AS o, greatest(pi, ai) AS i, ao + wo AS oa, ai AS ia, o_orderstatus AS s, greatest(pj, aj + wj) AS gp, aj + wj AS ga FROM m),
+y AS (SELECT seqid, gp + CASE WHEN s = 'F' THEN o * i ELSE o + i END AS p, ga + CASE WHEN s = 'F' THEN oa * ia ELSE oa + ia END AS a FROM x)
+SELECT seqid, CASE WHEN p = 0 THEN 0 ELSE round_even(least(a / p, 1), 6) END AS progress FROM y"""
+
+
+def progress_driver(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of leaders and of up to two workers of a parallel scan, one moment for each order, taken through the
+    whole driver: workers without a queryid, workers that have left, and all three modes."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.expr("CAST(o_orderkey % 50 + 1 AS DOUBLE)").alias("p"), F.expr("CAST(o_custkey % 23 AS DOUBLE)").alias("a"))
+    scan = lambda rows: F.format_string('{"Node Type":"Seq Scan","Parent Relationship":"Outer","Schema":"public","Relation Name":"t","Plan Rows":%s,"Actual Rows":%s,"Actual Loops":1}', F.col("p"), rows)
+    leader = F.concat(F.format_string('{"Plan":{"Node Type":"Gather","Workers Planned":2,"Workers Launched":2,"Plan Rows":%s,"Actual Rows":%s,"Actual Loops":1,"Plans":[', F.col("p") * 2, F.col("a")), scan(F.col("a")), F.lit("]}}"))
+    text = F.concat(F.lit("select "), F.col("o_orderpriority"))
+    shape = lambda rows, pid, kind, queryid, plan: rows.select("o_orderkey", F.lit(pid).alias("pid"), F.lit(None).cast("string").alias("database"), F.lit(kind).alias("worker_type"), F.lit(0).alias("nested_level"), queryid.alias("queryid"), text.alias("query"), F.lit("scan").alias("planid"), plan.alias("plan_json"))
+    seen = shape(o, 1, "leader", F.col("o_orderpriority"), leader)
+    for pid in (2, 3):
+        here = o.where(f"o_orderkey % {pid} = 0")
+        seen = seen.unionByName(shape(here, pid, "parallel worker", F.lit("0"), F.concat(F.lit('{"Plan":'), scan(F.col("a") + pid), F.lit("}"))))
+    pushed = spark.createDataFrame([("1-URGENT", "x"), ("2-HIGH", "")], "queryid string, params string")
+    learnt = spark.createDataFrame([(q, "scan", n, c, 0.0, 0.0, b) for q in ("1-URGENT", "2-HIGH", "3-MEDIUM") for n, c, b in ((1, 3.0, 2.0), (2, 2.0, 1.0))], "queryid string, planid string, node_no int, coef_outer double, coef_inner double, coef2 double, intercept double")
+    return live.drive(seen, ["o_orderkey"], pushed, learnt)
+
+
+_DRIVER_SQL = """
+WITH o AS (SELECT o_orderkey, o_orderpriority AS q, CAST(o_orderkey % 50 + 1 AS DOUBLE) AS p, CAST(o_custkey % 23 AS DOUBLE) AS a, CAST(o_orderkey % 2 = 0 AS INTEGER) AS w2, CAST(o_orderkey % 3 = 0 AS INTEGER) AS w3 FROM orders),
+x AS (SELECT *, CASE WHEN w2 + w3 < 2 THEN 3.0::DOUBLE / (1 + w2 + w3) ELSE 1 END AS f, CASE WHEN w2 + w3 > 0 THEN 3 * p ELSE p END AS scan_plan, a + w2 * (a + 2) + w3 * (a + 3) AS scan_rows, CASE q WHEN '1-URGENT' THEN 'pushed' WHEN '2-HIGH' THEN 'regression' WHEN '3-MEDIUM' THEN 'regression' ELSE 'rules' END AS mode FROM o),
+y AS (SELECT *, a * f AS ga, scan_rows * f AS sa FROM x),
+z AS (SELECT *, CASE WHEN mode = 'regression' THEN greatest(round_even((3 * (2 * p) + 2) * 3 / 3, 0), ga) WHEN scan_plan <= sa THEN sa ELSE greatest(scan_plan, sa) END AS gp FROM y)
+SELECT o_orderkey, q AS queryid, mode, CASE WHEN gp = 0 THEN 0 ELSE round_even(least(ga / gp, 1), 6) END AS progress FROM z"""
+
+
 def _flagship(spark: SparkSession, d: str) -> DataFrame:
     items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     return items.where("l_quantity < 30").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
@@ -393,17 +573,17 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def progress_live(spark: SparkSession, d: str) -> DataFrame:
-    """Progress of captured plans as if seen at the end: every finished plan is complete."""
+    """Progress of a query that has just ended, by the estimates that its own execution taught: complete."""
     _, row = capture.run_and_capture(_flagship(spark, d))
-    nodes = flatten.plan_nodes(spark.createDataFrame([row], schema.PLAN_LOG))
-    return progress.progress(nodes, ["queryid", "planid"], regression=True)
+    nodes = flatten.plan_nodes(spark.createDataFrame([row], schema.PLAN_LOG), finished=True)
+    better = replace.replace_rows(nodes, regression.parameters(nodes), ["queryid", "planid"])
+    return progress.progress(better, ["queryid", "planid"], regression=True).select("progress")
 
 
 def plan_growth(spark: SparkSession, d: str) -> DataFrame:
     """A written log of many plans: flatten, group and regress ten thousand executions."""
     log = spark.range(10_000).select((F.col("id") + 1).alias("seqid"), (F.col("id") % 40).cast("string").alias("queryid"), F.lit("p").alias("planid"), F.lit(json.dumps(_DOCUMENT)).alias("plan_json"))
-    nodes = checkpointer(spark)(regression.with_inputs(workers.merge_finished(flatten.plan_nodes(log))))
-    return regression.parameters(nodes).groupBy("node_no").agg(F.sum("n").alias("n"), F.round(F.avg("coef_outer"), 6).alias("coef"))
+    return regression.parameters(flatten.plan_nodes(log, finished=True)).groupBy("node_no").agg(F.sum("n").alias("n"), F.round(F.avg("coef_outer"), 6).alias("coef"))
 
 
 _GROWTH_SQL = "SELECT CAST(a AS INTEGER) AS node_no, CAST(10000 AS BIGINT) AS n, round(CAST(c AS DOUBLE), 6) AS coef FROM (VALUES (1, 1.0), (2, 1.5), (3, 90.0 / 70), (4, 7.0 / 30), (5, 1.0)) v(a, c)"
@@ -417,7 +597,7 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "reg_scan_floor": (reg_scan_floor, "SELECT k, CASE WHEN p = 0 OR 250 * a < p THEN 0.0 ELSE round(a / p, 8) END AS coef, CASE WHEN p = 0 OR 250 * a < p THEN round(round_even(a / n, 5), 4) ELSE 0.0 END AS intercept, CASE WHEN p = 0 THEN 0.0 ELSE round(a / p, 8) END AS gather_coef FROM (SELECT l_suppkey % 10 AS k, count(*) AS n, CAST(sum(l_partkey * (l_suppkey % 10)) AS DOUBLE) AS p, sum(CAST(l_quantity > 25 AS DOUBLE)) AS a FROM lineitem GROUP BY 1)"),
     "reg_nested_loop": (reg_nested_loop, "SELECT l_returnflag AS queryid, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity * l_linenumber * (l_partkey % 50)) / sum(l_quantity * l_quantity * l_linenumber * l_linenumber), 6) AS coef FROM lineitem GROUP BY 1"),
     "reg_join_single": (reg_join_single, "SELECT l_returnflag AS queryid, round(regr_slope(l_partkey % 50, l_quantity), 6) AS slope_outer, round(regr_intercept(l_partkey % 50, l_quantity), 6) AS intercept_outer, round(regr_slope(l_partkey % 50, l_linenumber), 6) AS slope_inner FROM lineitem GROUP BY 1"),
-    "reg_join_fit": (reg_join_fit, None),
+    "reg_join_fit": (reg_join_fit, f"WITH {fit_sql('lineitem', 'l_returnflag', 'l_quantity', 'l_linenumber', '(l_partkey % 50)')} SELECT l_returnflag AS queryid, round(round_even(co, 5), 4) AS coef_outer, round(round_even(cv, 5), 4) AS coef_inner, round(round_even(b, 5), 4) AS intercept, round(rmse, 4) AS rmse FROM fit"),
     "group_plan": (group_plan, "SELECT o_orderpriority AS queryid, o_orderstatus AS planid, CAST(count(*) AS BIGINT) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last, CAST(max(o_orderkey) % 97 AS DOUBLE) AS last_plan FROM orders GROUP BY 1, 2"),
     "sort_space_max": (sort_space_max, "SELECT CAST(user_id AS VARCHAR) AS queryid, event_type AS planid, nullif(max(event_id % 5000) FILTER (WHERE event_id % 3 = 0), 0) AS sort_space_used FROM events GROUP BY 1, 2"),
     "latest_plan_per_query": (latest_plan_per_query, "SELECT 'db' AS database, CAST(user_id AS VARCHAR) AS queryid, arg_max(event_type, event_id) AS planid FROM events GROUP BY user_id"),
@@ -427,7 +607,7 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "replace_rows": (replace_rows, _REPLACE_SQL),
     "progress_points": (progress_points, _POINTS_SQL),
     "progress_ratio": (progress_ratio, _RATIO_SQL),
-    "misestimate": (misestimate, "WITH n AS (SELECT *, CAST(event_id % 50 AS DOUBLE) AS p, floor(value) AS a, CASE WHEN event_id % 2 = 0 THEN 'Filter: a = ' || (event_id % 3) END AS c FROM events WHERE event_type <> 'click') SELECT CAST(user_id AS VARCHAR) AS queryid, event_type AS planid, coalesce(string_agg(DISTINCT c, '; ' ORDER BY c), '') AS conditions FROM n WHERE p > 0 AND a > 0 AND (a / p > 10 OR p / a > 10) GROUP BY 1, 2"),
+    "misestimate": (misestimate, "WITH n AS (SELECT *, CAST(event_id % 50 AS DOUBLE) AS p, floor(value) AS a, CASE WHEN event_id % 2 = 0 THEN 'Filter: a = ' || (event_id % 3) END AS c FROM events WHERE event_type <> 'click') SELECT CAST(user_id AS VARCHAR) AS queryid, event_type AS planid, coalesce(string_agg(DISTINCT c, '; ' ORDER BY c), '') AS conditions FROM n GROUP BY 1, 2 HAVING bool_or(p > 0 AND a > 0 AND (a / p > 10 OR p / a > 10))"),
     "join_training": (join_training, "SELECT CAST(l_suppkey AS VARCHAR) AS queryid, l_returnflag AS planid, CAST(count(*) AS BIGINT) AS n, sum(l_quantity) AS x_outer, CAST(sum(l_linenumber) AS DOUBLE) AS x_inner, CAST(sum(l_partkey % 50) AS DOUBLE) AS y FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 130"),
     "hist_skew": (hist_skew, _SKEW_SQL),
     "fd_degree": (fd_degree, _FD_SQL),
@@ -445,8 +625,17 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "plan_regression": (plan_regression, _PLAN_REG_SQL),
     "plan_parameters": (plan_parameters, None),
     "plan_fingerprint": (plan_fingerprint, _FINGERPRINT_SQL),
+    "table_flatten": (table_flatten, _TABLE_FLATTEN_SQL),
+    "table_regression": (table_regression, _TABLE_REG_SQL),
+    "table_replace": (table_replace, _TABLE_REPLACE_SQL),
+    "table_progress": (table_progress, _TABLE_PROGRESS_SQL),
+    "repository_incremental": (repository_incremental, _TABLE_REG_SQL),
+    "progress_driver": (progress_driver, _DRIVER_SQL),
+    "misestimate_kinds": (misestimate_kinds, _KINDS_SQL),
+    "neural_joins": (neural_joins, None),
+    "sampled_rows": (sampled_rows, None),
     "plan_capture": (plan_capture, None),
-    "progress_live": (progress_live, None),
+    "progress_live": (progress_live, "SELECT 1.0::DOUBLE AS progress"),
     "plan_growth": (plan_growth, _GROWTH_SQL),
     "flagship": (flagship, "SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity < 30 GROUP BY 1"),
 }
