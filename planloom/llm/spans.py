@@ -1,14 +1,14 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (after ``.``, ``!`` or ``?`` with closing marks and white space, and at line breaks; a
-sentence of over ``LONG`` characters is cut at its commas as well, so that what repeats within it can be seen).  From
-every sentence on, and back from every sentence, there is one span: the shortest run of sentences that reaches any of
-the ``RUNS`` (three sentences and twelve words, two and twenty, or one of thirty words), so that passages of some fifty
-words that begin and end within longer sentences still hold a whole span.  A run that holds one that reaches reaches
-too, so each sentence of any repeated run that reaches lies in a repeated span: in the one from it on if that ends within
-the run, else in the one back from the run's end.  The span's hash is a polynomial over the hashes of its sentences (lower-cased,
-white space collapsed).  Spans are joined globally on the hash; the first is the one with the smallest (doc_id,
-text, position), and every sentence that a non-first repeated span covers is removed.
+A text is cut into sentences (after ``.``, ``!`` or ``?`` with closing marks and white space, and at line breaks) and each
+of these at its commas, semicolons and colons, whatever its length, so that what repeats within a long sentence can be
+seen; below, a sentence is such a part.  From every sentence on, and back from every sentence, there is one span: the
+shortest run of several sentences that reaches any of the ``RUNS`` (three sentences and twelve words, or two and twenty),
+so that passages of some fifty words that begin and end within sentences still hold a whole span.  A run that holds one
+that reaches reaches too, so each sentence of any repeated run that reaches lies in a repeated span: in the one from it on
+if that ends within the run, else in the one back from the run's end.  The span's hash is a polynomial over the hashes of
+its sentences (lower-cased, white space collapsed).  Spans are joined globally on the hash; the first is the one with the
+smallest (doc_id, text, position), and every sentence that a non-first repeated span covers is removed.
 
 Scale: what crosses the network is one or two narrow rows for each sentence (hash, doc_id, position, length), in a partial
 aggregate and once more in the join with the hashes that occur again; a hash held by a third of all rows collapses in
@@ -35,11 +35,8 @@ from pyspark.sql import functions as F
 from .common import narrow, scratch, text_slices
 
 #: (sentences, words) that make a run long enough to count as a span.
-RUNS = ((3, 12), (2, 20), (1, 30))
-_BREAK = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|\s*\n\s*")
-#: Sentences of more characters are cut at their commas and the like as well.
-LONG = 120
-_CLAUSE = re.compile(r"(?<=[,;:])\s+(?=\S)")
+RUNS = ((3, 12), (2, 20))
+_BREAK = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|\s*\n\s*|(?<=[,;:])\s+(?=\S)")
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -58,16 +55,7 @@ def cut(text: str) -> list[tuple[int, int, int]]:
             at = b
     if at < len(text):
         out.append((at, len(text), len(text)))
-    if not any(b - a > LONG for a, b, _ in out):
-        return out
-    short = []
-    for a, b, after in out:
-        if b - a > LONG:
-            for m in _CLAUSE.finditer(text, a, b):
-                short.append((a, m.start(), m.end()))
-                a = m.end()
-        short.append((a, b, after))
-    return short
+    return out
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -11,7 +11,7 @@ def plain_spans(text):
         words = 0
         for j in range(i, len(parts)):
             words += len(parts[j].split())
-            if words >= 30 or (j - i + 1 >= 3 and words >= 12) or (j - i + 1 >= 2 and words >= 20):
+            if (j - i + 1 >= 3 and words >= 12) or (j - i + 1 >= 2 and words >= 20):
                 out.append((tuple(parts[i : j + 1]), i, j + 1))
                 break
     return out
@@ -50,6 +50,7 @@ def test_cut_keeps_every_character():
     for text in ["A b. C d! \"E?\" f\n\n g", "...", "x", "a.b c. ", "\n\nq. \n", "He said \"no.\" Then."]:
         parts = sp.cut(text)
         assert all(c == parts[k + 1][0] for k, (_, _, c) in enumerate(parts[:-1])) and (not parts or parts[-1][2] == len(text))
+    assert [t[a:b] for t in ["One, two; 3,4: \"five,\" six. Seven"] for a, b, _ in sp.cut(t)] == ["One,", "two;", "3,4:", "\"five,\" six.", "Seven"]
     assert [t[a:b] for t in ["One two. \"Three!\" four\nfive"] for a, b, _ in sp.cut(t)] == ["One two.", "\"Three!\"", "four", "five"]
 
 
