@@ -191,6 +191,32 @@ def distinct(texts: list[str], labels: list[int]) -> list[int]:
     return kept
 
 
+def likelihood_slope(theta: np.ndarray, at: np.ndarray, which: np.ndarray, mask: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    """Slope of the conditional log-likelihood of labelled stretches, one in each column of ``mask`` and ``gold``.
+
+    ``theta``: feature weights, bias, four moves; feature ``which[i]`` stands at place ``at[i]`` of the flattened words.
+    """
+    (length, n), tied = mask.shape, len(theta) - 5
+    weights, bias, moves = theta[:tied], theta[tied], np.exp(theta[tied + 1 :])
+    both = mask[1:] & mask[:-1]
+    wanted = np.array([(both * (1 - gold[:-1]) * (1 - gold[1:])).sum(), (both * (1 - gold[:-1]) * gold[1:]).sum(), (both * gold[:-1] * (1 - gold[1:])).sum(), (both * gold[:-1] * gold[1:]).sum()])
+    x = np.exp(np.clip(np.bincount(at, weights[which], length * n).reshape(length, n) + bias, -40, 40))
+    ahead, back = np.empty((length, n)), np.ones((length, n))
+    ahead[0] = x[0]
+    for t in range(1, length):
+        ahead[t] = x[t] * (moves[1] + moves[3] * ahead[t - 1]) / (moves[0] + moves[2] * ahead[t - 1])
+    for t in range(length - 2, -1, -1):
+        y = x[t + 1] * back[t + 1]
+        back[t] = np.where(mask[t + 1], (moves[2] + moves[3] * y) / (moves[0] + moves[1] * y), 1.0)
+    odds = ahead * back
+    miss = (gold - odds / (1 + odds)) * mask
+    # expected moves between neighbours
+    r, y = ahead[:-1], x[1:] * back[1:]
+    cells = np.stack([np.full_like(r, moves[0]), moves[1] * y, moves[2] * r, moves[3] * r * y])
+    cells = cells / cells.sum(axis=0) * both
+    return np.concatenate([np.bincount(which, miss.reshape(-1)[at], tied), [miss.sum()], wanted - cells.sum(axis=(1, 2))])
+
+
 def fit_chain(texts: list[str], labels: list[int], plain_stretches: int = PLAIN_STRETCHES, false_features: float = FALSE_FEATURES) -> Model:
     kept = distinct(texts, labels)
     texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
@@ -220,30 +246,12 @@ def fit_chain(texts: list[str], labels: list[int], plain_stretches: int = PLAIN_
             at += [t * n + c] * len(found)
             which += found
     at, which = np.array(at, np.int64), np.array(which, np.int64)
-    both = mask[1:] & mask[:-1]
-    wanted_moves = np.array([(both * (1 - gold[:-1]) * (1 - gold[1:])).sum(), (both * (1 - gold[:-1]) * gold[1:]).sum(), (both * gold[:-1] * (1 - gold[1:])).sum(), (both * gold[:-1] * gold[1:]).sum()])
     theta = np.zeros(len(tied) + 5)
     theta[len(tied)] = -4.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     words = mask.sum()
     for step in range(1, STEPS + 1):
-        weights, bias, moves = theta[: len(tied)], theta[len(tied)], np.exp(theta[len(tied) + 1 :])
-        x = np.exp(np.clip(np.bincount(at, weights[which], STRETCH * n).reshape(STRETCH, n) + bias, -40, 40))
-        ahead, back = np.empty((STRETCH, n)), np.ones((STRETCH, n))
-        ahead[0] = x[0]
-        for t in range(1, STRETCH):
-            ahead[t] = x[t] * (moves[1] + moves[3] * ahead[t - 1]) / (moves[0] + moves[2] * ahead[t - 1])
-        for t in range(STRETCH - 2, -1, -1):
-            y = x[t + 1] * back[t + 1]
-            back[t] = np.where(mask[t + 1], (moves[2] + moves[3] * y) / (moves[0] + moves[1] * y), 1.0)
-        odds = ahead * back
-        p = odds / (1 + odds) * mask
-        # expected moves between neighbours
-        r, y = ahead[:-1], x[1:] * back[1:]
-        cells = np.stack([np.full_like(r, moves[0]), moves[1] * y, moves[2] * r, moves[3] * r * y])
-        cells = cells / cells.sum(axis=0) * both
-        miss = (gold - p) * mask
-        slope = np.concatenate([np.bincount(which, miss.reshape(-1)[at], len(tied)), [miss.sum()], wanted_moves - cells.sum(axis=(1, 2))]) / words * 100 - DECAY * theta
+        slope = likelihood_slope(theta, at, which, mask, gold) / words * 100 - DECAY * theta
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         theta = theta + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return Model(dict(zip(tied, theta[: len(tied)].tolist())), float(theta[len(tied)]), tuple(theta[len(tied) + 1 :].tolist()))

@@ -39,6 +39,51 @@ def test_marginals_match_enumeration():
         assert np.allclose(got, hit / total if len(u) else [])
 
 
+def test_slope_is_that_of_the_enumerated_likelihood():
+    rng = np.random.default_rng(3)
+    lengths, features = [5, 1, 3], 4
+    mask, gold = np.zeros((6, 3), bool), np.zeros((6, 3))
+    at, which = [], []
+    for c, length in enumerate(lengths):
+        mask[:length, c] = True
+        gold[:length, c] = rng.integers(0, 2, length)
+        for t in range(length):
+            for f in rng.choice(features, rng.integers(0, 3), replace=False):
+                at.append(t * 3 + c)
+                which.append(f)
+    at, which = np.array(at), np.array(which)
+    theta = rng.normal(size=features + 5)
+
+    def likelihood(theta):
+        unary = np.bincount(at, theta[which], 18).reshape(6, 3) + theta[features]
+        moves, total = theta[features + 1 :], 0.0
+        for c, length in enumerate(lengths):
+            score = lambda states: sum(s * u for s, u in zip(states, unary[:length, c])) + sum(moves[2 * a + b] for a, b in zip(states, states[1:]))  # noqa: B023, E731
+            total += score([int(g) for g in gold[:length, c]]) - math.log(sum(math.exp(score(states)) for states in itertools.product((0, 1), repeat=length)))
+        return total
+
+    step = 1e-6 * np.eye(len(theta))
+    want = [(likelihood(theta + e) - likelihood(theta - e)) / 2e-6 for e in step]
+    assert np.allclose(tox.likelihood_slope(theta, at, which, mask, gold), want, atol=1e-5)
+
+
+def test_every_toxic_document_gives_a_stretch():
+    bad = "grobnik vilst snarf "
+    long = [bad * 3000 + f"end{i}" for i in range(3)]
+    texts = long + [f"{bad}alone{i} grobnik" for i in range(40)] + [f"plain words only {i}" for i in range(40)]
+    model = tox.fit_chain(texts, [1] * 43 + [0] * 40, plain_stretches=30)
+    assert model.weights and all(v.max() > 0.5 for v in model.marginals(["snarf grobnik vilst"]))
+
+
+def test_memory_of_long_batches_is_bounded():
+    """What a batch of long texts holds follows its bytes, not its rows."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "held_out": [False] * 400, "text": ["taro miro " * 12_000] * 400})
+    sizes = [b.num_rows for b in tox.text_slices(iter([batch]), 2, 5000)]
+    assert max(sizes) * 120_000 <= 8 << 20 and sum(sizes) == 400
+
+
 def test_held_out_documents(spark):
     docs, labels = corpus()
     docs += [(9000, None, "x"), (9001, "", "x"), (9002, "grobnik vilst " * 3, "x"), (9003, "taro " * 30_000 + "snarf vilst", "x"), (None, "taro", "x"), docs[6]]
