@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from planloom.llm import language
 
@@ -46,6 +47,40 @@ def test_matrix_products_equal_the_plain_kernel():
     assert np.allclose(model.scores(rows[:, model.columns].astype(np.float32), rows.sum(axis=1).astype(np.float32)), want, atol=1e-3)
 
 
+def test_the_fit_is_weighted_ridge_regression_on_nystroem_features():
+    texts = [(t, next(k for k, v in SYLLABLES.items() if any(s in t.lower() for s in v[:2]))) for _, t, _, _ in corpus(90)]
+    names, flags = [lang for _, lang in texts], np.zeros(language.DIM, bool)
+    rows = np.zeros((len(texts), language.DIM), np.uint8)
+    for r, (t, _) in zip(rows, texts):
+        r[language.present(t, flags)] = 1
+    model = language.fit(names, rows, landmarks=9)
+    languages = sorted(set(names))
+    seen, marks = {}, []
+    for i, lang in enumerate(names):
+        seen.setdefault(lang, []).append(i)
+    marks = [seen[lang][k] for k in range(3) for lang in languages]
+    kernel = lambda a, b: (a.astype(float) @ b.T) / np.sqrt(np.outer(a.sum(1), b.sum(1)))
+    inner, outer = kernel(rows[marks], rows[marks]), kernel(rows, rows[marks])
+    values, vectors = np.linalg.eigh(inner)
+    z = np.hstack([outer @ vectors @ np.diag(values**-0.5) @ vectors.T, np.ones((len(rows), 1))])
+    # least squares with the penalty as further rows: the plain statement of ridge regression
+    weight = np.array([1 / names.count(n) for n in names])
+    penalty = np.sqrt(language.RIDGE * len(languages) / z.shape[1]) * np.eye(z.shape[1])[:-1]
+    want = np.where(np.array(names)[:, None] == np.array(languages), 1.0, -1.0)
+    solved = np.linalg.lstsq(np.vstack([z * np.sqrt(weight)[:, None], penalty]), np.vstack([want * np.sqrt(weight)[:, None], np.zeros((len(penalty), 3))]), rcond=None)[0]
+    got = model.scores(rows[:, model.columns].astype(np.float32), rows.sum(axis=1).astype(np.float32))
+    assert model.languages == languages and np.allclose(got, z @ solved, atol=2e-3)
+
+
+def test_many_languages_with_many_rows_stay_small(spark):
+    """Two hundred languages: what comes to the driver are landmarks and kernel values, not bit rows."""
+    rng = random.Random(3)
+    rows = [(200 * k + j, " ".join("".join(rng.choices("abcdefghij", k=5)) + f"x{k}y" for _ in range(6)), f"l{k:03d}") for k in range(200) for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True), per_language=5, max_languages=200, landmarks=64)
+    assert len(model.languages) == 200 and model.landmarks.shape[0] == 64
+
+
 def test_identify(spark):
     rows = [*corpus(), (900, None, "xx", "s"), (901, "", "xx", "s"), (902, "12 -- 34!", "xx", "s"), (903, "漢字" * 9000, None, "s"), (None, "kato mito", "xx", "s"), (5, corpus()[5][1], "xx", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
