@@ -54,9 +54,9 @@ ROLL_IDS, ROLL_DOCS = 1 << 25, 1 << 20
 #: Rows of one doc_id beyond which texts help to deal the rows.
 HOT_ROWS = 100_000
 #: Bytes of text that are encoded at a time (one longer text is whole).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 #: Distinct pieces whose ids a task keeps, and the longest of them.
-CACHE_ENTRIES, CACHE_PIECE = 60_000, 64
+CACHE_ENTRIES, CACHE_PIECE = 100_000, 64
 
 
 # --- coding ----------------------------------------------------------------------------------------------------
