@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,36 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append((name, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Scratch tables of the scopes that are open, the innermost last.
+_scopes: list[list[tuple[str, str]]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Scratch tables written within are deleted at the end, but for those of the names ``kept``; shuffles that only led
+    to them go as well, with the driver's next collection of garbage, which is asked for."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        held = _scopes.pop()
+        for name, path in held:
+            if name in kept:
+                if _scopes:
+                    _scopes[-1].append((name, path))
+                continue
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        gc.collect()
+        jvm.System.gc()
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete a scratch table that no later step reads."""
     spark = df.sparkSession

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, scratch, text_slices, without_ids
+from .common import bounded_batches, give_back, scratch, temporary, text_slices, without_ids
 
 WINDOW, LITERALS, COVERAGE = 5, 2, 0.5
 LITERAL_RUN = 13
@@ -243,8 +243,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     items = scratch(items, "items")
     widths = sorted(r.width for r in items.where("width > 0").select("width").distinct().collect())
     distinct = items.select("hash").distinct()
-    hashes = distinct.limit(max_filter + 1).collect()
-    known = np.array([r.hash for r in hashes], np.int64).view(np.uint64) if len(hashes) <= max_filter else None
+    hashes = distinct.limit(max_filter + 1).toArrow()["hash"]
+    known = hashes.to_numpy().astype(np.int64).view(np.uint64) if len(hashes) <= max_filter else None
     # written once: the texts are gone through a single time
     found = scratch(ours.mapInArrow(_windower(known, widths), SCHEMA).drop("windows").join(items, ["hash", "width"]), "windows")
     literal, found = found.where("width > 0"), found.where("width = 0")
@@ -259,4 +259,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item; columns unchanged.  Rows without doc_id stay."""
-    return without_ids(docs, contaminated(docs, benchmark, **options).select("doc_id"))
+    with temporary(docs.sparkSession, "gone"):
+        return without_ids(docs, contaminated(docs, benchmark, **options).select("doc_id"))

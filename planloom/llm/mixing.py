@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, scratch, word_count
+from .common import BROADCAST_ROWS, scratch, temporary, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, MAX_EPOCHS, SEED, ROUNDS = 1.5, 2.0, 20_240_229, 4
@@ -158,7 +158,8 @@ def repeat(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 
     Each row decides by its own source's thresholds: texts meet only the small table of sources.
     """
-    sources, split = thresholds(sizes(docs), seed=seed, **options)
+    with temporary(docs.sparkSession, "mix-end", "split-units"):
+        sources, split = thresholds(sizes(docs), seed=seed, **options)
     held = {f"__c{i}": c for i, c in enumerate(docs.columns)}
     at = {c: k for k, c in held.items()}
     rows = docs.toDF(*held).withColumns({"doc_id": F.col(at["doc_id"]).cast("long"), "source": F.col(at["source"]).cast("string"), "text": F.col(at["text"]).cast("string")})

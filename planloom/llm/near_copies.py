@@ -7,10 +7,11 @@ Fingerprints of the shingles are linked by the Gray-order index of ``simhash``,
 fingerprints is compared, set by set, with the class's first text.  A similarity of 0.8 is some 10 bits of 64 on
 average and up to 18, a radius at which that index leaves out next to nothing; so the fingerprints find the closest
 copies only, and the rest is found by a prefix filter over the same shingles, which misses no link.  In any one order
-of all shingles, two linked sets of sizes m and n share one of their first m // 5 + 1 and n // 5 + 1 shingles.  The
+of all shingles, two linked sets of sizes m and n share one of their first m // 5 + 1 and n // 5 + 1 shingles, and the
+first that they share stands so early in both that enough can follow (1 + the shorter rest must reach 4/9 of m + n).  The
 order here is by hash, with shingles that a sample finds in many texts last, so that boilerplate seldom stands in a
-prefix.  Of the pairs that meet in a prefix and aren't in one class by then, those whose sizes or numbers of shared
-prefix shingles rule the similarity out go, and the rest is compared set by set.
+prefix.  Of the pairs that meet so and aren't in one class by then, those whose sizes or numbers of shared prefix
+shingles rule the similarity out go, and the rest is compared set by set.
 
 Scale.  Texts with equal sets are one node (64-bit digest of the set).  Prefixes alone are kept; whole sets are made
 again from the texts, for the nodes to be compared.  Long buckets (shingles that many prefixes hold, in large classes of
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, give_back, narrow, scratch, text_slices, without_ids
+from .common import BROADCAST_ROWS, give_back, narrow, scratch, temporary, text_slices, without_ids
 from .simhash import code_links, components, shingle_hashes, vote
 
 WIDTH, MAX_BITS = 5, 3
@@ -141,7 +142,7 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, texts: DataFrame, flood: list[int], long_bucket: int = LONG_BUCKET) -> DataFrame:
     """Edges u, v between keys whose components are those of all similar pairs."""
     nodes = nodes.where("prefix is not null")
-    rows = nodes.select(F.explode("prefix").alias("hash"), "key", "n")
+    rows = nodes.select(F.posexplode("prefix").alias("pos", "hash"), "key", "n").select("hash", "key", "n", "pos")
     common = nodes.sparkSession.createDataFrame([(h,) for h in flood], "hash long")
     rest = rows.join(F.broadcast(common), "hash", "left_anti") if flood else rows
     # one exchange serves the distinct rows and their counts
@@ -158,17 +159,19 @@ def links(nodes: DataFrame, texts: DataFrame, flood: list[int], long_bucket: int
     # these links only save work: a pair left out here is met again below
     first = scratch(_similar(star.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct(), nodes, texts), "first")
     roots = components(first)
-    placed = buckets.select("hash", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = buckets.select("hash", "key", "n", "pos").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = scratch(placed, "placed")
-    # buckets within one class have nothing left to find
+    # buckets within one class have nothing left to find, nor have places from which no partner of any size can be met
+    placed = placed.where("9 * (n - pos) >= 4 * (n + ceil(0.8 * n))")
     mixed = scratch(placed.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("hash"), "mixed")
     placed = scratch(placed.join(mixed, "hash", "left_semi"), "open")
-    left = placed.select("hash", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-    right = placed.select("hash", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    met = left.join(right, "hash").where("u > v and ru <> rv and 5 * least(nu, nv) >= 4 * greatest(nu, nv)")
-    met = met.groupBy("u", "v", "nu", "nv").count()
-    # beyond the prefixes no more than the longer rest can be shared
-    met = met.where("9 * (count + greatest(nu - (nu div 5 + 1), nv - (nv div 5 + 1))) >= 4 * (nu + nv)")
+    left = placed.select("hash", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"), (F.col("n") - F.col("pos")).alias("lu"))
+    right = placed.select("hash", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), (F.col("n") - F.col("pos")).alias("lv"))
+    # what can still be shared from a shared shingle on falls along the prefix: with a pair's first one all that reach are met
+    met = left.join(right, "hash").where("u > v and ru <> rv and 5 * least(nu, nv) >= 4 * greatest(nu, nv) and 9 * least(lu, lv) >= 4 * (nu + nv)")
+    met = met.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("met"), F.min("lu").alias("lu"), F.min("lv").alias("lv"))
+    # after the last of these no more than the shorter rest can be shared
+    met = met.where("9 * (met + least(lu, lv) - 1) >= 4 * (nu + nv)")
     return first.union(_similar(met.select("u", "v"), nodes, texts))
 
 
@@ -188,4 +191,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat the kept doc_id all stay, as do rows without doc_id.
     """
-    return without_ids(docs, classes(docs).where("doc_id <> component_id").select("doc_id"))
+    with temporary(docs.sparkSession, "gone"):
+        return without_ids(docs, classes(docs).where("doc_id <> component_id").select("doc_id"))

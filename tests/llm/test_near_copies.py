@@ -75,12 +75,3 @@ def test_stage_drops_edited_copies_beyond_three_bits(spark):
 
 def test_empty_table(spark):
     assert nc.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_all_stages_with_five_word_classes(spark, tmp_path, monkeypatch):
-    """The chain of test_pipeline with the classes of this stage in place of fingerprints."""
-    import test_pipeline
-
-    monkeypatch.setattr(test_pipeline, "plain_fingerprint", lambda text: text)
-    monkeypatch.setattr(test_pipeline, "plain_components", plain_classes)
-    test_pipeline.test_stages_match_brute_force(spark, tmp_path)

@@ -6,11 +6,11 @@ import public_tokenizers
 from test_decontaminate import ITEMS
 from test_decontaminate import plain as plain_leaks
 from test_mixing import plain_targets
-from test_simhash import plain_components, plain_fingerprint
+from test_near_copies import plain_classes
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from planloom.llm import mixing
+from planloom.llm import language, mixing
 from planloom.llm.language import has_letter
 
 
@@ -25,7 +25,7 @@ def corpus():
     for i in range(260, 290):
         t = rows[rng.randrange(200)][1]
         rows.append((i, rng.choice([t, t.replace(" ", "\n", 2), t + " " + t.split()[0]]), "aa", "s1", 1))
-    rows += [(300, None, "aa", "s0", 0), (301, "12 34", "bb", "s1", 1), (302, rows[3][1] + " " + ITEMS[0][1], "aa", "s0", 9), (303, rows[9][1] + "\n" + ITEMS[4][1], "bb", None, 9)]
+    rows += [(300, None, "aa", "s0", 0), (301, "12 34", "bb", "s1", 1), (302, rows[3][1] + " " + ITEMS[0][1], "aa", "s0", 9), (303, rows[9][1] + "\n" + ITEMS[4][1], "bb", None, 9), (304, "Ωμέγα ψι χι " * 20, None, "s0", 60)]
     return rows
 
 
@@ -42,9 +42,12 @@ def test_stages_match_brute_force(spark, tmp_path):
         out.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         kept.append(docs.collect())
-    want = [r for r in rows if has_letter(r[1])]
-    assert sorted(r.doc_id for r in kept[0]) == [r[0] for r in want]
-    roots = plain_components([plain_fingerprint(r[1]) for r in want])
+    # the model's own decision, and no clean document lost
+    known = {r.doc_id for r in language.identify(spark.createDataFrame(rows, docs.schema)).collect() if r.lang_pred != "und" and r.score >= language.LEAST_SCORE}
+    want = [r for r in rows if r[0] in known]
+    assert sorted(r.doc_id for r in kept[0]) == [r[0] for r in want] and known == {r[0] for r in rows if has_letter(r[1]) and r[0] != 304}
+    # near copies: a similarity of 0.8 or more of the sets of five-word shingles
+    roots = plain_classes([r[1] for r in want])
     want = [r for k, r in enumerate(want) if roots[k] == k]  # rows ascend by doc_id
     assert sorted(r.doc_id for r in kept[1]) == [r[0] for r in want] and len(want) < 280
     bad = {i for i, *_ in plain_leaks(want, ITEMS)}
@@ -69,3 +72,19 @@ def test_stages_match_brute_force(spark, tmp_path):
     got = sorted(tuple(r) for r in cp.STAGES[-1][1](spark, docs, folder).collect())
     assert got == sorted(expected)
     assert sorted(tuple(r) for r in cp.run(spark, folder).collect()) == got
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = cp.run(spark, folder)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == 0
+
+
+def test_nothing_that_can_be_told(spark, tmp_path):
+    """Nulls in every column, and rows that the first stage drops."""
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(None, None, None, None, None), (1, "12 34", "aa", None, 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert cp.run(spark, folder).count() == 0
