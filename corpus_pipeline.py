@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet to the cluster's shared folder
 and read again as the next stage's ``docs``.  All stages but the last return the columns of ``documents``.
 
-1. language: documents whose language can't be told (no letter, no text) go.
-2. near_dedup: of each class of near copies (five-word Jaccard similarity of 0.8 or more) the document with the smallest
-   doc_id stays.
+1. language: documents go that the kernel model rejects: no letter, or a score under ``language.LEAST_SCORE`` for every
+   language.
+2. near_dedup: of each class of near copies (five-word SimHash in the Gray-order index, checked and completed by exact
+   Jaccard similarity of 0.8 or more) the document with the smallest doc_id stays.
 3. decontaminate: documents that hold a benchmark item, verbatim or with other numbers and names, go.
 4. mix: documents are repeated, or left out, as the capped water-filling of sources takes them.
 5. tokens: the remaining documents are written as Simple-8b token-id files; one row for each document read back.
@@ -48,7 +49,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: Fingerprints, kernel models and token ids are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Kernel models, similarity classes and token ids are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
