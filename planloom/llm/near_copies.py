@@ -129,6 +129,17 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v")
 
 
+def _close_prefixes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v of the pairs of keys whose whole prefixes share enough: beyond the prefixes no more than the longer rest can be
+    shared.  A fifth of what the sets would take crosses the network."""
+    pairs = scratch(pairs, "met")
+    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    held = scratch(nodes.join(keys, "key", "left_semi").select("key", "n", "prefix").dropDuplicates(["key"]), "prefixes")
+    both = pairs.join(held.toDF("u", "nu", "pu"), "u").join(held.toDF("v", "nv", "pv"), "v")
+    shared = F.size(F.array_intersect("pu", "pv")) + F.greatest(F.col("nu") - F.size("pu"), F.col("nv") - F.size("pv"))
+    return both.where(9 * shared >= 4 * (F.col("nu") + F.col("nv"))).select("u", "v")
+
+
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """key, other, n, m: each node and the first one of its class of fingerprints."""
     codes = scratch(nodes.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("least")), "codes")
@@ -171,8 +182,8 @@ def links(nodes: DataFrame, texts: DataFrame, flood: list[int], long_bucket: int
     met = left.join(right, "hash").where("u > v and ru <> rv and 5 * least(nu, nv) >= 4 * greatest(nu, nv) and 9 * least(lu, lv) >= 4 * (nu + nv)")
     met = met.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("met"), F.min("lu").alias("lu"), F.min("lv").alias("lv"))
     # after the last of these no more than the shorter rest can be shared
-    met = met.where("9 * (met + least(lu, lv) - 1) >= 4 * (nu + nv)")
-    return first.union(_similar(met.select("u", "v"), nodes, texts))
+    met = met.where("9 * (met + least(lu, lv) - 1) >= 4 * (nu + nv)").select("u", "v")
+    return first.union(_similar(_close_prefixes(met, nodes), nodes, texts))
 
 
 def classes(docs: DataFrame, long_bucket: int = LONG_BUCKET) -> DataFrame:
