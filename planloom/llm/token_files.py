@@ -54,9 +54,9 @@ ROLL_IDS, ROLL_DOCS = 1 << 25, 1 << 20
 #: Rows of one doc_id beyond which texts help to deal the rows.
 HOT_ROWS = 100_000
 #: Bytes of text that are encoded at a time (one longer text is whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 20
 #: Distinct pieces whose ids a task keeps, and the longest of them.
-CACHE_ENTRIES, CACHE_PIECE = 100_000, 64
+CACHE_ENTRIES, CACHE_PIECE = 200_000, 64
 
 
 # --- coding ----------------------------------------------------------------------------------------------------
@@ -397,7 +397,9 @@ class Encoder:
         counts = size[which]
         place = np.cumsum(size) - size
         total = np.cumsum(counts)
-        at = np.repeat(place[which] - total + counts, counts) + np.arange(total[-1])
+        kind = np.int32 if total[-1] < 1 << 31 and place[-1] < 1 << 31 else np.int64
+        at = np.repeat((place[which] - total + counts).astype(kind), counts)
+        at += np.arange(total[-1], dtype=kind)
         return np.frombuffer(b"".join(blobs), np.uint32)[at], np.diff(np.append(0, total[lists[1:] - 1]))
 
     def forget(self) -> None:
