@@ -64,6 +64,12 @@ def merge_append(parts: list[DataFrame], order: list[Column]) -> DataFrame:
     return out.orderBy(*order)
 
 
+def incremental_sort(df: DataFrame, sorted_by: list[str], then: list[Column]) -> DataFrame:
+    """Rows in order of ``sorted_by`` and then of ``then``, for rows that come in order of the former: they are cut into
+    ranges of the former, and each range is sorted apart."""
+    return df.repartitionByRange(*sorted_by).sortWithinPartitions(*sorted_by, *then)
+
+
 def unique_inner_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """A semi join by way of the distinct keys of the right side and an inner join."""
     return left.join(right.select(*keys).distinct(), keys, "inner")

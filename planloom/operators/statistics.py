@@ -120,6 +120,20 @@ def or_selectivity(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x - s * x)
 
 
+#: Fixed value: of the rows of a table the share that the groups of several columns make at most.
+GROUP_SHARE = 0.1
+
+
+def group_count(distinct: list[Column], total: Column, rows: Column) -> Column:
+    """Groups to expect of ``rows`` out of ``total`` rows: the product of the columns' distinct values, at most a tenth of
+    the table for several columns, less what a selection of rows is expected to miss."""
+    product = reduce(lambda a, b: a * b, [d.cast("double") for d in distinct])
+    whole = F.least(product, total * (GROUP_SHARE if len(distinct) > 1 else 1.0))
+    whole = F.greatest(whole, *(d.cast("double") for d in distinct), F.lit(1.0)) if len(distinct) > 1 else F.greatest(whole, F.lit(1.0))
+    share = 1 - F.pow(F.greatest((total - rows) / total, F.lit(0.0)), total / whole)
+    return F.when(rows <= 0, F.lit(1.0)).otherwise(F.greatest(F.bround(whole * share), F.lit(1.0)))
+
+
 def range_selectivity(low: Column, high: Column, null_fraction: Column, default: float = RANGE_DEFAULT) -> Column:
     """Of ``low < x and x < high`` from those of both sides: hi + lo + nulls - 1; a tiny default where that fails."""
     value = high + low + null_fraction - 1

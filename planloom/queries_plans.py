@@ -345,6 +345,22 @@ def best_statistics(spark: SparkSession, d: str) -> DataFrame:
     return statistics.best_statistics(objects, ["a", "b", "c"]).select("name")
 
 
+def group_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Groups to expect by nation and segment among the customers above each of four balances."""
+    c = table(spark, d, "customer")
+    whole = c.agg(F.count_distinct("c_nationkey").alias("d1"), F.count_distinct("c_mktsegment").alias("d2"), F.count("*").cast("double").alias("n"))
+    levels = c.select(F.explode(F.array(*map(F.lit, (-2000.0, 0.0, 5000.0, 9900.0)))).alias("level"), "c_acctbal")
+    rows = levels.groupBy("level").agg(F.sum((F.col("c_acctbal") > F.col("level")).cast("double")).alias("p")).crossJoin(F.broadcast(whole))
+    return rows.select("level", statistics.group_count([F.col("d1")], F.col("n"), F.col("p")).alias("by_nation"), statistics.group_count([F.col("d1"), F.col("d2")], F.col("n"), F.col("p")).alias("by_both"))
+
+
+_GROUPS_SQL = """
+WITH w AS (SELECT CAST(count(DISTINCT c_nationkey) AS DOUBLE) AS d1, CAST(count(DISTINCT c_mktsegment) AS DOUBLE) AS d2, CAST(count(*) AS DOUBLE) AS n FROM customer),
+r AS (SELECT level, sum(CASE WHEN c_acctbal > level THEN 1.0 ELSE 0.0 END)::DOUBLE AS p FROM customer, (VALUES (-2000.0::DOUBLE), (0.0), (5000.0), (9900.0)) t(level) GROUP BY level),
+g AS (SELECT level, p, n, least(d1, n) AS one, greatest(least(d1 * d2, n * 0.1), d1, d2) AS two FROM r, w)
+SELECT level, CASE WHEN p <= 0 THEN 1 ELSE greatest(round_even(one * (1 - pow((n - p) / n, n / one)), 0), 1) END AS by_nation, CASE WHEN p <= 0 THEN 1 ELSE greatest(round_even(two * (1 - pow((n - p) / n, n / two)), 0), 1) END AS by_both FROM g"""
+
+
 def expression_statistics(spark: SparkSession, d: str) -> DataFrame:
     got = statistics.expression_statistics(table(spark, d, "orders"), F.month("o_orderdate") * 10 + F.col("o_custkey") % 7)
     return got.select("n", "null_fraction", "n_distinct", F.round("width", 6).alias("width"), F.col("low").cast("bigint").alias("low"), F.col("high").cast("bigint").alias("high"))
@@ -619,6 +635,7 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "mcv_combine": (mcv_combine, f"WITH {_MCV_CTE}, x AS (SELECT m.n / total AS f, (na / total) * (nb / total) AS base, o_orderstatus = 'F' AS c1, o_orderpriority < '3' AS c2 FROM m JOIN a USING (o_orderstatus) JOIN b USING (o_orderpriority), n), s AS (SELECT 'all' AS clauses, sum(CASE WHEN c1 AND c2 THEN f ELSE 0 END) AS v, sum(CASE WHEN c1 AND c2 THEN base ELSE 0 END) AS b, sum(f) AS t FROM x UNION ALL SELECT 'any', sum(CASE WHEN c1 OR c2 THEN f ELSE 0 END), sum(CASE WHEN c1 OR c2 THEN base ELSE 0 END), sum(f) FROM x) SELECT clauses, round(least(greatest(v + least(least(greatest(0.3 - b, 0), 1), 1 - t), 0), 1), 8) AS selectivity FROM s"),
     "selectivities": (selectivities, "WITH c AS (SELECT c_nationkey, avg(CAST(c_acctbal > 0 AS DOUBLE)) AS a, avg(CAST(c_mktsegment = 'BUILDING' AS DOUBLE)) AS b, avg(CAST(c_acctbal < 8000 AS DOUBLE)) AS hi FROM customer GROUP BY 1) SELECT c_nationkey, round(a * b, 8) AS both, round(a + b - a * b, 8) AS either, round(CASE WHEN hi + a - 1 > 0 THEN hi + a - 1 WHEN hi + a - 1 >= -0.01 THEN 1e-10 ELSE 0.005 END, 8) AS between FROM c"),
     "best_statistics": (best_statistics, "SELECT 's2' AS name"),
+    "group_estimates": (group_estimates, _GROUPS_SQL),
     "expression_statistics": (expression_statistics, "SELECT CAST(count(*) AS BIGINT) AS n, 0.0::DOUBLE AS null_fraction, CAST(count(DISTINCT v) AS BIGINT) AS n_distinct, round(avg(strlen(CAST(v AS VARCHAR))), 6) AS width, min(v) AS low, max(v) AS high FROM (SELECT month(o_orderdate) * 10 + o_custkey % 7 AS v FROM orders)"),
     "scalar_functions": (scalar_functions, "SELECT o_orderkey, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS dir, round(CASE WHEN o_totalprice >= 1 THEN o_totalprice * ln(floor(o_totalprice)) ELSE 0 END, 2) AS work, floor(o_totalprice / 500000 * 10000) / 100 AS percent, CAST(CAST('0x' || substr(md5(o_orderpriority), 1, 15) AS BIGINT) AS VARCHAR) AS hash, round(greatest(greatest(o_custkey, 1) / greatest(o_orderkey, 1), greatest(o_orderkey, 1) / greatest(o_custkey, 1)), 6) AS error FROM orders"),
     "plan_flatten": (plan_flatten, _FLATTEN_SQL),

@@ -125,6 +125,12 @@ def merge_append(spark: SparkSession, d: str) -> DataFrame:
     return rel.merge_append(parts, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
 
 
+def sort_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Line items, which come by order, within each order by price."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")
+    return rel.incremental_sort(items, ["l_orderkey"], [F.col("l_extendedprice").desc(), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")])
+
+
 def recursive_union_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Nations that can be reached from nation 0 over steps k -> (2k + 1) mod 25 and k -> (3k) mod 25."""
     nation = table(spark, d, "nation")
@@ -292,6 +298,7 @@ CUSTOM: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "foreign_scan": (foreign_scan, "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_nationkey < 10"),
     "custom_scan": (custom_scan, "SELECT n, n * n AS square, CAST(coalesce(parts, 0) AS BIGINT) AS parts FROM range(1, 61) r(n) LEFT JOIN (SELECT p_size, count(*) AS parts FROM part GROUP BY 1) ON p_size = n"),
     "named_tuplestore": (named_tuplestore, "SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total, 'old' AS rows FROM orders WHERE o_totalprice > 300000 GROUP BY 1 UNION ALL SELECT o_orderpriority, CAST(count(*) AS BIGINT), round(sum(round(o_totalprice * 2, 2)), 2), 'new' FROM orders WHERE o_totalprice > 300000 GROUP BY 1"),
+    "sort_incremental": (sort_incremental, "SELECT l_orderkey, l_extendedprice, l_partkey, l_suppkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber"),
     "merge_append": (merge_append, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')"),
     "recursive_union_distinct": (recursive_union_distinct, "WITH RECURSIVE t(k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey = 0 UNION SELECT n_nationkey FROM nation, t WHERE n_nationkey = (2 * k + 1) % 25 OR n_nationkey = (3 * k) % 25) SELECT k FROM t"),
     "modify_update_delete": (modify_update_delete, "SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders) WHERE o_totalprice >= 20000"),

@@ -109,6 +109,8 @@ def _walk(plan) -> dict:
         spill, peak = _metric(plan, "spillSize") or 0.0, _metric(plan, "peakMemory") or 0.0
         if kind == "SortExec":
             node["Sort Space Used"], node["Sort Space Type"] = int((spill or peak) / 1024), "Disk" if spill > 0 else "Memory"
+        else:  # kB, as for sorts
+            node["Peak Memory Usage"], node["Disk Usage"] = int(peak / 1024), int(spill / 1024)
     node["Plan Rows"] = _estimate(plan)
     node["Actual Rows"] = rows if rows is not None else sum(c["Actual Rows"] for c in below) if node["Node Type"] == "Append" else below[0]["Actual Rows"] if below else 0.0
     if node["Plan Rows"] is None:  # without table statistics there is no estimate: what was read stands for it

@@ -242,3 +242,23 @@ def test_log_numbers(spark, tmp_path):
     path = f"file://{tmp_path}/log"
     plan_log.append_log(log_rows(spark, documents(3)), path)
     assert capture.Capture(spark, path)._logged() == 3 and capture.Capture(spark, path + "x")._logged() == 0
+
+
+def test_incremental_sort_is_a_whole_order(spark):
+    rows = queries_relational.queries()["sort_incremental"](spark, SMALL).collect()
+    keys = [(r.l_orderkey, -r.l_extendedprice, r.l_partkey, r.l_suppkey, r.l_linenumber) for r in rows]
+    assert keys == sorted(keys) and len(keys) == 6000
+
+
+def test_log_of_a_database(spark):
+    url = "jdbc:derby:memory:plans;create=true"
+    rows = log_rows(spark, documents(5)).select("seqid", "queryid", "planid", "plan_json")
+    rows.write.format("jdbc").option("url", url).option("dbtable", "plan_log").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    got = plan_log.read_jdbc(spark, url, "plan_log", 2, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert sorted(r[0] for r in got.collect()) == [3, 4, 5]
+
+
+def test_aggregates_report_their_memory(spark):
+    _, row = capture.run_and_capture(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    kinds = [n for n in flatten.rows(row[-1]) if n["node_type"] == "Aggregate"]
+    assert kinds and all(int(n["props"]["Peak Memory Usage"]) > 0 and n["props"]["Disk Usage"] == "0" for n in kinds)
