@@ -10,8 +10,10 @@ copies only, and the rest is found by a prefix filter over the same shingles, wh
 of all shingles, two linked sets of sizes m and n share one of their first m // 5 + 1 and n // 5 + 1 shingles, and the
 first that they share stands so early in both that enough can follow (1 + the shorter rest must reach 4/9 of m + n).  The
 order here is by hash, with shingles that a sample finds in many texts last, so that boilerplate seldom stands in a
-prefix.  Of the pairs that meet so and aren't in one class by then, those whose sizes or numbers of shared prefix
-shingles rule the similarity out go, and the rest is compared set by set.
+prefix.  Of the pairs that meet so and aren't in one class by then, those go whose sizes, numbers of shared prefix
+shingles or parities rule the similarity out, and the rest is compared set by set.  A set's parities are ``PARITY`` bits,
+each flipped once for every shingle that falls to it: two sets differ in at least as many shingles as bits, and linked
+ones in a ninth of m + n at most.
 
 Scale.  Texts with equal sets are one node (64-bit digest of the set).  Prefixes alone are kept; whole sets are made
 again from the texts, for the nodes to be compared.  Long buckets (shingles that many prefixes hold, in large classes of
@@ -40,6 +42,8 @@ WIDTH, MAX_BITS = 5, 3
 #: A shingle that HOT of the texts hold, of one in SAMPLE, comes last in the order; at most HOT_ROWS are sent to every
 #: task.  One that FLOOD of them hold is counted apart.
 SAMPLE, HOT, HOT_ROWS, FLOOD = 16, 4, 500_000, 1000
+#: Bits of parity, a multiple of 64.
+PARITY = 512
 #: Members of a bucket beyond which it is first linked to a few of its own.
 LONG_BUCKET = 32
 #: Sets that a task remembers to write once.
@@ -51,6 +55,12 @@ def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(shingle_hashes(data, width))
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """The parity bits of a set's hashes, as longs."""
+    bits = np.bincount((own >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _key(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes())
 
@@ -78,12 +88,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _marker(hot: np.ndarray):
     """doc_id, hash of the text, text to the node's key, size, fingerprint and, once for each node that the task
-    remembers, its prefix."""
+    remembers, its prefix and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in text_slices(batches, 2, 500):
-            keys, sizes, codes, prefixes = [], [], [], []
+            keys, sizes, codes, prefixes, bits = [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 every = shingle_hashes(text or b"", WIDTH)
                 own = np.unique(every)
@@ -93,15 +103,17 @@ def _marker(hot: np.ndarray):
                 codes.append(vote(every))
                 if key in seen or not len(own):
                     prefixes.append(None)
+                    bits.append(None)
                     continue
                 if len(seen) < SEEN:
                     seen.add(key)
                 late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(len(own), bool)
                 size = len(own) // 5 + 1
                 early = own[~late]
+                bits.append(parities(own))
                 prefixes.append((early[:size] if len(early) >= size else np.concatenate([early, own[late]])[:size]).view(np.int64))
-            columns = [batch.column(0), batch.column(1), _longs(keys), pa.array(sizes, pa.int32()), _longs(codes), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "n", "fp", "prefix"])
+            columns = [batch.column(0), batch.column(1), _longs(keys), pa.array(sizes, pa.int32()), _longs(codes), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "n", "fp", "prefix", "parity"])
         del seen
         give_back()
 
@@ -129,17 +141,6 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v")
 
 
-def _close_prefixes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """u, v of the pairs of keys whose whole prefixes share enough: beyond the prefixes no more than the longer rest can be
-    shared.  A fifth of what the sets would take crosses the network."""
-    pairs = scratch(pairs, "met")
-    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    held = scratch(nodes.join(keys, "key", "left_semi").select("key", "n", "prefix").dropDuplicates(["key"]), "prefixes")
-    both = pairs.join(held.toDF("u", "nu", "pu"), "u").join(held.toDF("v", "nv", "pv"), "v")
-    shared = F.size(F.array_intersect("pu", "pv")) + F.greatest(F.col("nu") - F.size("pu"), F.col("nv") - F.size("pv"))
-    return both.where(9 * shared >= 4 * (F.col("nu") + F.col("nv"))).select("u", "v")
-
-
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """key, other, n, m: each node and the first one of its class of fingerprints."""
     codes = scratch(nodes.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("least")), "codes")
@@ -176,21 +177,24 @@ def links(nodes: DataFrame, texts: DataFrame, flood: list[int], long_bucket: int
     placed = placed.where("9 * (n - pos) >= 4 * (n + ceil(0.8 * n))")
     mixed = scratch(placed.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("hash"), "mixed")
     placed = scratch(placed.join(mixed, "hash", "left_semi"), "open")
-    left = placed.select("hash", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"), (F.col("n") - F.col("pos")).alias("lu"))
-    right = placed.select("hash", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), (F.col("n") - F.col("pos")).alias("lv"))
+    placed = scratch(placed.join(nodes.select("key", "parity").dropDuplicates(["key"]), "key"), "meeting")
+    words = range(PARITY // 64)
+    side = lambda key: placed.select("hash", F.col("key").alias(key), F.col("n").alias(f"n{key}"), F.col("root").alias(f"r{key}"), (F.col("n") - F.col("pos")).alias(f"l{key}"), *(F.col("parity")[i].alias(f"{key}{i}") for i in words))
+    left, right = side("u"), side("v")
+    apart = " + ".join(f"bit_count(u{i} ^ v{i})" for i in words)
     # what can still be shared from a shared shingle on falls along the prefix: with a pair's first one all that reach are met
-    met = left.join(right, "hash").where("u > v and ru <> rv and 5 * least(nu, nv) >= 4 * greatest(nu, nv) and 9 * least(lu, lv) >= 4 * (nu + nv)")
+    met = left.join(right, "hash").where("u > v and ru <> rv and 5 * least(nu, nv) >= 4 * greatest(nu, nv) and 9 * least(lu, lv) >= 4 * (nu + nv)").where(f"9 * ({apart}) <= nu + nv")
     met = met.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("met"), F.min("lu").alias("lu"), F.min("lv").alias("lv"))
     # after the last of these no more than the shorter rest can be shared
     met = met.where("9 * (met + least(lu, lv) - 1) >= 4 * (nu + nv)").select("u", "v")
-    return first.union(_similar(_close_prefixes(met, nodes), nodes, texts))
+    return first.union(_similar(met, nodes, texts))
 
 
 def classes(docs: DataFrame, long_bucket: int = LONG_BUCKET) -> DataFrame:
     """doc_id, component_id for each row of ``docs``: the smallest doc_id of its class of near copies."""
     texts = narrow(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     hot, flood = _frequent(texts.where("text is not null"))
-    marked = scratch(texts.mapInArrow(_marker(hot), "doc_id long, text_hash long, key long, n int, fp long, prefix array<long>"), "sets")
+    marked = scratch(texts.mapInArrow(_marker(hot), "doc_id long, text_hash long, key long, n int, fp long, prefix array<long>, parity array<long>"), "sets")
     nodes = scratch(components(links(marked, texts.where("text is not null"), flood, long_bucket)), "nodes")
     named = marked.select("doc_id", "key").join(nodes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = scratch(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
