@@ -44,6 +44,8 @@ WIDTH, MAX_BITS = 5, 3
 SAMPLE, HOT, HOT_ROWS, FLOOD = 16, 4, 500_000, 1000
 #: Bits of parity, a multiple of 64.
 PARITY = 512
+#: Sizes of two sets together beyond which prefixes are compared before sets.
+LARGE = 2 * PARITY
 #: Members of a bucket beyond which it is first linked to a few of its own.
 LONG_BUCKET = 32
 #: Sets that a task remembers to write once.
@@ -151,6 +153,37 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return nodes.select("key", "n", "fp").join(named, "fp").select("key", F.col("first.key").alias("other"), "n", F.col("first.n").alias("m"))
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v, nu, nv of the pairs of keys whose parities don't rule the similarity out: far less crosses the network than for sets."""
+    pairs = scratch(pairs, "met")
+    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    held = scratch(nodes.join(keys, "key", "left_semi").select("key", "n", "parity").dropDuplicates(["key"]), "parities")
+    both = pairs.join(held.toDF("u", "nu", "pu"), "u").join(held.toDF("v", "nv", "pv"), "v")
+    apart = " + ".join(f"bit_count(pu[{i}] ^ pv[{i}])" for i in range(PARITY // 64))
+    return both.where(f"9 * ({apart}) <= nu + nv").select("u", "v", "nu", "nv")
+
+
+def _close_prefixes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v of the pairs of keys whose whole prefixes share enough: beyond the prefixes no more than the longer rest can be
+    shared.  A fifth of what the sets would take crosses the network."""
+    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    held = scratch(nodes.join(keys, "key", "left_semi").select("key", "prefix").dropDuplicates(["key"]), "prefixes")
+    both = pairs.join(held.toDF("u", "pu"), "u").join(held.toDF("v", "pv"), "v")
+    shared = F.size(F.array_intersect("pu", "pv")) + F.greatest(F.col("nu") - F.size("pu"), F.col("nv") - F.size("pv"))
+    return both.where(9 * shared >= 4 * (F.col("nu") + F.col("nv"))).select("u", "v")
+
+
+def _meeting(placed: DataFrame, words: list[int]) -> DataFrame:
+    """u, v, nu, nv, lu, lv for each shingle that two nodes of different classes share early enough in both; with the
+    words of the parities, if given, not ruling the pair out."""
+    side = lambda key: placed.select("hash", F.col("key").alias(key), F.col("n").alias(f"n{key}"), F.col("root").alias(f"r{key}"), (F.col("n") - F.col("pos")).alias(f"l{key}"), *(F.col("parity")[i].alias(f"{key}{i}") for i in words))
+    # what can still be shared from a shared shingle on falls along the prefix: with a pair's first one all that reach are met
+    pairs = side("u").join(side("v"), "hash").where("u > v and ru <> rv and 5 * least(nu, nv) >= 4 * greatest(nu, nv) and 9 * least(lu, lv) >= 4 * (nu + nv)")
+    if words:
+        pairs = pairs.where(f"9 * ({' + '.join(f'bit_count(u{i} ^ v{i})' for i in words)}) <= nu + nv")
+    return pairs.select("u", "v", "nu", "nv", "lu", "lv")
+
+
 def links(nodes: DataFrame, texts: DataFrame, flood: list[int], long_bucket: int = LONG_BUCKET) -> DataFrame:
     """Edges u, v between keys whose components are those of all similar pairs."""
     nodes = nodes.where("prefix is not null")
@@ -171,23 +204,23 @@ def links(nodes: DataFrame, texts: DataFrame, flood: list[int], long_bucket: int
     # these links only save work: a pair left out here is met again below
     first = scratch(_similar(star.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct(), nodes, texts), "first")
     roots = components(first)
-    placed = buckets.select("hash", "key", "n", "pos").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     placed = scratch(placed, "placed")
     # buckets within one class have nothing left to find, nor have places from which no partner of any size can be met
     placed = placed.where("9 * (n - pos) >= 4 * (n + ceil(0.8 * n))")
     mixed = scratch(placed.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("hash"), "mixed")
     placed = scratch(placed.join(mixed, "hash", "left_semi"), "open")
-    placed = scratch(placed.join(nodes.select("key", "parity").dropDuplicates(["key"]), "key"), "meeting")
-    words = range(PARITY // 64)
-    side = lambda key: placed.select("hash", F.col("key").alias(key), F.col("n").alias(f"n{key}"), F.col("root").alias(f"r{key}"), (F.col("n") - F.col("pos")).alias(f"l{key}"), *(F.col("parity")[i].alias(f"{key}{i}") for i in words))
-    left, right = side("u"), side("v")
-    apart = " + ".join(f"bit_count(u{i} ^ v{i})" for i in words)
-    # what can still be shared from a shared shingle on falls along the prefix: with a pair's first one all that reach are met
-    met = left.join(right, "hash").where("u > v and ru <> rv and 5 * least(nu, nv) >= 4 * greatest(nu, nv) and 9 * least(lu, lv) >= 4 * (nu + nv)").where(f"9 * ({apart}) <= nu + nv")
+    met = _meeting(placed.where(F.col("members") <= long_bucket), [])
+    # in long buckets parities go along, so that pairs which they rule out are never made
+    several = placed.where(F.col("members") > long_bucket).join(nodes.select("key", "parity").dropDuplicates(["key"]), "key")
+    met = met.unionByName(_meeting(several, list(range(PARITY // 64))))
     met = met.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("met"), F.min("lu").alias("lu"), F.min("lv").alias("lv"))
     # after the last of these no more than the shorter rest can be shared
     met = met.where("9 * (met + least(lu, lv) - 1) >= 4 * (nu + nv)").select("u", "v")
-    return first.union(_similar(met, nodes, texts))
+    possible = scratch(_possible(met, nodes), "possible")
+    # the parities of large sets say little, their prefixes much
+    few = possible.where(F.col("nu") + F.col("nv") <= LARGE).select("u", "v")
+    return first.union(_similar(few.union(_close_prefixes(possible.where(F.col("nu") + F.col("nv") > LARGE), nodes)), nodes, texts))
 
 
 def classes(docs: DataFrame, long_bucket: int = LONG_BUCKET) -> DataFrame:

@@ -49,8 +49,9 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("long_bucket", [32, 2, 10_000])
-def test_classes_match_brute_force(spark, long_bucket):
+@pytest.mark.parametrize("long_bucket, large", [(32, nc.LARGE), (2, 0), (10_000, 150)])
+def test_classes_match_brute_force(spark, long_bucket, large, monkeypatch):
+    monkeypatch.setattr(nc, "LARGE", large)
     texts = corpus()
     want = plain_classes(texts)
     got = {r.doc_id: r.component_id for r in nc.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), long_bucket).collect()}
