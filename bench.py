@@ -14,7 +14,7 @@ from planloom.sources import capture
 
 HEADLINES = [
     "scan_filter_project", "join_inner", "join_multi_way", "join_anti", "agg_group", "agg_grouping_sets", "win_rank", "win_groups_frame", "win_topk_per_group", "with_ties", "sort_limit_topk", "big_sort",
-    "join_partition_wise", "ordered_set_aggregate", "except_all", "recursive_cte", "subq_scalar_corr", "correlated_filter_join", "reg_scan", "reg_nested_loop", "reg_join_fit", "worker_merge", "misestimate", "hist_skew", "fd_degree", "mcv_list", "table_regression", "repository_incremental", "progress_driver", "plan_capture", "plan_growth",
+    "join_partition_wise", "ordered_set_aggregate", "except_all", "recursive_cte", "subq_scalar_corr", "correlated_filter_join", "reg_scan", "reg_nested_loop", "reg_join_fit", "worker_merge", "misestimate", "hist_skew", "fd_degree", "mcv_list", "table_regression", "plan_capture", "plan_growth",
 ]
 #: Rows of each side of the join of tied columns.
 JOIN_ROWS = 5_000_000
