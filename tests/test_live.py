@@ -225,6 +225,24 @@ def test_neural_model_learns_a_plane(spark):
     assert told.count() == 300 and told.agg(F.avg(F.abs(F.col("predicted") - F.col("y")))).first()[0] < 30
 
 
+def test_models_go_to_tasks_once(spark):
+    rows = [(q, "p", n, float(i % 40), float(i % 7), 2.0 * (i % 40) * n) for i in range(200) for q, n in (("a", 1), ("b", 2))]
+    nodes = spark.createDataFrame([(*r[:3], 2, "Hash Join", *r[3:]) for r in [*rows, ("rare", "p", 1, 1.0, 1.0, 1.0), (None, "p", 1, 1.0, 1.0, 1.0)]], "queryid string, planid string, node_no int, depth int, node_type string, actual_outer double, actual_inner double, actual_rows double")
+    training = analyze.join_training(nodes, 2)
+    # nodes are counted without a window over all executions of one
+    assert "Window" not in training._jdf.queryExecution().executedPlan().toString()
+    assert training.count() == 400 and analyze.join_training(nodes, 1).where("queryid is null").count() == 1
+    models = neural.train_joins(training, epochs=50, most=100)
+    assert {r.executions for r in models.collect()} == {100}
+    models = models.localCheckpoint()
+    sent, joined = neural.predict_joins(training, models), neural.predict_joins(training, models, sent=1)
+    assert "weights" not in sent._jdf.queryExecution().optimizedPlan().toString()
+    some = neural.predict_joins(training, models.where("queryid = 'a'"))
+    key = lambda df: sorted(tuple(r[:5]) + (round(r[5], 9),) for r in df.collect())
+    assert key(sent) == key(joined) and len(key(sent)) == 400
+    assert key(some) == [r for r in key(sent) if r[0] == "a"]
+
+
 def test_samples_skip_wide_values_and_repeat(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 10 == 0, F.lit("w" * 2000)).when(F.col("id") % 10 == 1, None).otherwise("n").alias("s"))
     got = statistics.sampled(df, 100, seed=4).collect()
