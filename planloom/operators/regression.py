@@ -79,8 +79,10 @@ def learnt(nodes: DataFrame) -> DataFrame:
     disk = F.when((F.col("sort_space_type") == "Disk") & (F.col("sort_space_kb") > 0), F.col("sort_space_kb")) if "sort_space_kb" in held else F.lit(None).cast("bigint")
     nodes = nodes.withColumn("disk_sort_kb", disk)
     missing = {c: F.lit(None).cast(t) for c, t in (("relations", "array<string>"), ("last_no", "int"), ("relationship", "string"), ("parent_no", "int"), ("merge_flag", "boolean")) if c not in held}
-    nodes = nodes.withColumns(missing) if missing else nodes
-    return nodes.groupBy(*KEYS).agg(F.first("node_type").alias("node_type"), *_sums(), *(F.max(c).alias(c) for c in LARGEST if c in nodes.columns), F.max_by("merge_flag", "seqid").alias("merge_flag"), F.max("seqid").alias("last_seqid"))
+    # a text that is no key would make this an aggregate by sorting; columns that nodes lack are added to its few rows
+    flag = [F.max_by("merge_flag", "seqid").alias("merge_flag")] if "merge_flag" in held else []
+    found = nodes.groupBy(*KEYS, "node_type").agg(*_sums(), *(F.max(c).alias(c) for c in LARGEST if c in nodes.columns), *flag, F.max("seqid").alias("last_seqid"))
+    return merge_sums(found.withColumns(missing) if missing else found)
 
 
 def merge_sums(*parts: DataFrame) -> DataFrame:

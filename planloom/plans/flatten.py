@@ -8,7 +8,7 @@ rows.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,37 +73,57 @@ def _text(value) -> str | None:
     return json.dumps(value)
 
 
-def rows(document: str | dict) -> list[dict]:
-    """The rows of a document, without the columns that name it."""
+#: What a document's rows have in any case; the rest is made where it is wanted.
+_ALWAYS = {"node_no", "parent_no", "relationship", "node_type", "plan_rows", "actual_rows", "actual_loops", "removed_rows", "workers", "merge_flag", "norm", "norm_plan"}
+_PLAIN = {"strategy": "Strategy", "partial_mode": "Partial Mode", "join_type": "Join Type", "workers_planned": "Workers Planned", "workers_launched": "Workers Launched", "schema": "Schema", "relation": "Relation Name", "alias": "Alias", "sort_space_kb": "Sort Space Used", "sort_space_type": "Sort Space Type"}
+#: Columns that say which relations are below a node.
+_RELATIONS = {"relations", "outer_rels", "inner_rels"}
+#: The columns that progress is told from.
+PROGRESS = ("node_no", "parent_no", "node_type", "relationship", "plan_rows", "actual_rows", "actual_loops", "removed_rows", "merge_flag", "conds")
+
+
+def _number(value) -> float | None:
+    return None if value is None else float(value)
+
+
+def rows(document: str | dict, wanted: Collection[str] | None = None) -> list[dict]:
+    """The rows of a document, without the columns that name it; with ``wanted`` only those columns, and what
+    ``merged``, ``add_inputs`` and ``replace.replaced`` work on."""
     nodes = walk(document)
     flags = parallel_flags(nodes)
-    last = list(range(1, len(nodes) + 1))
-    below: list[set[str]] = [set() for _ in nodes]
-    for n in range(len(nodes), 0, -1):
-        node, parent = nodes[n - 1][:2]
-        if "Relation Name" in node:
-            below[n - 1].add(f"{node.get('Schema', 'public')}.{node['Relation Name']}")
-        if parent:
-            last[parent - 1] = max(last[parent - 1], last[n - 1])
-            below[parent - 1] |= below[n - 1]
+    every = wanted is None
+    conds, props, plain = every or "conds" in wanted, every or "props" in wanted, [(c, k) for c, k in _PLAIN.items() if every or c in wanted]
+    placed, related = every or not {"child_ix", "depth", "last_no"}.isdisjoint(wanted), every or not _RELATIONS.isdisjoint(wanted)
+    if placed or related:
+        last = list(range(1, len(nodes) + 1))
+        below: list[set[str]] = [set() for _ in nodes]
+        for n in range(len(nodes), 0, -1):
+            node, parent = nodes[n - 1][:2]
+            if "Relation Name" in node:
+                below[n - 1].add(f"{node.get('Schema', 'public')}.{node['Relation Name']}")
+            if parent:
+                last[parent - 1] = max(last[parent - 1], last[n - 1])
+                below[parent - 1] |= below[n - 1]
     out = []
     for n, ((node, parent, child, depth), (flag, norm, norm_plan)) in enumerate(zip(nodes, flags), 1):
         get = node.get
-        removed = sum(float(get(k, 0)) for k in schema.REMOVED)
-        workers = [{"no": int(w.get("Worker Number", i)), "rows": float(w.get("Actual Rows", 0)), "loops": float(w.get("Actual Loops", 0))} for i, w in enumerate(get("Workers", []))]
-        number = lambda key: None if get(key) is None else float(get(key))
-        out.append(
-            {
-                "node_no": n, "parent_no": parent or None, "child_ix": child, "depth": depth, "last_no": last[n - 1], "relationship": get("Parent Relationship"),
-                "node_type": node["Node Type"], "strategy": get("Strategy"), "partial_mode": get("Partial Mode"), "join_type": get("Join Type"),
-                "plan_rows": number("Plan Rows"), "actual_rows": number("Actual Rows"), "actual_loops": number("Actual Loops"), "removed_rows": removed,
-                "workers_planned": get("Workers Planned"), "workers_launched": get("Workers Launched"), "workers": workers, "merge_flag": flag, "norm": norm, "norm_plan": norm_plan,
-                "schema": get("Schema"), "relation": get("Relation Name"), "alias": get("Alias"), "relations": sorted(below[n - 1]),
-                "sort_space_kb": get("Sort Space Used"), "sort_space_type": get("Sort Space Type"),
-                "conds": [{"kind": k, "expr": _text(get(k))} for k in schema.CONDITIONS if k in node],
-                "props": {k: _text(v) for k, v in node.items() if k not in ("Plans", "Workers") and v is not None},
-            }
-        )
+        row = {
+            "node_no": n, "parent_no": parent or None, "relationship": get("Parent Relationship"), "node_type": node["Node Type"],
+            "plan_rows": _number(get("Plan Rows")), "actual_rows": _number(get("Actual Rows")), "actual_loops": _number(get("Actual Loops")),
+            "removed_rows": sum([float(node[k]) for k in schema.REMOVED if k in node], 0.0), "merge_flag": flag, "norm": norm, "norm_plan": norm_plan,
+            "workers": [{"no": int(w.get("Worker Number", i)), "rows": float(w.get("Actual Rows", 0)), "loops": float(w.get("Actual Loops", 0))} for i, w in enumerate(get("Workers", ()))],
+        }
+        if placed:
+            row |= {"child_ix": child, "depth": depth, "last_no": last[n - 1]}
+        if related:
+            row["relations"] = sorted(below[n - 1])
+        if conds:
+            row["conds"] = [{"kind": k, "expr": _text(get(k))} for k in schema.CONDITIONS if k in node]
+        if props:
+            row["props"] = {k: _text(v) for k, v in node.items() if k not in ("Plans", "Workers") and v is not None}
+        for column, key in plain:
+            row[column] = get(key)
+        out.append(row)
     return out
 
 
@@ -127,7 +147,8 @@ def add_inputs(found: list[dict]) -> None:
             continue
         held = sides.setdefault(r["parent_no"], {})
         side = "outer" if (r["relationship"] or "Outer") == "Outer" else "inner"
-        held[f"{side}_rels"] = max(held.get(f"{side}_rels", r["relations"]), r["relations"])
+        if "relations" in r:
+            held[f"{side}_rels"] = max(held.get(f"{side}_rels", r["relations"]), r["relations"])
         for kind in ("plan", "actual"):
             value = r[f"{kind}_rows"]
             if value is not None:
@@ -140,36 +161,45 @@ def add_inputs(found: list[dict]) -> None:
             r[f"{kind}_members"] = held.get(f"{kind}_members")
             r[f"{kind}_outer"] = r[f"{kind}_members"] if member else held.get(f"{kind}_outer")
             r[f"{kind}_inner"] = 1.0 if member else held.get(f"{kind}_inner")
-        r["outer_rels"], r["inner_rels"] = held.get("outer_rels"), held.get("inner_rels")
+        if "relations" in r:
+            r["outer_rels"], r["inner_rels"] = held.get("outer_rels"), held.get("inner_rels")
 
 
-def plan_nodes(log: DataFrame, server_id: str = "local", finished: bool = False, extra: list[str] | None = None) -> DataFrame:
+def plan_nodes(log: DataFrame, server_id: str = "local", finished: bool = False, extra: list[str] | None = None, columns: Collection[str] | None = None, change: tuple[str, Callable] | None = None) -> DataFrame:
     """The ``plan_node`` table of a plan log; rows without planid (nothing was captured) are left out.
 
     A narrow map in Arrow batches: one log row in, its nodes out, no shuffle.  ``finished``: with worker rows merged in
     and children's rows and relations alongside, as ``regression.with_inputs(workers.merge_finished(...))`` and
-    ``lineage.relation_sets`` give them.  ``extra``: further columns of the log that each node carries.
+    ``lineage.relation_sets`` give them.  ``extra``: further columns of the log that each node carries.  ``columns``: the
+    columns of a node that are wanted, all if None; others are not even made.  ``change``: a column of the log and a
+    function that alters a document's rows in place, called with the rows and the column's value.
     """
     keys = ["server_id", "seqid", "queryid", "planid", *(extra or [])]
     keyed = log if "server_id" in log.columns else log.withColumn("server_id", F.lit(server_id))
-    source = keyed.where("planid is not null and plan_json is not null").select(*keys, "plan_json")
-    out = StructType([source.schema[k] for k in keys] + StructType.fromDDL(schema.NODE + (", " + schema.INPUTS if finished else "")).fields)
+    source = keyed.where("planid is not null and plan_json is not null").select(*keys, "plan_json", *(change[:1] if change else []))
+    fields = [f for f in StructType.fromDDL(schema.NODE + (", " + schema.INPUTS if finished else "")).fields if columns is None or f.name in columns]
+    out = StructType([source.schema[k] for k in keys] + fields)
     arrow = to_arrow_schema(out)
-    columns = out.names[len(keys) :]
+    names = out.names[len(keys) :]
+    inputs = finished and not {f.split(" ")[0] for f in schema.INPUTS.split(", ")}.isdisjoint(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                held: list[list] = [[] for _ in columns]
+                held: list[list] = [[] for _ in names]
                 per = []
-                for text in part.column(len(keys)).to_pylist():
-                    found = rows(text)
+                values = part.column(len(keys) + 1).to_pylist() if change else [None] * part.num_rows
+                for text, value in zip(part.column(len(keys)).to_pylist(), values):
+                    found = rows(text, columns)
                     if finished:
                         merged(found)
+                    if inputs:
                         add_inputs(found)
+                    if change:
+                        change[1](found, value)
                     per.append(len(found))
-                    for column, name in zip(held, columns):
+                    for column, name in zip(held, names):
                         column += [r[name] for r in found]
                 owner = pa.array([i for i, n in enumerate(per) for _ in range(n)], pa.int64())
                 named = [part.column(i).take(owner).cast(arrow.field(i).type) for i in range(len(keys))]
