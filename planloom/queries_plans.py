@@ -537,7 +537,7 @@ UNION ALL SELECT seqid, CAST(node_no AS INTEGER), round_even((co * plan_rows + b
 
 def table_progress(spark: SparkSession, d: str) -> DataFrame:
     """Progress of the made documents as if their estimates were learnt ones."""
-    return progress.progress(flatten.plan_nodes(_made_log(spark, d), finished=True), ["seqid"], regression=True)
+    return progress.log_progress(_made_log(spark, d), ["seqid"], regression=True, finished=True)
 
 
 _TABLE_PROGRESS_SQL = f"""

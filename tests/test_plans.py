@@ -2,15 +2,17 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from planloom import feedback
 from planloom.functions import params
-from planloom.operators import neural, progress, regression
+from planloom.operators import neural, progress, regression, replace
 from planloom.plans import fingerprint, flatten, lineage, schema
 
 
@@ -231,3 +233,29 @@ def test_progress_is_a_share(rows):
 def test_schema_names_every_column():
     assert [c.strip().split(" ")[0] for c in schema.REG.split(",")] == ["queryid", "sort_space_used", "params"]
     assert progress.bar(0.12345).endswith("12.34 %")
+
+
+def test_documents_are_replaced_and_measured_within_themselves(spark):
+    kinds = ["Append", "Nested Loop", "Hash Join", "Merge Join", "Seq Scan", "Sort", "Materialize"]
+    rng = random.Random(3)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.randint(0, 2) if depth else 0)]
+        for k, side in zip(kids, ("Outer", rng.choice(["Inner", "InitPlan", "Member"]))):
+            k["Parent Relationship"] = side
+        return {"Node Type": rng.choice(kinds), "Plan Rows": rng.randint(0, 9), "Actual Rows": rng.randint(0, 9), "Actual Loops": 1, **({"Plans": kids} if kids else {}), **({"Join Filter": "(a < b)"} if rng.random() < 0.2 else {}), **({"Workers Planned": 2, "Workers Launched": 1} if rng.random() < 0.1 else {}), **({"Workers": [{"Actual Rows": 3, "Actual Loops": 1}]} if rng.random() < 0.3 else {})}
+
+    log = spark.createDataFrame([(i, "q", str(i % 40), json.dumps({"Plan": tree(4)})) for i in range(120)], "seqid bigint, queryid string, planid string, plan_json string")
+    nodes = flatten.plan_nodes(log, finished=True)
+    # quarters, so that rounding meets ties; some nodes and plans without parameters
+    p = spark.createDataFrame([("q", str(i), n, rng.randint(0, 8) / 4, rng.randint(0, 4) / 4, rng.randint(0, 4) / 4, rng.randint(0, 6) / 4) for i in range(35) for n in range(1, 30) if rng.random() < 0.9], "queryid string, planid string, node_no int, coef_outer double, coef_inner double, coef2 double, intercept double")
+    rows = lambda df: sorted(tuple(r) for r in df.select("seqid", "node_no", F.coalesce("plan_rows", F.lit(-1.0)), "actual_rows").collect())
+    own = replace.replace_log(log, p, finished=True, columns=["node_no", "plan_rows", "actual_rows"])
+    assert "Aggregate [seqid" not in own._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(own) == rows(replace.replace_rows(nodes, p, ["seqid", "queryid", "planid"]))
+    for mode in (False, True):
+        each = progress.log_progress(log, ["seqid"], regression=mode, finished=True)
+        assert "Aggregate" not in each._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, each.collect())) == sorted(map(tuple, progress.progress(nodes, ["seqid"], regression=mode).collect()))
+    some = flatten.plan_nodes(log, finished=True, columns=["relations", "plan_outer", "depth"])
+    assert some.columns[4:] == ["depth", "relations", "plan_outer"] and sorted(map(str, some.collect())) == sorted(map(str, nodes.select(some.columns).collect()))
