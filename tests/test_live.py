@@ -129,6 +129,21 @@ def test_driver_names_workers_and_picks_modes(spark):
     assert got == {"11": ("rules", 0.25), "12": ("regression", 0.25), "13": ("pushed", 1.0)}
 
 
+def test_driver_meets_each_document_once(spark):
+    scan = lambda rows: {"Plan": node("Seq Scan", 20, rows, side="Outer")}
+    leader = lambda rows: {"Plan": node("Gather", 40, rows, kids=[node("Seq Scan", 20, rows, side="Outer")], **{"Workers Planned": 2, "Workers Launched": 2})}
+    rows = [snapshot_row(10 * q, "leader", str(q), f"select {q}", leader(5)) for q in range(1, 400)]
+    rows += [snapshot_row(10 * q + w, "parallel worker", "0" if w == 1 else str(q), f"select {q}", scan(5)) for q in range(1, 400) for w in (1, 2) if q % 3 >= w]
+    rows += [snapshot_row(9000, "leader", None, "unknown", leader(5)), snapshot_row(9001, "parallel worker", "999", "no leader", scan(5)), (9002, "db", "leader", 0, "998", None, "no plan", None, "", None)]
+    snap = spark.createDataFrame(rows, schema.SNAPSHOT).repartition(5)
+    found = live.drive(snap, [])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInArrow" not in plan
+    # the gather has its own 5 rows, scaled where workers have left, of what the scan is to give
+    want = {0: 5 * 3 / 20, 1: 5 * 3 / 2 / 60, 2: round(5 / 60, 6)}
+    assert {r.queryid: (r.mode, r.progress) for r in found.collect()} == {str(q): ("rules", want[q % 3]) for q in range(1, 400)}
+
+
 class _Api(BaseHTTPRequestHandler):
     rounds = 0
 
