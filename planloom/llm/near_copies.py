@@ -17,7 +17,8 @@ ones in a ninth of m + n at most.
 
 Scale.  Texts with equal sets are one node (64-bit digest of the set).  Prefixes alone are kept; whole sets are made
 again from the texts, for the nodes to be compared.  Long buckets (shingles that many prefixes hold, in large classes of
-near copies) first link their members to a few of their own; after that only members of different classes make pairs,
+near copies) first link their members to a few of their own, in rounds as long as that merges many classes; after that
+only members of different classes make pairs,
 so a large class costs about its size and not its square.  Shingles that a sample finds in very many texts are counted
 apart, so that none of them is one task's window.  The order and the first links change the work alone, never the result.
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, give_back, narrow, scratch, temporary, text_slices, without_ids
+from .common import BROADCAST_ROWS, drop_scratch, give_back, narrow, scratch, temporary, text_slices, without_ids
 from .simhash import code_links, components, shingle_hashes, vote
 
 WIDTH, MAX_BITS = 5, 3
@@ -48,6 +49,9 @@ PARITY = 512
 LARGE = 2 * PARITY
 #: Members of a bucket beyond which it is first linked to a few of its own.
 LONG_BUCKET = 32
+#: Rounds of links to a few of a long bucket's own after the first, at most, as long as the last round put a share of WORTH
+#: of the classes into others.
+ROUNDS, WORTH = 4, 0.04
 #: Sets that a task remembers to write once.
 SEEN = 200_000
 
@@ -184,6 +188,16 @@ def _meeting(placed: DataFrame, words: list[int]) -> DataFrame:
     return pairs.select("u", "v", "nu", "nv", "lu", "lv")
 
 
+def _again(long: DataFrame, nodes: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
+    """u, v of similar pairs of a long bucket's members and four of the bucket's own, others in each turn, of other classes."""
+    one = F.struct(F.col("key").alias("other"), F.col("n").alias("m"), F.col("root").alias("place"))
+    picks = [pick(one, F.xxhash64("key", F.lit(2 * turn + k))) for k in range(2) for pick in (F.min_by, F.max_by)]
+    own = long.groupBy("hash").agg(F.array(*picks).alias("own"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("hash", "own")
+    star = long.join(own, "hash").select("key", "n", "root", F.explode(F.array_distinct("own")).alias("o")).where("root <> o.place and 5 * least(n, o.m) >= 4 * greatest(n, o.m)")
+    pairs = star.select(F.greatest("key", "o.other").alias("u"), F.least("key", "o.other").alias("v")).distinct()
+    return _similar(_possible(pairs, nodes).select("u", "v"), nodes, texts)
+
+
 def links(nodes: DataFrame, texts: DataFrame, flood: list[int], long_bucket: int = LONG_BUCKET) -> DataFrame:
     """Edges u, v between keys whose components are those of all similar pairs."""
     nodes = nodes.where("prefix is not null")
@@ -203,9 +217,19 @@ def links(nodes: DataFrame, texts: DataFrame, flood: list[int], long_bucket: int
     star = star.union(_fingerprint_pairs(nodes).where(close).select("key", "other"))
     # these links only save work: a pair left out here is met again below
     first = scratch(_similar(star.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct(), nodes, texts), "first")
-    roots = components(first)
-    placed = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = scratch(placed, "placed")
+    place = lambda roots: scratch(buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    placed = place(components(first))
+    # where links among the members of long buckets are many, more of them are found by a few of each bucket's own again
+    apart = lambda of: placed.where(F.col("members") > long_bucket).agg(F.count_distinct(of)).first()[0]
+    before = apart("key")
+    for turn in range(1, ROUNDS + 1):
+        left = apart("root")
+        if left >= (1 - WORTH) * before:
+            break
+        more = _again(placed.where(F.col("members") > long_bucket), nodes, texts, turn)
+        first, before, old = scratch(first.union(more), "first"), left, placed
+        placed = place(components(first))
+        drop_scratch(old)
     # buckets within one class have nothing left to find, nor have places from which no partner of any size can be met
     placed = placed.where("9 * (n - pos) >= 4 * (n + ceil(0.8 * n))")
     mixed = scratch(placed.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("hash"), "mixed")

@@ -76,3 +76,26 @@ def test_stage_drops_edited_copies_beyond_three_bits(spark):
 
 def test_empty_table(spark):
     assert nc.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rounds_find_links_and_change_no_class(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    # near copies by up to three edits each: some two of them are linked, many are not
+    texts = [" ".join(w if i not in cut else f"x{k}" for i, w in enumerate(base)) for k in range(150) for cut in [set(rng.sample(range(40, 120), rng.randint(1, 3)))]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, whole = [], nc._meeting
+
+    def meeting(placed, words):
+        met.append(whole(placed, words).count())
+        return whole(placed, words)
+
+    monkeypatch.setattr(nc, "_meeting", meeting)
+    counts, found = [], []
+    for rounds in (0, 4):
+        monkeypatch.setattr(nc, "ROUNDS", rounds)
+        met.clear()
+        found.append([r.component_id for r in nc.classes(docs).orderBy("doc_id").collect()])
+        counts.append(sum(met))
+    assert found[0] == found[1] == plain_classes(texts)
+    assert counts[1] < counts[0]
