@@ -51,7 +51,7 @@ LARGE = 2 * PARITY
 LONG_BUCKET = 32
 #: Rounds of links to a few of a long bucket's own after the first, at most, as long as the last round put a share of WORTH
 #: of the classes into others.
-ROUNDS, WORTH = 4, 0.04
+ROUNDS, WORTH = 4, 0.1
 #: Sets that a task remembers to write once.
 SEEN = 200_000
 
