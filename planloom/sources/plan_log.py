@@ -21,9 +21,11 @@ def max_seqid(log: DataFrame) -> int:
 
 
 def read_jdbc(spark: SparkSession, url: str, log_table: str, cursor: int = 0, **options) -> DataFrame:
-    """The log table of a database, from the cursor on (needs that database's JDBC driver)."""
-    query = f"SELECT * FROM {log_table} WHERE seqid > {int(cursor)}"
-    return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
+    """The log table of a database, from the cursor on (needs that database's JDBC driver).
+
+    The comparison reaches the database with the column's name quoted as it stands there, in capitals or not.
+    """
+    return read_since(spark.read.format("jdbc").option("url", url).option("dbtable", log_table).options(**options).load(), int(cursor))
 
 
 def write_csv(log: DataFrame, path: str) -> None:

@@ -291,6 +291,17 @@ def test_log_of_a_database(spark):
     assert sorted(r[0] for r in got.collect()) == [3, 4, 5]
 
 
+def test_log_of_a_database_is_cut_by_the_database(spark):
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    for k, name in enumerate(("seqid", "SEQID")):
+        url = f"jdbc:derby:memory:cut{k};create=true"
+        spark.range(1, 6).toDF(name).write.format("jdbc").option("url", url).option("dbtable", "plan_log").option("driver", driver).save()
+        got = plan_log.read_jdbc(spark, url, "plan_log", 2, driver=driver)
+        assert sorted(r[0] for r in got.collect()) == [3, 4, 5]
+        scan = next(line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "JDBCRelation" in line)
+        assert f"GreaterThan({name},2)" in scan
+
+
 def test_aggregates_report_their_memory(spark):
     _, row = capture.run_and_capture(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     kinds = [n for n in flatten.rows(row[-1]) if n["node_type"] == "Aggregate"]
