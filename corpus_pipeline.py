@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from planloom.llm import decontaminate, language, mixing, near_copies, token_files
-from planloom.llm.common import scratch, table
+from planloom.llm.common import scratch, shrink_heaps, table
 from planloom.llm.queries import tokenizer_path
 
 
@@ -38,6 +38,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)  # the mix grew them, and the tokenizers come on top
     return token_files.round_trip(docs, tokenizer_path())
 
 

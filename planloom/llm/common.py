@@ -47,7 +47,7 @@ _scopes: list[list[tuple[str, str]]] = []
 @contextmanager
 def temporary(spark: SparkSession, *kept: str) -> Iterator[None]:
     """Scratch tables written within are deleted at the end, but for those of the names ``kept``; shuffles that only led
-    to them go as well, with the driver's next collection of garbage, which is asked for."""
+    to them go as well, with the driver's next collection of garbage, which is asked for, as are the executors'."""
     _scopes.append([])
     try:
         yield
@@ -63,6 +63,17 @@ def temporary(spark: SparkSession, *kept: str) -> Iterator[None]:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         gc.collect()
         jvm.System.gc()
+        shrink_heaps(spark)
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """A full collection in each executor's JVM, whose heap then goes back to what it holds.
+
+    A heap that joins and sorts have grown stays at its limit otherwise, and the Python workers of the next step come on
+    top of it.  There is a task for each executor, and idle ones get one each; one that gets none keeps its heap.
+    """
+    executors = max(1, len(spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()) - 1)  # the driver is listed too
+    spark.range(0, executors, 1, executors).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
 
 
 def drop_scratch(df: DataFrame) -> None:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_scratch, give_back, narrow, scratch, temporary, text_slices, without_ids
+from .common import BROADCAST_ROWS, drop_scratch, give_back, narrow, scratch, shrink_heaps, temporary, text_slices, without_ids
 from .simhash import code_links, components, shingle_hashes, vote
 
 WIDTH, MAX_BITS = 5, 3
@@ -234,6 +234,7 @@ def links(nodes: DataFrame, texts: DataFrame, flood: list[int], long_bucket: int
     placed = placed.where("9 * (n - pos) >= 4 * (n + ceil(0.8 * n))")
     mixed = scratch(placed.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("hash"), "mixed")
     placed = scratch(placed.join(mixed, "hash", "left_semi"), "open")
+    shrink_heaps(nodes.sparkSession)
     met = _meeting(placed.where(F.col("members") <= long_bucket), [])
     # in long buckets parities go along, so that pairs which they rule out are never made
     several = placed.where(F.col("members") > long_bucket).join(nodes.select("key", "parity").dropDuplicates(["key"]), "key")

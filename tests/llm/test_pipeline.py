@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from planloom.llm import language, mixing
+from planloom.llm.common import shrink_heaps, temporary
 from planloom.llm.language import has_letter
 
 
@@ -89,3 +90,25 @@ def test_nothing_that_can_be_told(spark, tmp_path):
     spark.createDataFrame([(None, None, None, None, None), (1, "12 34", "aa", None, 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert cp.run(spark, folder).count() == 0
+
+
+def test_executors_heaps_shrink_between_stages(spark):
+    # here the executor is the driver's JVM
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    heap = jvm.java.lang.Runtime.getRuntime().totalMemory
+    old = lambda: sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName() and b.getName() != "Copy")
+    spark.range(1_000_000).selectExpr("id", "uuid() AS u").orderBy("u").write.format("noop").mode("overwrite").save()
+    held = heap()
+    shrink_heaps(spark)
+    assert heap() < held
+    collections = old()
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    assert dict(cp.STAGES)["tokens"](spark, docs, "").count() == 1
+    assert old() > collections
+    context.setJobGroup("scope", "")
+    with temporary(spark):
+        pass
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("scope") for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert [s.numTasks for s in stages] == [1]
