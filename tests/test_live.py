@@ -1,8 +1,10 @@
 """Progress of running queries end to end, continued logs, incremental sums, and the switches."""
 
 import json
+import math
 import random
 import threading
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
@@ -258,6 +260,42 @@ def test_models_go_to_tasks_once(spark):
     assert key(some) == [r for r in key(sent) if r[0] == "a"]
 
 
+def test_models_are_trained_on_every_execution(spark):
+    rng = random.Random(2)
+    schema = "queryid string, planid string, node_no int, x_outer double, x_inner double, y double"
+    rows = [("q", "p", 1, float(rng.randint(0, 50)), float(rng.randint(1, 7)), float(rng.randint(0, 49))) for _ in range(12_000)]
+    rows += [("few", "p", 1, 3.0, 2.0, 6.0), ("few", "p", 1, None, float("nan"), 0.0), (None, "p", 2, 1.0, 1.0, None)]
+    training = spark.createDataFrame(rows, schema)
+    models = {r.queryid: r for r in neural.train_joins(training, epochs=30).collect()}
+    assert {q: r.executions for q, r in models.items()} == {"q": 12_000, "few": 2, None: 1}
+    assert models["few"].weights[-3:] == [3.0, 2.0, 6.0] and math.isnan(models[None].weights[-1])
+    # the same steps over single executions
+    count = Counter(r[3:] for r in rows[:12_000])
+    share = {tuple(r[:3]): r[3] for r in spark.createDataFrame(list(count), "o double, v double, y double").selectExpr("*", "xxhash64(o, v, y) / power(2D, 64) + 0.5D").collect()}
+    held = {k: math.floor(n * neural.HELD_OUT + share[k]) for k, n in count.items()}
+    each = np.array([(*k, float(i < held[k])) for k, n in count.items() for i in range(n)])
+    assert 0.19 < each[:, 3].mean() < 0.21
+    x, y, out = each[:, :2] / each[:, :2].max(axis=0), each[:, 2] / each[:, 2].max(), each[:, 3]
+    model = neural.Descent(np.random.default_rng(0), 30, (1 - out).sum(), out.sum())
+    while model.step(neural._sums(model.flat, x, 1 - out, (1 - out) * y, out, out * y, out * y * y)):
+        pass
+    assert np.allclose(models["q"].weights, [*model.best, 50, 7, 49], atol=1e-6) and abs(models["q"].loss - model.loss) < 1e-9
+    # neither partitions nor where a node is trained change a model
+    again = {r.queryid: r for r in neural.train_joins(training.repartition(7), epochs=30).collect()}
+    passes = {r.queryid: r for r in neural.train_joins(training, epochs=30, points=0).collect()}
+    for other in (again, passes):
+        assert all(r.executions == other[q].executions and np.allclose(r.weights, other[q].weights, atol=1e-6, equal_nan=True) for q, r in models.items())
+
+
+def test_slopes_are_those_of_the_error():
+    rng = np.random.default_rng(3)
+    x, y, one = rng.uniform(size=(40, 2)), rng.uniform(size=40), np.ones(40)
+    w = neural.Descent(rng, 1, 1, 1).flat
+    told = lambda at: neural._sums(at, x, one, y, one, y, y * y)
+    near = [(told(w + d)[-1] - told(w - d)[-1]) / 2e-6 for d in 1e-6 * np.eye(len(w))]
+    assert np.allclose(told(w)[:-1], near, atol=1e-4) and np.isclose(told(w)[-1], ((neural._forward(neural._split(w), x) - y) ** 2).sum())
+
+
 def test_samples_skip_wide_values_and_repeat(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 10 == 0, F.lit("w" * 2000)).when(F.col("id") % 10 == 1, None).otherwise("n").alias("s"))
     got = statistics.sampled(df, 100, seed=4).collect()
